@@ -161,3 +161,41 @@ class ChunkCache:
         n = self.count[codes]
         ends = np.cumsum(n)
         return self.ids[np.repeat(self.start[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def kept(key: tuple, make: Callable):
+    """make()'s result, kept in this Python process for the tasks that follow; at most two such objects stay.
+
+    Only for memories that no result depends on."""
+    import sys
+
+    memory = sys.__dict__.setdefault("_terracell_kept", {})
+    if key not in memory:
+        while len(memory) >= 2:
+            memory.pop(next(iter(memory)))
+        memory[key] = make()
+    return memory[key]
+
+
+def bloom_bits(ids: DataFrame, col: str, bits: int) -> np.ndarray:
+    """A Bloom filter of a column of longs (two hashes), as `bits` / 8 bytes: all that reaches the driver, however many ids."""
+    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(col), F.lit(k)), F.lit(bits)) for k in range(2)]))
+    words = ids.select(places.alias("place")).groupBy(F.expr("cast(shiftright(place, 5) as int)").alias("word"))
+    rows = words.agg(F.expr("bit_or(shiftleft(1L, cast(place & 31 as int)))").alias("mask"))
+    out = np.zeros(bits // 32, np.uint32)
+    got = rows.toArrow()
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint32)
+    return out
+
+
+def send(spark: SparkSession, thing):
+    """Broadcasts any object of this package, by value."""
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def received(sent):
+    from pyspark import cloudpickle
+
+    return cloudpickle.loads(sent.value)

@@ -13,7 +13,7 @@ similarity 0.85 about once in two million.
 4. Components again; documents take the component of their class.
 
 Null and empty texts, and texts of white space, have an empty set and are linked with nothing.  Rows of null id are returned with null
-component and are not kept.  Rows that repeat an id are linked by their own texts; all rows are returned.  Other columns are ignored.
+component and are not kept.  Rows that repeat an id are linked by their own texts; each of its texts counts as a text of that id.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import WordHashes, ascii_words, list_array, mix32, mix64, utf8, written
+from terracell.llm.common import WordHashes, ascii_words, bloom_bits, list_array, mix32, mix64, utf8, written
 
 WORDS, BANDS, ROWS = 5, 25, 5
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 SHIFTS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint32)[:, None]
 #: Classes of a bucket that are held against each other in one task at most, on either side.
 BLOCK = 256
+#: Size of the largest Bloom filter (16 MB).
+MOST_BITS = 1 << 27
 
 
 def shingles(data: bytes, hashes: WordHashes) -> np.ndarray:
@@ -90,15 +92,31 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data")).mapInArrow(each, "doc_id long, n_shingles long, fp_hi long, fp_lo long, bands array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """member, grams: the sets as bytes of sorted 64-bit hashes."""
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """member, grams: the sets, as bytes of sorted 64-bit hashes, of the wanted ids (and of few others).
+
+    Texts are not shuffled: up to MOST_BITS / 8 wanted ids, a Bloom filter of them goes to the tasks that read the texts, which then
+    shingle one other text in twenty at most; beyond, the ids are joined."""
+    n = wanted.count()
+    rows = docs.select(F.col(id_col).cast("long").alias("member"), utf8(text_col).alias("data")).where("member is not null")
+    if n <= MOST_BITS // 8:
+        size = 1 << max(15, (8 * n - 1).bit_length())
+        bits = docs.sparkSession.sparkContext.broadcast(bloom_bits(wanted, "wanted", size))
+        places = [F.pmod(F.xxhash64("member", F.lit(k)), F.lit(size)).alias(f"p{k}") for k in range(2)]
+        rows = rows.select("member", "data", *places)
+    else:
+        bits = None
+        rows = rows.join(wanted, rows.member == wanted.wanted, "left_semi")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(300_000)
         for b in batches:
+            if bits is not None:
+                p = np.array([b.column(k).to_numpy() for k in (2, 3)])
+                b = b.filter(pa.array(((bits.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1).all(axis=0)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, hashes).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["member", "grams"])
 
-    return docs.select(F.col(id_col).cast("long").alias("member"), utf8(text_col).alias("data")).mapInArrow(each, "member long, grams binary")
+    return rows.mapInArrow(each, "member long, grams binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -113,7 +131,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("member").alias("a"), F.col("grams").alias("x")), sets.select(F.col("member").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long").distinct()
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
@@ -179,7 +197,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     buckets = written(spread.join(shared, "key"), "buckets")
     first = buckets.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     members = buckets.select(F.col("rep").alias("wanted")).distinct()
-    sets = written(_sets(docs.join(members, docs[id_col].cast("long") == members.wanted, "left_semi"), id_col, text_col).dropDuplicates(["member"]), "sets")
+    sets = written(_sets(docs, written(members, "wanted"), id_col, text_col), "sets")
     links = written(_confirmed(first, sets, percent), "confirmed")
     labels = components(links)
     more = written(_across(buckets.where("size > 2").select("key", "rep"), labels, sets, percent), "across")
