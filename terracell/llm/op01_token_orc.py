@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import ChunkCache, list_array
+from terracell.llm.common import ChunkCache, kept, list_array
 
 SCHEMA = "id long, part int, local_start long, n_tokens long, tokens array<int>"
 
@@ -72,15 +72,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     Texts are dealt out by ranges of ids before they are encoded, so each is encoded once, in the task that writes it."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, before, part = WordTokenizer(tokenizer, end_id), 0, TaskContext.get().partitionId()
+        tok, before, part = kept(("tokens", tokenizer, end_id), lambda: WordTokenizer(tokenizer, end_id)), 0, TaskContext.get().partitionId()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
-                ids, n = tok.encode(texts[lo : lo + 500])
+            for lo in range(0, b.num_rows, 500):
+                ids, n = tok.encode(b.column(1).slice(lo, 500).to_pylist())
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo : lo + 500], pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), list_array(n, ids)],
+                    [b.column(0).slice(lo, 500), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), list_array(n, ids)],
                     names=["id", "part", "local_start", "n_tokens", "tokens"],
                 )
 

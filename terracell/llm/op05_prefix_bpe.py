@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import ChunkCache, list_array
+from terracell.llm.common import ChunkCache, kept, list_array
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """id and ids (array<int>) of every text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = TextEncoder(load_ranks(ranks_path), pattern)
+        enc = kept(("prefix", ranks_path, pattern), lambda: TextEncoder(load_ranks(ranks_path), pattern))
         for b in batches:
             got = [enc.encode(t) for t in b.column(1).to_pylist()]
             flat = np.array([i for x in got for i in x], np.int32)
@@ -221,10 +221,10 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encodes and decodes every text in one pass: doc_id, n_tokens, sha256 of the decimal ids and of the decoded bytes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = TextEncoder(load_ranks(ranks_path), pattern)
+        enc = kept(("prefix", ranks_path, pattern), lambda: TextEncoder(load_ranks(ranks_path), pattern))
         for b in batches:
             n, shas, back = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in (t for lo in range(0, b.num_rows, 500) for t in b.column(1).slice(lo, 500).to_pylist()):
                 ids = enc.encode(text)
                 n.append(len(ids))
                 shas.append(hashlib.sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
