@@ -24,6 +24,15 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digests(op.with_starts(spark, path))
 
 
+def op2_kneser_ney_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracell.llm import op02_kneser_ney_lang as op
+    from terracell.llm.common import id_crc
+
+    docs = documents(spark, sf_dir)
+    rows = op.identify(docs, op.fit(docs)).withColumnRenamed("id", "doc_id")
+    return rows.select("doc_id", (id_crc("doc_id") % 5 == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terracell.llm import op03_host_quality as op
 
@@ -54,6 +63,17 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from terracell.llm import op08_nbsvm_quality as op
+    from terracell.llm.common import id_crc
+
+    docs = documents(spark, sf_dir)
+    rows = op.classify(docs, op.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).withColumnRenamed("id", "doc_id")
+    return rows.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terracell.llm import op10_circulant_minhash as op
 
