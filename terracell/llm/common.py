@@ -199,3 +199,13 @@ def received(sent):
     from pyspark import cloudpickle
 
     return cloudpickle.loads(sent.value)
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows of docs, with all their columns, for which keep says so."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b), pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)

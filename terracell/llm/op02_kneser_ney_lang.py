@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import WordCodes, id_crc, kept, mix64, received, send, utf8
+from terracell.llm.common import WordCodes, filtered, id_crc, kept, mix64, received, send, utf8
 
 ORDER = 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -250,3 +250,18 @@ def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("data"))
     return rows.mapInArrow(each, "id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Identifier | None, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that are not rejected (all, without a model)."""
+    import uuid
+
+    if model is None:
+        return docs
+    sent, tag, at = send(docs.sparkSession, model), uuid.uuid4().hex, docs.columns.index(text_col)
+
+    def keep(b: pa.RecordBatch) -> list[bool]:
+        found, scorer = kept(("language", tag), lambda: (lambda m: (m, Scorer(m.model)))(received(sent)))
+        return [not found.decide(*scorer.score((x or "").encode()))[3] for lo in range(0, b.num_rows, 500) for x in b.column(at).slice(lo, 500).to_pylist()]
+
+    return filtered(docs, keep)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import WordCodes, id_crc, kept, mix64, received, send, utf8
+from terracell.llm.common import WordCodes, filtered, id_crc, kept, mix64, received, send, utf8
 
 BITS = 18
 SHARES = (0.05, 0.25, 0.5)
@@ -167,3 +167,18 @@ def classify(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("data")).mapInArrow(each, "id long, score double")
+
+
+def accepted(docs: DataFrame, model: Classifier | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose score is `least` or more (all, without a model)."""
+    import uuid
+
+    if model is None:
+        return docs
+    sent, tag, at = send(docs.sparkSession, model), uuid.uuid4().hex, docs.columns.index(text_col)
+
+    def keep(b: pa.RecordBatch) -> list[bool]:
+        features, found = kept(("quality", tag), lambda: (Features(), received(sent)))
+        return [found.score(features.of((x or "").encode())) >= least for lo in range(0, b.num_rows, 500) for x in b.column(at).slice(lo, 500).to_pylist()]
+
+    return filtered(docs, keep)

@@ -63,6 +63,12 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracell.llm import op07_best_fit_packing as op
+
+    return op.pack(documents(spark, sf_dir))
+
+
 def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -74,6 +80,12 @@ def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracell.llm import op09_hashed_maxent_lm as op
+
+    return op.score(documents(spark, sf_dir))
+
+
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terracell.llm import op10_circulant_minhash as op
 
