@@ -141,7 +141,7 @@ class ChunkCache:
         for lo in range(0, len(chunks), 20_000):
             got = self.work(chunks[lo : lo + 20_000])
             n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.int32, int(n.sum()))
+            flat = np.concatenate(got) if isinstance(got[0], np.ndarray) else np.fromiter((i for x in got for i in x), np.int32, int(n.sum()))
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while self.known + len(n) > len(self.start):

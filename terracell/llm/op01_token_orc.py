@@ -41,8 +41,17 @@ class WordTokenizer:
         self.end = np.array([] if end_id is None else [end_id], np.int32)
         self.longest, self.cache = longest, ChunkCache(self._plain, most)
 
-    def _plain(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _plain(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word, from one call for many: a token belongs to the word that its first character stands in."""
+        out: list[np.ndarray] = []
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            size = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            first = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
+            cut = np.searchsorted(first, np.cumsum(size)[:-1])
+            out += np.split(np.array(got.ids, np.int32), cut)
+        return out
 
     def words(self, text: str) -> list[str]:
         try:  # below U+0100 lower-casing is letter by letter and keeps the normal form, so case need not be remembered
@@ -58,7 +67,7 @@ class WordTokenizer:
         for k, text in enumerate(texts):
             words = self.words(text)
             if max(map(len, words)) > self.longest:
-                own = np.array([i for ids in self._plain([w for w in words if w]) for i in ids], np.int32)
+                own = np.concatenate(self._plain(words))
             else:
                 own = self.cache(words)
             parts += [own, self.end]
