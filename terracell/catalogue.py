@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terracell.plans import cells, facilities, roads, service
+
+TOPICS = (facilities, cells, roads, service)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for topic in TOPICS for f in topic.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for topic in TOPICS for name, sql in topic.SQL.items()}
