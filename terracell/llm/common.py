@@ -123,7 +123,8 @@ def ascii_words(data: bytes) -> list[bytes]:
 
 
 class ChunkCache:
-    """Integer sequences of chunks of text, each worked out once by `work(new chunks) -> list of sequences`.
+    """Integer sequences of chunks of text, each worked out once by `work(new chunks)`: a list of sequences, or all their
+    integers, where each sequence begins in those and how many it has.
 
     Holds at most `most` chunks and then starts anew, so memory is bounded and results never depend on it."""
 
@@ -140,19 +141,26 @@ class ChunkCache:
         chunks, self.codes.new = self.codes.new, []
         for lo in range(0, len(chunks), 20_000):
             got = self.work(chunks[lo : lo + 20_000])
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.concatenate(got) if isinstance(got[0], np.ndarray) else np.fromiter((i for x in got for i in x), np.int32, int(n.sum()))
+            if isinstance(got, tuple):
+                flat, first, n = got
+            else:
+                n = np.fromiter(map(len, got), np.int64, len(got))
+                flat, first = np.fromiter((i for x in got for i in x), np.int32, int(n.sum())), np.cumsum(n) - n
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while self.known + len(n) > len(self.start):
                 self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
             self.ids[self.used : self.used + len(flat)] = flat
-            self.start[self.known : self.known + len(n)] = self.used + np.cumsum(n) - n
+            self.start[self.known : self.known + len(n)] = self.used + first
             self.count[self.known : self.known + len(n)] = n
             self.used, self.known = self.used + len(flat), self.known + len(n)
 
     def __call__(self, chunks: list[str]) -> np.ndarray:
         """The sequences of the chunks, one after the other."""
+        return self.sequences(chunks)[0]
+
+    def sequences(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and how many integers each chunk has."""
         if self.codes.full():
             self.clear()
         codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
@@ -160,7 +168,7 @@ class ChunkCache:
             self._learn()
         n = self.count[codes]
         ends = np.cumsum(n)
-        return self.ids[np.repeat(self.start[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return self.ids[np.repeat(self.start[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
 def kept(key: tuple, make: Callable):

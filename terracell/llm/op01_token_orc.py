@@ -10,6 +10,7 @@ input are ignored.  An empty table gives an empty, readable folder.  Memory: one
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -40,18 +41,51 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.end = np.array([] if end_id is None else [end_id], np.int32)
         self.longest, self.cache = longest, ChunkCache(self._plain, most)
-
-    def _plain(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, from one call for many: a token belongs to the word that its first character stands in."""
-        out: list[np.ndarray] = []
-        for lo in range(0, len(words), 2000):
-            part = words[lo : lo + 2000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            size = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            first = np.fromiter((x for x, _ in got.offsets), np.int64, len(got.ids))
-            cut = np.searchsorted(first, np.cumsum(size)[:-1])
-            out += np.split(np.array(got.ids, np.int32), cut)
-        return out
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.gap = self._ids(" \0 ")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their number for words of letters only: each is one piece, so its last id closes a word. None if that fails."""
+        ids = self._ids(" ".join(words))
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else None
+
+    def _parted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for any words, told apart by a sign between them. None if they hold that sign."""
+        if len(self.gap) != 1:
+            return None
+        ids = self._ids(" \0 ".join(words))
+        gaps = np.flatnonzero(ids == self.gap[0])
+        if len(gaps) != len(words) - 1:
+            return None
+        return np.delete(ids, gaps), np.diff(gaps, prepend=-1, append=len(ids)) - 1
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        n = np.array([len(x.ids) for x in found], np.int64)
+        return np.fromiter((i for x in found for i in x.ids), np.int32, int(n.sum())), n
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many words from few calls, and where each word's begin and how many they are."""
+        flat, start, count, used = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        for of_letters, way in ((True, self._letters), (False, self._parted)):
+            places = np.flatnonzero(plain == of_letters)
+            for lo in range(0, len(places), 5000):
+                at = places[lo : lo + 5000]
+                part = [words[i] for i in at]
+                ids, n = way(part) or self._one_by_one(part)
+                start[at], count[at] = used + np.cumsum(n) - n, n
+                flat.append(ids)
+                used += len(ids)
+        return np.concatenate(flat), start, count
 
     def words(self, text: str) -> list[str]:
         try:  # below U+0100 lower-casing is letter by letter and keeps the normal form, so case need not be remembered
@@ -61,18 +95,36 @@ class WordTokenizer:
             pass
         return text.replace("\n", " ").split(" ")
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in turn, and how many each text has."""
-        parts, lengths = [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = self.words(text)
-            if max(map(len, words)) > self.longest:
-                own = np.concatenate(self._plain(words))
-            else:
-                own = self.cache(words)
-            parts += [own, self.end]
-            lengths[k] = len(own) + len(self.end)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), lengths
+    def encode(self, texts: list[str], together: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and how many each text has; texts go in groups of about `together` characters."""
+        parts, lengths, words, firsts, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], [], 0
+
+        def put(ids: np.ndarray, n: np.ndarray) -> None:
+            parts.append(np.insert(ids, np.cumsum(n).repeat(len(self.end)), np.tile(self.end, len(n))))
+            lengths.append(n + len(self.end))
+
+        def flush() -> None:
+            if firsts:
+                ids, n = self.cache.sequences(words)
+                put(ids, np.add.reduceat(n, firsts))
+                words.clear()
+                firsts.clear()
+
+        for text in texts:
+            own = self.words(text)
+            if max(map(len, own)) > self.longest:  # such words get no place in the memory
+                flush()
+                ids = self._ids(text)
+                put(ids, np.array([len(ids)]))
+                continue
+            if size + len(text) > together:
+                flush()
+                size = 0
+            firsts.append(len(words))
+            words += own
+            size += len(text)
+        flush()
+        return np.concatenate(parts), np.concatenate(lengths)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, stripe_bytes: int = 16 << 20, index_rows: int = 1000) -> None:
