@@ -11,6 +11,7 @@ input are ignored.  An empty table gives an empty, readable folder.  Memory: one
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from terracell.llm.common import ChunkCache, kept, list_array
 
+#: A mark between a letter and a blank: the vocabulary's rules part it from both, so the word before needs no place of its own in the memory.
+MARK = re.compile(r"([.,;:!?])(?<=[a-z].)(?= )")
 SCHEMA = "id long, part int, local_start long, n_tokens long, tokens array<int>"
 
 
@@ -93,7 +96,7 @@ class WordTokenizer:
             text = text.lower()
         except UnicodeEncodeError:
             pass
-        return text.replace("\n", " ").split(" ")
+        return MARK.sub(r" \1", text.replace("\n", " ")).split(" ")
 
     def encode(self, texts: list[str], together: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and how many each text has; texts go in groups of about `together` characters."""
