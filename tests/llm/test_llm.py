@@ -314,3 +314,17 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == set(range(120))
     assert xxhash.xxh64_intdigest(b"") and F
+
+
+def test_words_and_marks_encode_as_whole_texts():
+    import public_tokenizers
+
+    from terracell.llm.op01_token_orc import WordTokenizer
+
+    odd = ["", "  ", "a\0b \0 c", "İstanbul İ x", "é é ́a", "x" * 100 + " y", "don't 's they'll <|endoftext|> 日本語 テスト", "tab\tin word", "a., b.. c, d!? e. f;́ x. \ny, \n", "it's, ok. ", "a\u0085b c\x1fd", "ʼn ﬁ ß Å"]
+    tok = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), 1)
+    for texts in (odd * 2, odd[:1], []):
+        for together in (1, 1 << 20):
+            ids, n = tok.encode(texts, together)
+            want = [x.ids + [1] for x in tok.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
