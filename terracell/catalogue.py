@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracell.plans import cells, facilities, network, roads, service
+from terracell.plans import cells, facilities, network, roads, service, surface
 
-TOPICS = (facilities, cells, roads, network, service)
+TOPICS = (facilities, cells, roads, network, service, surface)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
