@@ -316,6 +316,18 @@ def test_pipeline(spark, tmp_path):
     assert xxhash.xxh64_intdigest(b"") and F
 
 
+def test_pipeline_near_copies(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    def changed(p, n):  # one word differs, in five of n shingles: n - 5 of n + 5 are shared
+        w = [f"{p}w{k}" for k in range(n + 4)]
+        return " ".join(w), " ".join([*w[: n // 2], "changed", *w[n // 2 + 1 :]])
+
+    rows = [(10 * p + k, t) for p, n in enumerate((46, 45, 50, 44, 60)) for k, t in enumerate(changed(p, n))]  # 41 of 51, 40 of 50, 45 of 55, 39 of 49, 55 of 65
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 10, 20, 30, 31, 40]
+
+
 def test_words_and_marks_encode_as_whole_texts():
     import public_tokenizers
 
