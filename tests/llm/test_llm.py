@@ -328,6 +328,17 @@ def test_pipeline_near_copies(spark, tmp_path):
     assert sorted(r.doc_id for r in got.collect()) == [0, 10, 20, 30, 31, 40]
 
 
+def test_pipeline_repeated_and_missing_ids(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    t = {p: " ".join(f"{p}{k}" for k in range(60)) for p in "abcdef"}
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, "c"), (3, "c"), (3, "d"), (None, "e"), (5, "e"), (4, "e"), (6, "f"), (None, None), (None, ""), (7, None), (7, None)]
+    table = spark.createDataFrame([(i, t.get(p, p), n) for n, (i, p) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, table, str(tmp_path))
+    assert got.columns == table.columns
+    named = {x: p for p, x in t.items()}
+    assert counted((r.doc_id, named.get(r.text, r.text)) for r in got.collect()) == counted([(1, "a"), (None, "b"), (2, "c"), (3, "d"), (4, "e"), (6, "f"), (None, None), (None, ""), (7, None), (7, None)])
+
+
 def test_words_and_marks_encode_as_whole_texts():
     import public_tokenizers
 
