@@ -1,8 +1,9 @@
 """Host-level quality rules, in DataFrame functions only.
 
 Each document is measured in one pass without a shuffle (`measure`).  Rule failures are summed by host (pre-aggregated in each task), each
-host's failure rate is shrunk towards the corpus by a beta prior fitted to all hosts by moments, and a host whose shrunk rate of any rule is
-too high has a bad verdict, which is joined back to its documents.
+host's failure rate has a beta posterior whose prior has the rate of all other hosts as its mean and the weight of one document, however many hosts
+there are and however rare bad ones are.  A host is bad if its posterior rate of any rule is above WORST_RATE, or is likely above a limit
+relative to the other hosts' rate; the verdict is joined back to its documents.
 
 Null and empty texts have no words and so fail the base rule.  Documents without a host are judged by the base rule alone.  Repeated rows
 count each; other columns are ignored; an empty table gives an empty result.  Texts of any length are measured whole: repeats are found by
@@ -24,8 +25,12 @@ RULES: dict[str, str] = {
     "short_words": "n_words > 0 and word_chars < 2 * n_words",
     "long_words": "word_chars > 30 * n_words",
 }
-#: A host is bad if the shrunk rate of a rule is above this; it then has at least this many documents.
+#: A host is bad if the posterior rate of a rule is above this; it then has at least this many documents.
 WORST_RATE, LEAST_DOCS = 0.9, 20
+#: So many documents of the other hosts' rate are added to each host's own.
+PRIOR_DOCS = 1.0
+#: A host is bad as well if its posterior rate less so many standard deviations is above the rate whose odds are so many times the odds of the other hosts' rate; that limit lies between LEAST_RATE and WORST_RATE.
+DEVIATIONS, ODDS, LEAST_RATE = 2.33, 20.0, 0.5
 #: Up to so many hosts the verdicts are broadcast (under 1 MB); beyond, they are joined by salted host.
 BROADCAST_HOSTS, SALTS = 20_000, 32
 
@@ -69,25 +74,22 @@ def measure(docs: DataFrame, id_col: str = "doc_id", host: str | Column = "sourc
 
 
 def host_verdicts(measured: DataFrame, rules: dict[str, str] = RULES, worst: float = WORST_RATE, least: int = LEAST_DOCS) -> DataFrame:
-    """A row for each host: documents, failures and shrunk failure rate of each rule, and host_bad.
+    """A row for each host: documents, failures and posterior failure rate of each rule, and host_bad.
 
-    The prior of a rule is the beta distribution of the hosts' rates: its mean is the corpus rate, its weight follows from the variance
-    of the rates around it less what sampling explains (between 1 and 10,000 documents' worth)."""
+    The other hosts enter by their common rate alone (a lone host's own takes its place): the verdict doesn't depend on how many they are or how alike."""
     fails = [F.sum(F.expr(f"cast({rule} as long)")).alias(f"fail_{name}") for name, rule in rules.items()]
     hosts = written(measured.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *fails), "hosts")
-    moments = []
+    totals = hosts.agg(F.sum("n_docs").alias("all_docs"), *[F.sum(f"fail_{name}").alias(f"all_{name}") for name in rules])
+    out = hosts.join(F.broadcast(totals))  # one row
+    lone = F.col("all_docs") == F.col("n_docs")
+    bad = F.lit(False)
     for name in rules:
-        rate = F.col(f"fail_{name}") / F.col("n_docs")
-        moments += [(F.sum(f"fail_{name}") / F.sum("n_docs")).alias(f"mean_{name}"), F.avg(rate * rate).alias(f"square_{name}"), F.avg(rate).alias(f"plain_{name}")]
-    prior = hosts.agg(*moments, F.avg(1 / F.col("n_docs")).alias("inverse"))
-    out = hosts.join(F.broadcast(prior))  # one row of moments
-    for name in rules:
-        mean = F.col(f"mean_{name}")
-        spread = F.col(f"square_{name}") - 2 * mean * F.col(f"plain_{name}") + mean * mean
-        own = spread - mean * (1 - mean) * F.col("inverse")
-        weight = F.greatest(F.lit(1.0), F.least(F.lit(10_000.0), F.when(own > 0, mean * (1 - mean) / own - 1).otherwise(F.lit(10_000.0))))
-        out = out.withColumn(f"rate_{name}", (F.col(f"fail_{name}") + weight * mean) / (F.col("n_docs") + weight))
-    bad = F.greatest(*[F.col(f"rate_{name}") for name in rules], F.lit(0.0)) > worst
+        fail, every, rate = F.col(f"fail_{name}"), F.col(f"all_{name}"), F.col(f"rate_{name}")
+        mean = F.when(lone, fail / F.col("n_docs")).otherwise((every - fail) / (F.col("all_docs") - F.col("n_docs")))
+        out = out.withColumn(f"rate_{name}", (fail + PRIOR_DOCS * mean) / (F.col("n_docs") + PRIOR_DOCS))
+        low = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + PRIOR_DOCS + 1))
+        limit = F.least(F.lit(worst), F.greatest(F.lit(LEAST_RATE), ODDS * mean / (1 + (ODDS - 1) * mean)))
+        bad = bad | (rate > worst) | (low > limit)
     rates = [c for name in rules for c in (f"fail_{name}", f"rate_{name}")]
     return out.select("host", "n_docs", *rates, (bad & (F.col("n_docs") >= least)).alias("host_bad"))
 

@@ -128,6 +128,38 @@ def test_bad_host(spark):
     assert {r.host for r in got if r.host_bad} == {"worse"}
 
 
+@pytest.mark.parametrize("n_hosts", [100, 3_000])
+def test_one_bad_host_among_many(spark, n_hosts):
+    n = F.when(F.col("h") == 2, 20).otherwise(500)
+    table = spark.range(n_hosts).withColumnRenamed("id", "h").withColumn("k", F.explode(F.sequence(F.lit(1), n)))
+    share = F.when(F.col("h").isin(0, 2), 1.0).when(F.col("h") == 1, 0.65).when(F.col("h") == 3, 0.4).otherwise(0.05)  # of failing documents
+    zero = [F.lit(0).cast("long").alias(c) for c in ("n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")]
+    measured = table.select(F.col("k").alias("doc_id"), F.concat(F.lit("h"), "h").alias("host"), F.lit(60).cast("long").alias("n_words"), F.lit(240).cast("long").alias("word_chars"), *zero, (F.col("k") <= share * n).alias("base_failed"))
+    got = op3.host_verdicts(measured).where("host_bad").collect()
+    assert {(r.host, r.n_docs) for r in got} == {("h0", 500), ("h1", 500), ("h2", 20)}
+
+
+def test_hosts_sql(spark):
+    """All of judge()'s verdicts against SQL, where some hosts are bad, small or without a name."""
+    import duckdb
+
+    r = random.Random(12)
+    hosts = {"good": (400, 0.05), "fair": (300, 0.4), "most": (300, 0.7), "worst": (200, 1.0), "small": (19, 1.0), "least": (20, 1.0), "quiet": (30, 0.0), None: (50, 1.0)}
+    rows = [(" ".join(f"w{r.random()}" for _ in range(10 if r.random() < bad else 60)), h) for h, (n, bad) in hosts.items() for _ in range(n)]
+    rows += [("# " * 60 + " ".join(f"w{r.random()}" for _ in range(200)) + "####" * 300, "signs") for _ in range(40)]
+    docs = [(i, t, h) for i, (t, h) in enumerate(rows)]
+    got = {x.doc_id: (x.host_bad, x.kept) for x in op3.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    measured = op3.measure(spark.createDataFrame(docs, "doc_id long, text string, source string")).toPandas()  # noqa: F841
+    fail = " UNION ALL ".join(f"SELECT host, '{name}' AS rule, count(*) AS n, sum(({rule})::INT)::DOUBLE AS f FROM measured WHERE host IS NOT NULL GROUP BY host" for name, rule in op3.RULES.items())
+    want = duckdb.sql(f"""
+        WITH h AS ({fail}), o AS (SELECT *, (sum(f) OVER (PARTITION BY rule) - f) / (sum(n) OVER (PARTITION BY rule) - n) AS m FROM h),
+        p AS (SELECT host, n, m, (f + m) / (n + 1) AS r FROM o),
+        v AS (SELECT host, bool_or(n >= 20 AND (r > 0.9 OR r - 2.33 * sqrt(r * (1 - r) / (n + 2)) > least(0.9, greatest(0.5, 20 * m / (1 + 19 * m))))) AS bad FROM p GROUP BY host)
+        SELECT doc_id, coalesce(bad, false), NOT base_failed AND NOT coalesce(bad, false) FROM measured LEFT JOIN v USING (host)""").fetchall()
+    assert got == {i: (bad, kept) for i, bad, kept in want}
+    assert {h for i, _, h in docs if got[i][0]} >= {"worst", "signs"} and not any(got[i][0] for i, _, h in docs if h in ("good", "fair", "small", "quiet", None))
+
+
 def test_media(spark, docs, empty, texts):
     got = {(r.doc_id, r.payload_sha256): r for r in op4.text_digests(docs).collect()}
     for i, t in texts:
