@@ -170,7 +170,7 @@ class Space:
         return np.stack(found, 1).astype(np.int64) + FIRST[:3]
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], codes: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def groups_of(batches: Iterator[pa.RecordBatch], codes: int, most: int = 250_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with up to `most` tokens (or one row); `codes` is the column's place."""
     for b in batches:
         size = pc.binary_length(b.column(codes)).to_numpy() // 3
@@ -201,7 +201,7 @@ def steps(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, features:
         p = probabilities(weights, f)
         p[np.arange(len(y)), y] -= 1
         for k in range(3):
-            order = np.argsort(f[:, k], kind="stable")
+            order = np.argsort(f[:, k].astype(np.uint16), kind="stable")  # of 16 bits: sorted by radix
             rows = f[order, k]
             cut = np.flatnonzero(np.diff(rows, prepend=-1))
             g = np.add.reduceat(p[order], cut, axis=0)
@@ -317,7 +317,7 @@ def records(rows: DataFrame, space, tag: str, buckets: int, with_docs: bool) ->
                 of = np.repeat(b.column(0).to_numpy(), b.column(3).to_numpy())[k] if with_docs else np.zeros(len(k), np.int64)
                 waiting.append((x["hashes"][x["at"][k]], (x["one"][k] * PAST + x["two"][k]).astype(np.uint16), of))
                 held += len(k)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield flush()
                 waiting, held = [], 0
         if held:
@@ -407,7 +407,7 @@ def fit_classes(train: DataFrame, space: tuple, shards: int, rounds: int, tag: s
                     if n.any():
                         yield vectors(at, own, [np.concatenate([n, (w[lo : lo + block] * n[:, None]).ravel()])])
 
-            for b in groups_of(batches, 1, 300_000):
+            for b in groups_of(batches, 1):
                 shard = b.column(0).to_numpy()
                 cut = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
