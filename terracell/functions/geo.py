@@ -11,7 +11,7 @@ EARTH_M = 6371000.0
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres, by the atan2 form."""
     a = F.sin(F.radians(lat2 - lat1) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_M * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+    return 2 * EARTH_M * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))  # a may pass 1 by rounding, at antipodes
 
 
 def haversine_asin(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -26,7 +26,8 @@ def line_length(coords: Column) -> Column:
 
 
 def class_family(road_class: Column) -> Column:
-    return F.regexp_replace(road_class, "_link$", "")
+    """Lower case, without white space around, and without the mark of a link; null is none."""
+    return F.coalesce(F.regexp_replace(F.lower(F.regexp_replace(road_class, r"(?U)^\s+|\s+$", "")), "_link$", ""), F.lit(""))
 
 
 def class_penalty(road_class: Column) -> Column:

@@ -20,7 +20,8 @@ def asof_date(x: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    x = F.trim(x)
+    """The number that a text holds, white space of any kind around it or not; null otherwise."""
+    x = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     return F.when(x.rlike(NUMBER), x.try_cast("double"))
 
 

@@ -70,14 +70,14 @@ def summary(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges")).join(found.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("component").alias("components"))).join(near)  # one row each
 
 
-def contract(edges: DataFrame, protected: DataFrame | None = None) -> DataFrame:
-    """u, v, road_class, parts: chains of nodes of degree two become one edge.
+def contract(edges: DataFrame, protected: DataFrame | None = None, total: str | None = None) -> DataFrame:
+    """u, v, road_class, parts (and the sum of a column `total`): chains of nodes of degree two become one edge.
 
     A node is inside a chain if it is not protected and has just two edges, of one class, to two different neighbours; that set doesn't change while
     chains shrink, so edges that share such a node are labelled together and each label's ends are kept.  A ring without any other node keeps its
     two largest; a loop at a junction keeps the junction and its largest node."""
-    e = cut(edges.where("u <> v").select("u", "v", "road_class", F.monotonically_increasing_id().alias("id")))
-    ends = e.select("id", "road_class", F.col("u").alias("node"), F.col("v").alias("other")).union(e.select("id", "road_class", "v", "u"))
+    e = cut(edges.where("u <> v").select("u", "v", "road_class", (F.col(total) if total else F.lit(0.0)).alias("total"), F.monotonically_increasing_id().alias("id")))
+    ends = e.select("id", "road_class", "total", F.col("u").alias("node"), F.col("v").alias("other")).union(e.select("id", "road_class", "total", "v", "u"))
     inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("road_class").alias("a"), F.max("road_class").alias("b"), F.count_distinct("other").alias("others"))
     inner = inner.where("degree = 2 and a = b and others = 2").select("node")
     if protected is not None:
@@ -86,12 +86,13 @@ def contract(edges: DataFrame, protected: DataFrame | None = None) -> DataFrame:
     labels = components(chained.select("u", "v")).toDF("id", "label")
     marked = cut(ends.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(inner.withColumn("inner", F.lit(True)), "node", "left"))
     outer = marked.where("inner is null").groupBy("label").agg(F.sort_array(F.collect_list("node")).alias("outer"))  # two at most
-    whole = marked.groupBy("label").agg(F.min("road_class").alias("road_class"), (F.count(F.lit(1)) / 2).cast("long").alias("parts"), F.max(F.when(F.col("inner"), F.col("node"))).alias("top"))
+    whole = marked.groupBy("label").agg(F.min("road_class").alias("road_class"), (F.count(F.lit(1)) / 2).cast("long").alias("parts"), (F.sum("total") / 2).alias("total"), F.max(F.when(F.col("inner"), F.col("node"))).alias("top"))
     second = marked.where("inner").join(whole.select("label", "top"), "label").where("node < top").groupBy("label").agg(F.max("node").alias("second"))
     rows = whole.join(outer, "label", "left").join(second, "label", "left")
     ring, loop = F.col("outer").isNull(), F.col("outer")[0] == F.get("outer", F.lit(1))
     u = F.when(ring, F.col("second")).when(loop, F.least(F.col("outer")[0], "top")).otherwise(F.col("outer")[0])
     v = F.when(ring, F.col("top")).when(loop, F.greatest(F.col("outer")[0], "top")).otherwise(F.col("outer")[1])
-    out = rows.select(u.alias("u"), v.alias("v"), "road_class", "parts", (ring | loop).alias("two"))
-    # a ring or loop is two edges between the nodes that it keeps
-    return out.select("u", "v", "road_class", "parts", F.explode(F.when(F.col("two"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+    more = [F.col("total").alias(total)] if total else []
+    out = rows.select(u.alias("u"), v.alias("v"), "road_class", "parts", *more, (ring | loop).alias("two"))
+    # a ring or loop is two edges between the nodes that it keeps; each has the whole one's parts and total
+    return out.select("u", "v", "road_class", "parts", *([total] if total else []), F.explode(F.when(F.col("two"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")

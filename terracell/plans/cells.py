@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracell.functions import quad
-from terracell.operators import layers
+from terracell.operators import adaptive, layers
 from terracell.plans.facilities import PLACES
 from terracell.sources.derived import facilities, polygons
 
 RES = 6
+RULES = adaptive.Rules(base=4, root=2, min_output=4, floor=6, most=9, target=4, interior=4)
 
 
 def _make(res, x: str, y: str) -> str:
@@ -92,17 +93,33 @@ def adaptive_domain(spark, sf_dir):
     return mask(spark, sf_dir, 4).select("cell").distinct().select("cell", (quad.parent(F.col("cell"), 3, 4)).alias("parent"))
 
 
+def partition(spark, sf_dir):
+    return adaptive.Partition(points(spark, sf_dir), adaptive.domain_of(mask(spark, sf_dir, 4).select("cell"), RULES.base), RULES)
+
+
+def _with_res(leaves):
+    return leaves.select("cell", quad.res(F.col("cell")).alias("res"), "n")
+
+
 def adaptive_split(spark, sf_dir):
-    return layers.adaptive_split(points(spark, sf_dir), mask(spark, sf_dir, 3).select("cell").distinct(), 3, 9, 4)
+    return _with_res(partition(spark, sf_dir).split())
 
 
 def adaptive_leaves(spark, sf_dir):
-    return layers.smooth(adaptive_split(spark, sf_dir))
+    """Split, smoothed, merged and cut to the polygons."""
+    p = partition(spark, sf_dir)
+    leaves = p.compacted(p.smoothed(p.split())[0])
+    return _with_res(adaptive.clipped(leaves, polygons(spark, sf_dir), RULES.base))
 
 
 def adaptive_counters(spark, sf_dir):
-    found = adaptive_leaves(spark, sf_dir).select("cell", quad.res(F.col("cell")).alias("res"))
-    return found.groupBy("res").agg(F.count(F.lit(1)).alias("leaves"))
+    """Neighbours of the split before it is smoothed."""
+    return adaptive.counters(adaptive_split(spark, sf_dir), RULES.delta, RULES.root)
+
+
+def adaptive_smoothed_counters(spark, sf_dir):
+    leaves, _ = (p := partition(spark, sf_dir)).smoothed(p.split())
+    return adaptive.counters(leaves, RULES.delta, RULES.root)
 
 
 def boundary_cells(spark, sf_dir):
@@ -142,17 +159,69 @@ def invariant_report(spark, sf_dir):
     return out
 
 
+def _up(cell: str, to) -> str:
+    """The ancestor at `to` of a cell of any finer or equal resolution."""
+    return _make(to, f"(({cell} >> 25) & 33554431) >> (({cell} >> 50) - ({to}))::INT", f"({cell} & 33554431) >> (({cell} >> 50) - ({to}))::INT")
+
+
+def _kids(rows: str, res: str = "(cell >> 50) + 1") -> str:
+    x, y = "((cell >> 25) & 33554431)", "(cell & 33554431)"
+    return f"(SELECT {_make(res, f'{x} * 2 + i', f'{y} * 2 + j')} AS cell FROM {rows}, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))"
+
+
 def _split_sql() -> str:
-    """Levels of the split, one CTE each."""
-    parts = [f"f3 AS (SELECT DISTINCT cell FROM {_cover(3)})"]
-    for res in range(3, 10):
-        count = f"(SELECT {_cell('lat', 'lon', res)} AS c, count(*)::BIGINT AS n FROM places GROUP BY 1)"
-        parts.append(f"c{res} AS (SELECT f.cell, coalesce(k.n, 0) AS n FROM f{res} f LEFT JOIN {count} k ON k.c = f.cell)")
-        if res < 9:
-            x, y = "((cell >> 25) & 33554431)", "(cell & 33554431)"
-            parts.append(f"f{res + 1} AS (SELECT {_make(res + 1, f'{x} * 2 + i', f'{y} * 2 + j')} AS cell FROM c{res}, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE n > 4)")
-    leaves = " UNION ALL ".join(f"SELECT cell, {r} AS res, n FROM c{r}" + (" WHERE n <= 4" if r < 9 else "") for r in range(3, 10))
-    return f"{PLACES}, {POLY}, {', '.join(parts)}, leaves AS ({leaves})"
+    """Levels of the split, one CTE each, over the domain, its ancestors, and counts at all levels."""
+    r = RULES
+    key = _up("near", f"least(near >> 50, {r.base})")
+    parts = [f"dom AS (SELECT DISTINCT cell FROM {_cover(r.base)})", f"area AS MATERIALIZED (SELECT DISTINCT {_up('cell', 'r')} AS cell FROM dom, (SELECT unnest(range({r.root}, {r.base + 1})) AS r))"]
+    parts.append(f"fin AS (SELECT {_cell('lat', 'lon', r.most)} AS cell FROM places WHERE {_cell('lat', 'lon', r.base)} IN (SELECT cell FROM dom))")
+    parts.append(f"cnt AS MATERIALIZED (SELECT {_up('cell', 'r')} AS cell, count(*)::BIGINT AS n FROM fin, (SELECT unnest(range({r.root}, {r.most + 1})) AS r) GROUP BY 1)")
+    parts.append(f"beside AS MATERIALIZED (SELECT DISTINCT near AS cell FROM {_disk(f'(SELECT cell FROM cnt WHERE cell >> 50 < {r.floor})', r.near_k)} WHERE near <> cell)")
+    parts.append(f"f{r.root} AS (SELECT a.cell, coalesce(n, 0) AS n FROM area a LEFT JOIN cnt USING (cell) WHERE a.cell >> 50 = {r.root})")
+    for res in range(r.root, r.most + 1):
+        full = f"(n > 0 AND {res} < {r.floor} OR n > {r.target} AND {res} < {r.most})"
+        if res < max(r.base, r.min_output):
+            split = f"({full} OR n = 0)"
+        elif res < r.floor - 1:
+            band = f"SELECT cell FROM {_disk(f'(SELECT cell FROM f{res} WHERE n = 0)', r.boundary_k)} WHERE {key} NOT IN (SELECT cell FROM area)"
+            split = f"({full} OR n = 0 AND (cell IN ({band}) OR cell IN (SELECT cell FROM beside)))"
+        else:
+            split = full
+        parts.append(f"l{res} AS MATERIALIZED (SELECT cell, n, {split} AS splits FROM f{res})")
+        if res < r.most:
+            kids = _kids(f"(SELECT cell FROM l{res} WHERE splits)")
+            parts.append(f"f{res + 1} AS (SELECT k.cell, coalesce(n, 0) AS n FROM {kids} k LEFT JOIN cnt USING (cell) WHERE {_up('k.cell', min(res + 1, r.base))} IN (SELECT cell FROM area))")
+    leaves = " UNION ALL ".join(f"SELECT cell, {res} AS res, n FROM l{res} WHERE NOT splits" for res in range(r.root, r.most + 1))
+    return f"{PLACES}, {POLY}, {', '.join(parts)}, leaves AS MATERIALIZED ({leaves})"
+
+
+def _pairs(leaves: str) -> str:
+    """SELECT cell, leaf, delta of a table of leaves."""
+    return f"(SELECT cell, leaf, (cell >> 50) - (leaf >> 50) AS delta FROM (SELECT cell, {_up('near', 'r')} AS leaf FROM {_disk(leaves)}, (SELECT unnest(range({RULES.root}, {RULES.most + 1})) AS r) WHERE near <> cell AND r <= near >> 50) WHERE leaf IN (SELECT cell FROM {leaves}))"
+
+
+def _smooth_sql(rounds: int = 6) -> str:
+    """So many rounds of forced splits; the last one must find none, as the counters' SQL shows."""
+    parts = ["s0 AS MATERIALIZED (SELECT cell, n FROM leaves)"]
+    for k in range(rounds):
+        parts.append(f"c{k}_ AS MATERIALIZED (SELECT DISTINCT leaf AS cell FROM {_pairs(f's{k}')} WHERE delta > {RULES.delta})")
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT cell, n FROM s{k} WHERE cell NOT IN (SELECT cell FROM c{k}_) UNION ALL SELECT k.cell, coalesce(n, 0) FROM {_kids(f'c{k}_')} k LEFT JOIN cnt USING (cell))")
+    return f"{_split_sql()}, {', '.join(parts)}, smoothed AS MATERIALIZED (SELECT * FROM s{rounds})"
+
+
+def _partition_sql() -> str:
+    r, parts, last = RULES, [], "smoothed"
+    for res in range(r.floor - 1, r.min_output, -1):
+        parent, near = _up("cell", res - 1), _up("near", res - 1)
+        band = f"SELECT cell FROM {_disk(f'g{res}', r.boundary_k)} WHERE {_up('near', min(res - 1, r.base))} NOT IN (SELECT cell FROM area)"
+        parts.append(f"g{res} AS (SELECT {parent} AS cell FROM {last} WHERE cell >> 50 = {res} AND n = 0 GROUP BY 1 HAVING count(*) = 4)")
+        fine = f"SELECT {near} FROM {_disk(f'(SELECT cell FROM {last} WHERE cell >> 50 > {res - 1 + r.delta})')}"
+        parts.append(f"m{res} AS MATERIALIZED (SELECT cell FROM g{res} WHERE {res - 1} <= {r.interior} AND cell NOT IN ({band}) AND cell NOT IN (SELECT cell FROM beside) AND cell NOT IN ({fine}))")
+        parts.append(f"p{res} AS MATERIALIZED (SELECT cell, n FROM {last} WHERE NOT (cell >> 50 = {res} AND {parent} IN (SELECT cell FROM m{res})) UNION ALL SELECT cell, 0 FROM m{res})")
+        last = f"p{res}"
+    n, x, y = "(1::BIGINT << (cell >> 50))", "((cell >> 25) & 33554431)", "(cell & 33554431)"
+    inside = f"EXISTS (SELECT 1 FROM poly WHERE least(({x} + 1) / {n}::DOUBLE * 360 - 180, east) > greatest({x} / {n}::DOUBLE * 360 - 180, west) AND least(({y} + 1) / {n}::DOUBLE * 180 - 90, north) > greatest({y} / {n}::DOUBLE * 180 - 90, south))"
+    return f"{_smooth_sql()}, {', '.join(parts)}, final AS (SELECT cell, (cell >> 50)::INT AS res, n FROM {last} WHERE {inside})"
 
 
 def _quadtree_sql() -> str:
@@ -164,6 +233,7 @@ def _quadtree_sql() -> str:
     return f"WITH {POLY}, {', '.join(parts)} SELECT cell, min(iso) AS iso FROM ({leaves}) GROUP BY 1"
 
 
+COUNTED = f"SELECT count(*) AS adjacency_checks, count(*) FILTER (WHERE delta > {RULES.delta}) AS violating_neighbor_pairs, coalesce(max(delta), 0)::INT AS max_neighbor_delta_observed FROM {{pairs}}"
 CLAIM = f"claim AS (SELECT cell, min(iso) AS iso FROM {_cover(RES)} GROUP BY 1)"
 SQL = {
     "cell_density": f"WITH {DENSITY} SELECT * FROM dens",
@@ -177,6 +247,9 @@ SQL = {
     "country_adjacency": f"WITH {POLY}, {CLAIM} SELECT DISTINCT a.iso, b.iso AS other FROM {_disk('claim')} d JOIN claim a ON a.cell = d.cell JOIN claim b ON b.cell = d.near WHERE a.iso <> b.iso",
     "adaptive_domain": f"WITH {POLY} SELECT DISTINCT cell, {_make(3, '((cell >> 25) & 33554431) >> 1', '(cell & 33554431) >> 1')} AS parent FROM {_cover(4)}",
     "adaptive_split": f"WITH {_split_sql()} SELECT * FROM leaves",
+    "adaptive_leaves": f"WITH {_partition_sql()} SELECT * FROM final",
+    "adaptive_counters": f"WITH {_split_sql()} {COUNTED.format(pairs=_pairs('leaves'))}",
+    "adaptive_smoothed_counters": f"WITH {_smooth_sql()} {COUNTED.format(pairs=_pairs('smoothed'))}",
     "boundary_cells": f"WITH {POLY}, m AS (SELECT DISTINCT cell FROM {_cover(RES)}) SELECT DISTINCT cell FROM {_disk('m')} WHERE near NOT IN (SELECT cell FROM m)",
     "covering_leaf": f"""WITH {_split_sql()}, fine AS (SELECT DISTINCT {_cell('lat', 'lon', 9)} AS cell FROM places),
  up AS (SELECT cell, {_make('r', '((cell >> 25) & 33554431) >> (9 - r)', '(cell & 33554431) >> (9 - r)')} AS leaf FROM fine, (SELECT unnest(range(10)) AS r))
@@ -184,10 +257,10 @@ SQL = {
     "ancestor_overlap": f"WITH {DENSITY}, five AS (SELECT {_cell('lat', 'lon', 5)} AS cell FROM places GROUP BY 1 HAVING count(*) > 3) SELECT cell FROM dens WHERE {_make(5, '((cell >> 25) & 33554431) >> 1', '(cell & 33554431) >> 1')} IN (SELECT cell FROM five)",
     "region_components": f"WITH RECURSIVE {DENSITY}, {CLOSE.format(disk=_disk('dens'), cells='dens')} SELECT * FROM comp",
     "region_points": f"WITH RECURSIVE {DENSITY}, {CLOSE.format(disk=_disk('dens'), cells='dens')} SELECT component, count(*)::BIGINT AS size FROM comp GROUP BY 1",
-    "invariant_report": f"""WITH {_split_sql()}, up AS (SELECT l.cell, {_make('r', '((l.cell >> 25) & 33554431) >> (res - r)::INT', '(l.cell & 33554431) >> (res - r)::INT')} AS above FROM leaves l, (SELECT unnest(range(3, 9)) AS r) WHERE r < res)
+    "invariant_report": f"""WITH {_split_sql()}, up AS (SELECT l.cell, {_make('r', '((l.cell >> 25) & 33554431) >> (res - r)::INT', '(l.cell & 33554431) >> (res - r)::INT')} AS above FROM leaves l, (SELECT unnest(range(2, 9)) AS r) WHERE r < res)
  SELECT 'coordinates' AS "check", count(*)::BIGINT AS violations FROM places WHERE lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180
  UNION ALL SELECT 'ids', count(*) FROM (SELECT id FROM places GROUP BY 1 HAVING count(*) > 1)
  UNION ALL SELECT 'leaves_overlap', count(DISTINCT u.cell) FROM up u JOIN leaves l ON l.cell = u.above
  UNION ALL SELECT 'leaves_repeat', count(*) FROM (SELECT cell FROM leaves GROUP BY 1 HAVING count(*) > 1)""",
 }
-QUERIES = [cell_density, density_seed, metro_core, hierarchical_counts, country_mask_fixed, country_mask_first_claim, country_mask_quadtree, country_adjacency, adaptive_domain, adaptive_split, adaptive_leaves, adaptive_counters, boundary_cells, covering_leaf, ancestor_overlap, region_components, region_points, invariant_report]
+QUERIES = [cell_density, density_seed, metro_core, hierarchical_counts, country_mask_fixed, country_mask_first_claim, country_mask_quadtree, country_adjacency, adaptive_domain, adaptive_split, adaptive_leaves, adaptive_counters, adaptive_smoothed_counters, boundary_cells, covering_leaf, ancestor_overlap, region_components, region_points, invariant_report]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracell.operators import network, roads
-from terracell.plans.cells import _cell, _make, _split_sql, adaptive_split
+from terracell.plans.cells import _cell, _disk, _make, _split_sql, _up, adaptive_split
 from terracell.plans.roads import EDGE, NODE, RANK, measured
 from terracell.sources.derived import road_edges, road_nodes
 
@@ -45,6 +45,13 @@ def class_filter_adaptive(spark, sf_dir):
 N = 1 << RES
 ENDS = "ends AS (SELECT e.*, a.lat AS u_lat, a.lon AS u_lon, b.lat AS v_lat, b.lon AS v_lon FROM edge e JOIN node a ON a.node_id = u JOIN node b ON b.node_id = v)"
 GRID = f"grid AS (SELECT *, (u_lon + 180.0) / 360.0 * {N} AS x0, (v_lon + 180.0) / 360.0 * {N} AS x1, (u_lat + 90.0) / 180.0 * {N} AS y0, (v_lat + 90.0) / 180.0 * {N} AS y1 FROM ends)"
+#: Of rows `mid` (road_class, cell of resolution 9): the covering leaf, and the resolution that counts; beside leaves the least one within a cell.
+LEVELS = f"""up AS (SELECT DISTINCT cell, {_up('cell', 'r')} AS leaf FROM mid, (SELECT unnest(range(10)) AS r)),
+ top AS (SELECT u.cell, max(u.leaf) AS leaf FROM up u JOIN leaves l ON l.cell = u.leaf GROUP BY 1),
+ bare AS (SELECT cell AS fine, {_up('cell', 'r')} AS cell FROM (SELECT DISTINCT cell FROM mid WHERE cell NOT IN (SELECT cell FROM top)), (SELECT DISTINCT cell >> 50 AS r FROM leaves)),
+ close AS (SELECT b.fine AS cell, min(d.near >> 50) AS level FROM bare b JOIN {_disk('(SELECT DISTINCT cell FROM bare)')} d ON d.cell = b.cell WHERE d.near IN (SELECT cell FROM leaves) GROUP BY 1),
+ lev AS (SELECT mid.*, leaf, coalesce(leaf >> 50, level, 0) AS level FROM mid LEFT JOIN top USING (cell) LEFT JOIN close USING (cell))"""
+SHOWN = f"{RANK} <= CASE WHEN level <= 3 THEN 0 WHEN level <= 6 THEN 1 WHEN level <= 8 THEN 2 ELSE 3 END AND road_class NOT IN ('primary_link', 'secondary_link')"
 MID = ("(u_lat + v_lat) / 2", "(u_lon + v_lon) / 2")
 SQL = {
     "edges_at_portals": f"""WITH {NODE}, {EDGE}, {ENDS}, {GRID}, lines AS (SELECT unnest(range({N + 1})) AS k),
@@ -55,10 +62,6 @@ SQL = {
  SELECT p.u, p.v, p.road_class, part, round(t0, 9) AS t0, round(t1, 9) AS t1, {_make(RES, f'least(floor(x0 + (t0 + t1) / 2 * (x1 - x0)), {N - 1})', f'least(floor(y0 + (t0 + t1) / 2 * (y1 - y0)), {N - 1})')} AS cell
  FROM parts p JOIN grid g ON g.u = p.u AND g.v = p.v WHERE t1 IS NOT NULL""",
     "edge_midpoint_cells": f"WITH {NODE}, {EDGE}, {ENDS} SELECT u, v, road_class, {_cell(*MID, RES)} AS cell FROM ends",
-    "class_filter_adaptive": f"""WITH {_split_sql()}, {NODE}, {EDGE}, {ENDS}, mid AS (SELECT u, v, road_class, {_cell(*MID, 9)} AS cell FROM ends),
- up AS (SELECT DISTINCT cell, {_make('r', '((cell >> 25) & 33554431) >> (9 - r)', '(cell & 33554431) >> (9 - r)')} AS leaf FROM mid, (SELECT unnest(range(10)) AS r)),
- top AS (SELECT u.cell, max(u.leaf) AS leaf FROM up u JOIN leaves l ON l.cell = u.leaf GROUP BY 1),
- lev AS (SELECT u, v, road_class, leaf, coalesce(leaf >> 50, 0) AS level FROM mid LEFT JOIN top USING (cell))
- SELECT u, v, road_class, leaf FROM lev WHERE {RANK} <= CASE WHEN level <= 3 THEN 0 WHEN level <= 6 THEN 1 WHEN level <= 8 THEN 2 ELSE 3 END AND road_class NOT IN ('primary_link', 'secondary_link')""",
+    "class_filter_adaptive": f"WITH {_split_sql()}, {NODE}, {EDGE}, {ENDS}, mid AS (SELECT u, v, road_class, {_cell(*MID, 9)} AS cell FROM ends), {LEVELS} SELECT u, v, road_class, leaf FROM lev WHERE {SHOWN}",
 }
 QUERIES = [spanning_forest, nearest_hub, pruned_edges, edges_at_portals, edge_midpoint_cells, class_filter_adaptive]
