@@ -83,17 +83,25 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes (or characters) of words that a word memory holds; longer words than LONG are never remembered by WordHashes.
+MEMORY, LONG = 32 << 20, 256
+
+
 class WordHashes(dict):
-    """Maps a word (bytes) to its 64-bit hash, remembering the last `most` words; the hash never depends on the memory."""
+    """Maps a word (bytes) to its 64-bit hash, remembering up to `most` words of up to LONG bytes; the hash never depends on the memory."""
 
     def __init__(self, most: int = 600_000):
         super().__init__()
-        self.most = most
+        self.most, self.held = most, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            if len(self) >= self.most or self.held >= MEMORY:
+                self.clear()
+                self.held = 0
+            self[word] = h
+            self.held += len(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -101,20 +109,26 @@ class WordHashes(dict):
 
 
 class WordCodes(dict):
-    """Maps a word to a small code; `learn` gets each new word once, in order of codes. Cleared at `most` words, so memory is bounded."""
+    """Maps a word to a small code; `learn` gets each new word once, in order of codes. To be cleared once it is full, at `most` words or MEMORY bytes of
+    them, so memory is bounded by that and one text."""
 
     def __init__(self, most: int = 500_000):
         super().__init__()
-        self.most = most
+        self.most, self.held = most, 0
         self.new: list = []
 
     def __missing__(self, word) -> int:
         c = self[word] = len(self)
+        self.held += len(word)
         self.new.append(word)
         return c
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
     def full(self) -> bool:
-        return len(self) >= self.most
+        return len(self) >= self.most or self.held >= MEMORY
 
 
 def ascii_words(data: bytes) -> list[bytes]:
@@ -171,18 +185,18 @@ class ChunkCache:
         return self.ids[np.repeat(self.start[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
+_KEPT: dict[tuple, object] = {}
+
+
 def kept(key: tuple, make: Callable):
     """make()'s result, kept in this Python process for the tasks that follow; at most two such objects stay.
 
     Only for memories that no result depends on."""
-    import sys
-
-    memory = sys.__dict__.setdefault("_terracell_kept", {})
-    if key not in memory:
-        while len(memory) >= 2:
-            memory.pop(next(iter(memory)))
-        memory[key] = make()
-    return memory[key]
+    if key not in _KEPT:
+        while len(_KEPT) >= 2:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def bloom_bits(ids: DataFrame, col: str, bits: int) -> np.ndarray:

@@ -4,8 +4,9 @@ Layout, one row per document, ascending by id over all files: ``id``, ``part`` (
 ``local_start`` (ids of the documents before it in its part), ``n_tokens``, ``tokens`` (array<int>, ORC's integer RLE v2).
 Stripes are the unit of parallel reads; stripe statistics, row indexes and Bloom filters on ``id`` prune lookups.
 
-Null texts count as empty; null ids sort first; rows that repeat an id each keep a row of their own (ties by text).  Other columns of the
-input are ignored.  An empty table gives an empty, readable folder.  Memory: one arrow batch, plus a word memory of fixed size.
+Null texts count as empty; null ids sort first; rows that repeat an id each keep a row of their own, by the first characters of their text and
+then as they come, so no id, missing or not, fills a task alone.  Other columns of the input are ignored.  An empty table gives an empty, readable
+folder.  Memory: one arrow batch, plus a word memory bounded in words and bytes; texts with very long words are encoded whole.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from terracell.llm.common import ChunkCache, kept, list_array
 
 #: A mark between a letter and a blank: the vocabulary's rules part it from both, so the word before needs no place of its own in the memory.
 MARK = re.compile(r"([.,;:!?])(?<=[a-z].)(?= )")
+#: Texts on which word by word and whole texts must agree.
+PROBES = ["The end. It's 12,5% (don't) -- A,B;c!", "x\ty  z\n\nÀé naïve ÉCOLE", "日本語 テスト, ok? ...no", "a.b c: d;e\u00a0f"]
 SCHEMA = "id long, part int, local_start long, n_tokens long, tokens array<int>"
 
 
@@ -32,7 +35,8 @@ class WordTokenizer:
     """Encodes whole texts with the tokenizers library, word by word.
 
     The vocabulary's own rules drop white space and never merge across it, so a text's ids are the ids of its blank-separated
-    words in turn; words met before are not encoded again.  Special tokens' strings are ordinary text."""
+    words in turn; words met before are not encoded again.  Whether that holds for the vocabulary at hand is tried on PROBES first; if it doesn't,
+    and for texts with a string of an added (special) token, the library encodes whole texts.  All its settings are its own."""
 
     def __init__(self, path: str, end_id: int | None, most: int = 600_000, longest: int = 64):
         import os
@@ -41,15 +45,20 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end = np.array([] if end_id is None else [end_id], np.int32)
         self.longest, self.cache = longest, ChunkCache(self._plain, most)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        rules = json.loads(self.tokenizer.to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        self.added = [x["content"].lower() for x in rules.get("added_tokens") or []]
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.gap = self._ids(" \0 ")
+        whole = [x.ids for x in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
+        ids, n = self.encode(PROBES)
+        if [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] != [x + self.end.tolist() for x in whole]:
+            self.longest = -1
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
@@ -115,7 +124,7 @@ class WordTokenizer:
 
         for text in texts:
             own = self.words(text)
-            if max(map(len, own)) > self.longest:  # such words get no place in the memory
+            if max(map(len, own)) > self.longest or self.added and any(map(text.lower().__contains__, self.added)):  # such words get no place in the memory
                 flush()
                 ids = self._ids(text)
                 put(ids, np.array([len(ids)]))
@@ -148,7 +157,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = rows.withColumns({"begins": F.substring("text", 1, 32), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("id", "begins", "row").sortWithinPartitions("id", "text").select("id", "text")
     out = rows.mapInArrow(encode, SCHEMA).write.option("orc.bloom.filter.columns", "id").option("orc.bloom.filter.fpp", "0.01")
     out.option("orc.row.index.stride", index_rows).option("orc.stripe.size", stripe_bytes).orc(path)
 

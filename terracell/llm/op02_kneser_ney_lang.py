@@ -7,8 +7,10 @@ rejected if it has no letter, or if its cross-entropy lies further above the cal
 those documents (deviations shrink with the square root of the length).
 
 The models learn from a sample of labelled rows: of each language about `per_language` documents, chosen by a hash of their id, whole texts.
-Null texts and texts without letters give `und`, score 0 and rejected.  Without labelled rows every text gives `und`.  Repeated rows keep a
-row each; other columns are ignored; ties go to the first language in order of name.
+Letters are the characters of Unicode's categories L*.  Null texts and texts without letters give `und`, score 0 and rejected.  Without labelled
+rows every text gives `und`.  Repeated rows keep a row each, and a repeated id of the sample calibrates once; other columns are ignored; ties
+go to the first language in order of name; an empty table gives an empty result.  Texts and words of any length are read whole, in blocks of
+characters; word memories are bounded in words and bytes.
 """
 
 from __future__ import annotations
@@ -25,12 +27,20 @@ from pyspark.sql import functions as F
 from terracell.llm.common import WordCodes, filtered, id_crc, kept, mix64, received, send, utf8
 
 ORDER = 5
-LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = re.compile(r"[^\W\d_]+")
+#: Characters that the models score at once.
+WINDOWS = 1 << 16
 #: Multipliers of a gram's characters, from the last one backwards.
 LAG = mix64(np.arange(11, 11 + ORDER, dtype=np.uint64)) | np.uint64(1)
 MAX_REJECT_SHARE = 1.5
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters. RUNS also matches numerals such as a half or Roman eight, which are none."""
+    found = RUNS.findall(text)
+    return found if all(map(str.isalpha, found)) else [x for run in found for x in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def hashes_of(chars: np.ndarray) -> list[np.ndarray]:
     """chars: rows of the ORDER code points that end at a position. For each order, the grams' hashes."""
     out, total = [], np.zeros(len(chars), np.uint64)
@@ -50,8 +60,8 @@ def contexts_of(chars: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ORDER code points that end at each letter and at each word's end; and how many each word has."""
+def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of ORDER code points of the words, a view; where those are that end at a letter or a word's end; and how many each word has."""
     pad = "\x02" * (ORDER - 1)
     text = "".join(f"{pad}{w}\x03" for w in words)
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -59,7 +69,7 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     starts = np.cumsum(n + ORDER - 1) - (n + ORDER - 1)
     at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return every[at], n
+    return every, at, n
 
 
 class Model:
@@ -103,7 +113,16 @@ class Model:
 
     def costs(self, words: list[str]) -> np.ndarray:
         """Nats that each language's model spends on each word."""
-        chars, n = windows(words)
+        every, places, n = windows(words)
+        word, out = np.repeat(np.arange(len(n)), n), np.zeros((len(n), len(self.langs)))
+        for lo in range(0, len(places), WINDOWS):
+            p, own = self.probabilities(every[places[lo : lo + WINDOWS]]), word[lo : lo + WINDOWS]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[first]] -= np.add.reduceat(np.log(p), first, axis=0)
+        return out
+
+    def probabilities(self, chars: np.ndarray) -> np.ndarray:
+        """Of the last character of each window, by language."""
         p = np.full((len(chars), len(self.langs)), self.base)
         for order, (gram, context) in enumerate(zip(hashes_of(chars), contexts_of(chars), strict=True)):
             at = np.minimum(np.searchsorted(self.keys[order], gram), len(self.keys[order]) - 1)
@@ -111,7 +130,7 @@ class Model:
             up = np.minimum(np.searchsorted(self.contexts[order], context), len(self.contexts[order]) - 1)
             weight = np.where((self.contexts[order][up] == context)[:, None], self.weights[order][up], 1.0)
             p = np.where(seen[:, None], self.probs[order][at], weight * p)
-        return -np.add.reduceat(np.log(p), np.cumsum(n) - n, axis=0) if len(n) else np.zeros((0, len(self.langs)))
+        return p
 
 
 class Scorer:
@@ -128,7 +147,7 @@ class Scorer:
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
         for lo in range(0, len(new), 5_000):
-            runs = [LETTERS.findall(w.decode("utf-8", "replace").lower()) for w in new[lo : lo + 5_000]]
+            runs = [letters(w.decode("utf-8", "replace").lower()) for w in new[lo : lo + 5_000]]
             flat, owner = [w for r in runs for w in r], np.repeat(np.arange(len(runs)), [len(r) for r in runs])
             cost, size = np.zeros((len(runs), len(self.model.langs))), np.zeros(len(runs), np.int32)
             np.add.at(cost, owner, self.model.costs(flat))
@@ -200,14 +219,14 @@ def fit(docs: DataFrame, learn: str = "pmod(crc, 5) != 0", per_language: int = 8
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 20, (per_language << 20) // n))])
     mark = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    sample = rows.where(mark < F.element_at(share, F.col("lang"))).select("lang", utf8("text").alias("data"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).alias("aside"))
+    sample = rows.where(mark < F.element_at(share, F.col("lang"))).select("id", "lang", utf8("text").alias("data"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0).alias("aside"))
     pad = "\x02" * (ORDER - 1)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         for b in batches:
             for lang, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.update((lang, w) for w in LETTERS.findall(data.decode("utf-8", "replace").lower()))
+                words.update((lang, w) for w in letters(data.decode("utf-8", "replace").lower()))
         counts: Counter = Counter()
         for (lang, w), n in words.items():
             s = f"{pad}{w}\x03"
@@ -216,7 +235,7 @@ def fit(docs: DataFrame, learn: str = "pmod(crc, 5) != 0", per_language: int = 8
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    found = sample.where("not aside").mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.where("not aside").select("lang", "data").mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = {}
     for lang, gram, n in zip(*(c.to_pylist() for c in found.columns), strict=True):
         counts.setdefault(lang, {})[gram] = n
@@ -227,11 +246,13 @@ def fit(docs: DataFrame, learn: str = "pmod(crc, 5) != 0", per_language: int = 8
     def aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(out.model)
         for b in batches:
-            got = [scorer.score(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tolist() for c, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.int64())], names=["lang", "costs", "n"])
+            got = [scorer.score(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tolist() for c, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.int64())], names=["id", "lang", "costs", "n"])
 
-    kept_out = sample.where("aside").select("lang", "data").mapInArrow(aside, "lang string, costs array<double>, n long").collect()  # of the sample
-    out.calibrate([(r[0], np.array(r[1]), r[2]) for r in kept_out])
+    id_type = docs.schema[id_col].dataType.simpleString()
+    kept_out = sample.where("aside").select("id", "lang", "data").mapInArrow(aside, f"id {id_type}, lang string, costs array<double>, n long")
+    kept_out = kept_out.groupBy("id", "lang").agg(F.min(F.struct("n", "costs")).alias("one")).collect()  # ids of the sample, once
+    out.calibrate([(r[1], np.array(r.one.costs), r.one.n) for r in kept_out])
     return out
 
 

@@ -2,7 +2,8 @@
 
 ``decode`` reads P1-P6 (8-bit) and uncompressed BMP (8-bit palette, 24 and 32 bit) to an array (height, width, channels).
 ``area_resize`` takes exact box means from the integral image, so its cost does not depend on the scale.  ``dhash`` compares neighbours
-of a 9 x 8 grey image.  Bytes that are no readable image give null tile and hash, and the reason in ``error``; null bytes give a row of nulls.
+of a 9 x 8 grey image.  Bytes that are no readable image (a size that the bytes don't hold or that is not positive, samples out of range) give null
+tile and hash, and the reason in ``error``; null bytes give a row of nulls.
 Repeated rows keep a row each; other columns are ignored; an empty table gives an empty one.  Work is row by row, bounded by one arrow batch.
 """
 
@@ -24,9 +25,15 @@ from terracell.llm.common import shared_path, utf8
 
 WIDTH = 64
 TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
+STORED = "id long, n_bytes long, media binary, tile binary, dhash string"
 TILES = "id long, height int, width int, channels int, media_bytes long, media_sha256 string, tile binary, dhash string, error string"
 
 
+def _held(samples: int, width: int, height: int, size: int) -> None:
+    if width <= 0 or height <= 0 or samples > size:
+        raise ValueError("no positive size that the bytes hold")
+
+
 def _netpbm(data: bytes) -> np.ndarray:
     kind, at, fields = int(data[1:2]), 2, []
     for _ in range(2 if kind in (1, 4) else 3):
@@ -37,8 +44,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     w, h = fields[:2]
     top, channels = fields[2] if kind not in (1, 4) else 1, 3 if kind in (3, 6) else 1
-    if not 0 < top < 256 or w <= 0 or h <= 0:
-        raise ValueError("only 8-bit samples of a positive size")
+    if not 0 < top < 256:
+        raise ValueError("only 8-bit samples")
+    _held(w * h * (1 if kind in (1, 4) else channels) // (8 if kind == 4 else 1), w, h, len(data))
     if kind == 4:
         row = (w + 7) // 8
         bits = np.unpackbits(np.frombuffer(data, np.uint8, row * h, at + 1).reshape(h, row), axis=1)[:, :w]
@@ -47,7 +55,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         x = np.frombuffer(data, np.uint8, w * h * channels, at + 1)
     else:
         text = re.sub(rb"#[^\n]*", b"", data[at:])
-        x = np.array([int(c) for c in (re.findall(rb"[01]", text) if kind == 1 else text.split())][: w * h * channels])
+        x = np.array([int(c) if len(c) < 4 else -1 for c in (re.findall(rb"[01]", text) if kind == 1 else text.split())][: w * h * channels])
+        if len(x) and not 0 <= x.min() <= x.max() <= top:
+            raise ValueError("samples out of range")
         x = (1 - x) * 255 if kind == 1 else x
     x = x.reshape(h, w, channels)
     return x if top == 255 or kind == 1 else (x.astype(np.int64) * 255 // top).astype(np.uint8)
@@ -58,6 +68,7 @@ def _bmp(data: bytes) -> np.ndarray:
     if packed or depth not in (8, 24, 32):
         raise ValueError("only plain BMP of 8, 24 or 32 bits")
     row = (w * depth + 31) // 32 * 4
+    _held(row * abs(h), w, abs(h), len(data))
     x = np.frombuffer(data, np.uint8, row * abs(h), at).reshape(abs(h), row)[:, : w * depth // 8]
     x = x if h < 0 else x[::-1]
     if depth == 8:
@@ -74,7 +85,7 @@ def decode(data: bytes) -> np.ndarray:
             return _netpbm(data).astype(np.uint8)
         if data[:2] == b"BM":
             return _bmp(data)
-    except (struct.error, IndexError) as e:
+    except (struct.error, IndexError, OverflowError) as e:
         raise ValueError(str(e)) from e
     raise ValueError("neither Netpbm nor BMP")
 
@@ -127,8 +138,7 @@ def tiles(media: DataFrame, id_col: str = "id", media_col: str = "media", side:
                 known = (len(data), hashlib.sha256(data).hexdigest())
                 try:
                     x = decode(data)
-                    tile = np.floor(area_resize(x, side, side) + 0.5).astype(np.uint8)
-                    rows.append((i, *x.shape, *known, npy(tile), dhash(x), None))
+                    rows.append((i, *x.shape, *known, tile_of(x, side), dhash(x), None))
                 except ValueError as e:
                     rows.append((i, None, None, None, *known, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=names)
@@ -136,22 +146,29 @@ def tiles(media: DataFrame, id_col: str = "id", media_col: str = "media", side:
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(each, TILES)
 
 
+def tile_of(image: np.ndarray, side: int = 16) -> bytes:
+    """An NPY file of uint8 (side, side, channels)."""
+    return npy(np.floor(area_resize(image, side, side) + 0.5).astype(np.uint8))
+
+
 def text_media(docs: DataFrame) -> DataFrame:
-    """id, n_bytes and media: each text's UTF-8 bytes, padded with 0 to a positive multiple of 64, as a binary PGM."""
+    """id, n_bytes, media, tile and dhash: each text's UTF-8 bytes, padded with 0 to a positive multiple of 64, as a binary PGM; its NPY tile and difference hash."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = b.column(1).to_pylist()
             media = [encode_pgm(x + bytes(-len(x) % WIDTH if x else WIDTH)) for x in data]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+            images = [decode(x) for x in media]
+            tiles_ = [tile_of(x) for x in images]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(media, pa.binary()), pa.array(tiles_, pa.binary()), pa.array([dhash(x) for x in images])], names=["id", "n_bytes", "media", "tile", "dhash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("data")).mapInArrow(each, "id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("data")).mapInArrow(each, STORED)
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
-    """Stores every text as media, reads the stored bytes back, and digests what was read: samples, tile and difference hash.
+    """Stores every text as media with its tile and hash, reads the stored bytes back, and digests what was read.
 
-    The feature is the difference hash with the crc32 of the NPY tile."""
+    The feature is the stored difference hash with the crc32 of the samples of the stored NPY tile."""
     spark = docs.sparkSession
     path = shared_path(spark, "media")
     text_media(docs).write.option("compression", "zstd").parquet(path)
@@ -159,14 +176,13 @@ def text_digests(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = decode(data)
-                payload = x.tobytes()
-                tile = npy(np.floor(area_resize(x, 16, 16) + 0.5).astype(np.uint8))
-                out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{dhash(x)}{zlib.crc32(tile):08x}", tile))
+            for i, n, data, tile, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                payload = decode(data).tobytes()
+                samples = np.load(io.BytesIO(tile), allow_pickle=False)
+                out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{known}{zlib.crc32(samples.tobytes()):08x}", tile))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
 
-    stored = spark.read.schema("id long, n_bytes long, media binary").parquet(path)
+    stored = spark.read.schema(STORED).parquet(path)
     return stored.mapInArrow(each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")

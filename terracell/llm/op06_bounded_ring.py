@@ -1,6 +1,6 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-Each shard has `virtual` points on the ring of 64-bit hashes; a key belongs to the first point clockwise of its own hash.  A shard takes keys,
+Each shard has `virtual` points on the ring of 64-bit hashes; a key (id, size, crc) belongs to the first point clockwise of its own hash.  A shard takes keys,
 in ring order, until it holds its bound; keys beyond it continue clockwise to the next point whose shard has room.  With `slack` 0 the
 bounds are exactly N // shards, one more for the first N % shards shards, so counts differ by one at most; with slack e they are
 ceil((1 + e) * N / shards).
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 RING_BITS = 12
 SEGMENTS = 1 << RING_BITS
+#: Copies of one row in one array.
+BLOCK = 4096
 
 
 def ring(shards: int, virtual: int) -> list[tuple[int, int]]:
@@ -53,7 +55,7 @@ def assign(docs: DataFrame, shards: int = 8, virtual: int = 128, slack: float =
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + F.lit(1)).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     keys = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    keys = keys.withColumn("hash", F.xxhash64("doc_id")).withColumn("segment", F.shiftrightunsigned("hash", 64 - RING_BITS).cast("int"))
+    keys = keys.withColumn("hash", F.xxhash64("doc_id", "size", "text_crc32")).withColumn("segment", F.shiftrightunsigned("hash", 64 - RING_BITS).cast("int"))
     counts = {r[0]: r[1] for r in keys.groupBy("segment").agg(F.sum("copies")).collect()}  # at most SEGMENTS rows
     plan = spark.createDataFrame(layout(counts, shards, virtual, slack), "plan_segment int, low long, high long, shard int, first_slot long")
     order = Window.partitionBy("segment").orderBy("hash", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
@@ -62,5 +64,7 @@ def assign(docs: DataFrame, shards: int = 8, virtual: int = 128, slack: float =
     met = (F.col("segment") == F.col("plan_segment")) & (F.col("rank") < F.col("high")) & (F.col("upto") > F.col("low"))
     parts = ranked.join(F.broadcast(plan), met)
     low, high = F.greatest("rank", "low"), F.least("upto", "high")
-    slots = F.sequence(F.col("first_slot") + low - F.col("low"), F.col("first_slot") + high - F.col("low") - F.lit(1))
-    return parts.select("doc_id", "size", "text_crc32", "shard", F.explode(slots).alias("slot"))
+    first, last = F.col("first_slot") + low - F.col("low"), F.col("first_slot") + high - F.col("low") - F.lit(1)
+    # copies of a row are expanded in blocks, so no array is long
+    blocks = parts.withColumns({"to": last}).select("doc_id", "size", "text_crc32", "shard", "to", F.explode(F.sequence(first, last, F.lit(BLOCK).cast("long"))).alias("from"))
+    return blocks.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence("from", F.least(F.col("to"), F.col("from") + F.lit(BLOCK - 1)))).alias("slot"))

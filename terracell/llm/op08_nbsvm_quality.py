@@ -6,7 +6,9 @@ runs of a repeated word; a shape or a run has further indicators for making up a
 
 It learns from about `most` labelled documents, chosen by a hash of their id, whole texts; a quarter of them is kept out of the fit and calibrates
 the score by a logistic curve.  Null texts count as empty; an empty text has only the bias.  Without labels of both classes each score is 0.5.
-Rows of null id or label are not learned from; an id of several labels counts with each.  Repeated rows keep a row each; other columns are ignored.
+Rows of null id or label are not learned from; an id of several labels counts with each, an id of several texts with the one of least features.
+Repeated rows keep a row each; other columns are ignored; ties have equal scores; an empty table gives an empty result.  Texts of any length are read
+whole; the word memory is bounded in words and bytes.
 """
 
 from __future__ import annotations
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str = "pmod(crc, 4) != 2", mo
 
     The sampled labels (bounded) are broadcast to the scan of the documents, so texts are not shuffled."""
     rows = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("y"), id_crc(id_col).alias("crc"))
-    rows = rows.where("label_id is not null and y in (0, 1)").where(learn).select("label_id", "y")
+    rows = rows.where("label_id is not null and y in (0, 1)").where(learn).select("label_id", "y").distinct()
     total = rows.count()
     if not total:
         return None
@@ -146,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str = "pmod(crc, 4) != 2", mo
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features.of(x).astype(np.int32).tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["id", "y", "x"])
 
-    found = sorted(mine.select("id", "y", "data").mapInArrow(each, "id long, y int, x binary").collect())
+    once = mine.select("id", "y", "data").mapInArrow(each, "id long, y int, x binary").groupBy("id", "y").agg(F.min("x").alias("x"))
+    found = sorted(once.collect())  # the sample's ids, once each
     x, y = [np.frombuffer(r[2], np.int32).astype(np.int64) for r in found], np.array([r[1] for r in found])
     if len(set(y.tolist())) < 2:
         return None

@@ -13,7 +13,8 @@ similarity 0.85 about once in two million.
 4. Components again; documents take the component of their class.
 
 Null and empty texts, and texts of white space, have an empty set and are linked with nothing.  Rows of null id are returned with null
-component and are not kept.  Rows that repeat an id are linked by their own texts; each of its texts counts as a text of that id.  Other columns are ignored.
+component and are not kept.  Rows that repeat an id are linked by their own texts; each of its texts counts as a text of that id.  Other columns are ignored;
+an empty table gives an empty result.  Texts of any length are shingled whole; word memories are bounded in words and bytes.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 SHIFTS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint32)[:, None]
 #: Classes of a bucket that are held against each other in one task at most, on either side.
 BLOCK = 256
+#: Tasks that share a band key's classes.
+SALTS = 16
 #: Size of the largest Bloom filter (16 MB).
 MOST_BITS = 1 << 27
 
@@ -194,7 +197,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     classes = written(classes, "classes")
     spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = written(spread.join(shared, "key"), "buckets")
+    # a frequent key's classes are dealt over SALTS tasks; only keys of two classes or more are repeated for that
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    buckets = written(spread.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt"), "buckets")
     first = buckets.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     members = buckets.select(F.col("rep").alias("wanted")).distinct()
     sets = written(_sets(docs, written(members, "wanted"), id_col, text_col), "sets")

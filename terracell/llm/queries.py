@@ -40,6 +40,21 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.judge(documents(spark, sf_dir)).select(*columns)
 
 
+#: A page's host, and its words outside of tags.
+PAGE_HOST, PAGE_TEXT = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)", "regexp_replace(html, '<[^>]*>', ' ')"
+PAGE_HOST_SQL, PAGE_TEXT_SQL = PAGE_HOST, PAGE_TEXT.replace("' ')", "' ', 'g')")
+
+
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules over raw pages: the verdict of each host."""
+    from pyspark.sql import functions as F
+
+    from terracell.llm import op03_host_quality as op
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.expr(PAGE_HOST).alias("source"), F.expr(PAGE_TEXT).alias("text"))
+    return op.host_verdicts(op.measure(pages)).select("host", "n_docs", "host_bad")
+
+
 def op4_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terracell.llm import op04_media_tiles as op
 
@@ -94,26 +109,42 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by name."""
-    found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
+    found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()] + [page_hosts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_quality": OP3_SQL, "op10_circulant_minhash": OP10_SQL}
+    documents_ = OP3_SQL.format(id="doc_id", host="source", text="text", table="documents")
+    pages_ = OP3_SQL.format(id="page_id", host=PAGE_HOST_SQL, text=PAGE_TEXT_SQL, table="pages")
+    pages_ = pages_[: pages_.rindex("SELECT * EXCLUDE")] + "SELECT host, n_docs::BIGINT AS n_docs, host_bad FROM hv"
+    return {"op3_host_quality": documents_, "page_hosts": pages_, "op10_circulant_minhash": OP10_SQL}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '')"
 
-#: No host of the test tables is bad, so kept follows the base rule; repeats are found by grouping all windows.
+def _hosts_sql() -> str:
+    """CTEs from measures `m` to `judged`: rule failures by host, each host's posterior against the other hosts' rate, the verdict."""
+    from terracell.llm import op03_host_quality as op
+
+    fail = " UNION ALL ".join(f"SELECT host, '{name}' AS rule, count(*) AS n, sum(({rule})::INT)::DOUBLE AS f FROM based WHERE host IS NOT NULL GROUP BY host" for name, rule in op.RULES.items())
+    return f"""based AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m), hf AS ({fail}),
+ho AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY rule) = n THEN f / n ELSE (sum(f) OVER (PARTITION BY rule) - f) / (sum(n) OVER (PARTITION BY rule) - n) END AS mean FROM hf),
+hp AS (SELECT host, n, mean, (f + {op.PRIOR_DOCS} * mean) / (n + {op.PRIOR_DOCS}) AS r FROM ho),
+hv AS (SELECT host, any_value(n) AS n_docs, bool_or(n >= {op.LEAST_DOCS} AND (r > {op.WORST_RATE} OR r - {op.DEVIATIONS} * sqrt(r * (1 - r) / (n + {op.PRIOR_DOCS} + 1)) > least({op.WORST_RATE}, greatest({op.LEAST_RATE}, {op.ODDS} * mean / (1 + ({op.ODDS} - 1) * mean))))) AS host_bad FROM hp GROUP BY host),
+judged AS (SELECT b.*, coalesce(host_bad, false) AS host_bad FROM based b LEFT JOIN hv USING (host))"""
+
+
+#: Measures, host verdicts by all rules, and the verdicts joined back; repeats are found by grouping all windows.
 OP3_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\x0C\r]')) AS l FROM documents),
+WITH d AS (SELECT {{id}} AS doc_id, {{host}} AS host, coalesce({{text}}, '') AS t, {_WORDS.replace("text", "{text}")} AS w, list_filter(string_split(coalesce({{text}}, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\x0C\r]')) AS l FROM {{table}}),
 p AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM p) WHERE n > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \t\n\x0B\x0C\r]+', '', 'g'))::BIGINT AS word_chars,
  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
- FROM d LEFT JOIN c USING (doc_id))
-SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS kept FROM m
+, len(l)::BIGINT AS n_lines, host FROM d LEFT JOIN c USING (doc_id)),
+{_hosts_sql()}
+SELECT * EXCLUDE (host, n_lines, host_bad), NOT base_failed AND NOT host_bad AS kept FROM judged
 """
 
 #: All pairs that share a shingle, exact similarities, and the closure of the links.
