@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.functions import quad
@@ -33,14 +33,23 @@ def regions(cells: DataFrame) -> DataFrame:
 
 
 def metro_core(points: DataFrame, res: int, k: int, least: int) -> DataFrame:
-    """The connected cells of at least `least` points around the fullest cell, within k cells of it."""
-    cells = cut(density(points, res))
-    top = seed(cells).select(F.col("cell").alias("seed"))
-    near = top.select("seed", F.explode(quad.disk(F.col("seed"), k)).alias("cell"))
-    inside = cut(cells.where(F.col("n") >= least).join(F.broadcast(near), "cell"))  # a disk of fixed size
-    found = regions(inside.select("cell"))
-    own = found.join(inside.select(F.col("seed").alias("cell")).limit(1), "cell", "left_semi").select("component")
-    return inside.join(found, "cell").join(own, "component", "left_semi").select("cell", F.lit(res).alias("resolution"), F.col("n").alias("layer_value"), F.lit("metro_density_core").alias("layer_id"))
+    """The connected cells of at least `least` points around the fullest cell, within k cells of it; with the latest asof_date where the points have one.
+
+    At most (2k + 1)^2 cells lie in the disk, so its connected part is found in one row, by as many rounds as it has cells."""
+    asof = [F.max("asof_date").alias("asof_date")] if "asof_date" in points.columns else []
+    cells = points.groupBy(quad.cell(F.col("lat"), F.col("lon"), res).alias("cell")).agg(F.count(F.lit(1)).alias("n"), *asof)
+    n = 1 << res
+    top = F.max(F.struct(F.col("n").alias("n"), (-F.col("cell")).alias("cell")))
+    near = seed(cells).select(F.explode(quad.disk(F.col("cell"), k)).alias("cell"))
+    inside = cells.where(F.col("n") >= least).join(F.broadcast(near), "cell")  # a disk of fixed size
+    one = inside.agg(F.collect_list(F.struct("cell", "n", *[c for c in ("asof_date",) if asof])).alias("cells"), top.alias("top"))
+    gap = lambda a, b: F.abs(quad.col(a) - quad.col(b))
+    beside = lambda a, b: (F.least(gap(a, b), n - gap(a, b)) <= 1) & (F.abs(quad.row(a) - quad.row(b)) <= 1)
+    grow = lambda part, _: F.filter(F.col("cells"), lambda c: F.exists(part, lambda p: beside(p["cell"], c["cell"])))
+    start = F.filter(F.col("cells"), lambda c: c["cell"] == -F.col("top.cell"))
+    found = F.aggregate(F.sequence(F.lit(1), F.size("cells")), start, grow)
+    rows = one.where("top is not null").select(F.explode(found).alias("c"))
+    return rows.select("c.cell", F.lit(res).alias("resolution"), F.col("c.n").alias("layer_value"), F.lit("metro_density_core").alias("layer_id"), *([F.col("c.asof_date")] if asof else []))
 
 
 def hierarchy(points: DataFrame, least: int, most: int) -> DataFrame:
@@ -63,6 +72,15 @@ def covering(polygons: DataFrame, res: int) -> DataFrame:
     return rows.withColumn("overlap", wide * tall / (w * h)).where("overlap > 0").select("iso", "name", "cell", "overlap")
 
 
+def overlap(cell: Column) -> Column:
+    """The share of a cell that the row's rectangle (west, south, east, north) covers; 0 or less where it doesn't."""
+    west, south = quad.west_south(cell)
+    n = F.pow(F.lit(2.0), quad.res(cell).cast("double"))
+    w, h = F.lit(360.0) / n, F.lit(180.0) / n
+    wide, tall = F.least("east", west + w) - F.greatest("west", west), F.least("north", south + h) - F.greatest("south", south)
+    return F.when((wide > 0) & (tall > 0), wide * tall / (w * h)).otherwise(0.0)
+
+
 def first_claim(covered: DataFrame) -> DataFrame:
     """cell, iso, name: the first polygon in order of iso has a cell."""
     return covered.groupBy("cell").agg(F.min(F.struct("iso", "name")).alias("p")).select("cell", "p.iso", "p.name")
@@ -70,13 +88,14 @@ def first_claim(covered: DataFrame) -> DataFrame:
 
 def quadtree_mask(polygons: DataFrame, base: int, most: int, inside: float = 1e-9, outside: float = 1e-9) -> DataFrame:
     """cell, iso: cells that a polygon covers wholly are kept, those it misses go, others split down to `most`."""
-    frontier, leaves = covering(polygons, base), None
+    boxes = polygons.select("iso", "west", "south", "east", "north")
+    frontier, leaves = covering(polygons, base).select("iso", "cell", "overlap").join(boxes, "iso"), None
     for res in range(base, most + 1):
         done = frontier.where(F.col("overlap") >= 1 - inside) if res < most else frontier.where(F.col("overlap") > outside)
         leaves = done if leaves is None else leaves.unionByName(done)
         if res < most:
-            split = frontier.where((F.col("overlap") < 1 - inside) & (F.col("overlap") > outside)).select("iso", F.explode(quad.children(F.col("cell"))).alias("cell"))
-            frontier = split.join(covering(polygons, res + 1), ["iso", "cell"])
+            split = frontier.where((F.col("overlap") < 1 - inside) & (F.col("overlap") > outside)).select("iso", "west", "south", "east", "north", F.explode(quad.children(F.col("cell"))).alias("cell"))
+            frontier = split.withColumn("overlap", overlap(F.col("cell"))).where("overlap > 0")
     return leaves.groupBy("cell").agg(F.min("iso").alias("iso"))
 
 
@@ -131,9 +150,10 @@ def smooth(leaves: DataFrame, delta: int = 1, rounds: int = 30) -> DataFrame:
 
 
 def region_points(cells: DataFrame) -> DataFrame:
-    """component, size, representative: the cell whose centre is nearest to the mean of its region's centres."""
+    """component, region_id, size, representative: the cell whose centre is nearest to the mean of its region's centres (the least of equals)."""
     lat, lon = quad.centre(F.col("cell"))
-    rows = regions(cells).withColumns({"lat": lat, "lon": lon})
-    w = Window.partitionBy("component")
-    far = (F.col("lat") - F.avg("lat").over(w)) ** 2 + (F.col("lon") - F.avg("lon").over(w)) ** 2
-    return rows.withColumn("far", F.round(far, 9)).groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("far", "cell")).alias("p")).select("component", "size", F.col("p.cell").alias("representative"))
+    rows = cut(regions(cells)).withColumns({"lat": lat, "lon": lon})
+    means = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon"))
+    far = (F.col("lat") - F.col("mean_lat")) ** 2 + (F.col("lon") - F.col("mean_lon")) ** 2
+    best = rows.join(means, "component").groupBy("component").agg(F.first("size").alias("size"), F.min(F.struct(F.round(far, 9).alias("far"), "cell")).alias("p"))
+    return best.select("component", F.concat(F.lit("r7c:"), "component").alias("region_id"), "size", F.col("p.cell").alias("representative"))

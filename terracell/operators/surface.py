@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.functions import quad
-from terracell.operators.layers import covering
+from terracell.operators.layers import overlap
 from terracell.session import cut
 
 
@@ -45,7 +45,8 @@ def at_resolution(leaves: DataFrame, res: int) -> DataFrame:
 def refined(cells: DataFrame, polygons: DataFrame, res: int, least: float) -> DataFrame:
     """iso, cell: a cell's children that the polygon covers by more than `least`; a cell without such children stays."""
     kids = cells.select("iso", F.col("cell").alias("parent"), F.explode(quad.children(F.col("cell"))).alias("cell"))
-    kept = kids.join(covering(polygons, res + 1).where(F.col("overlap") > least).select("iso", "cell"), ["iso", "cell"])
+    boxes = polygons.select("iso", "west", "south", "east", "north")
+    kept = kids.join(boxes, "iso").withColumn("overlap", overlap(F.col("cell"))).where(F.col("overlap") > least).select("iso", "parent", "cell")
     lone = cells.join(kept.select("iso", F.col("parent").alias("cell")), ["iso", "cell"], "left_anti")
     return kept.select("iso", "cell").unionByName(lone.select("iso", "cell"))
 

@@ -31,6 +31,8 @@ def _disk(cells: str, k: int = 1, res: str = "(cell >> 50)") -> str:
 DENSITY = f"{PLACES}, dens AS (SELECT {_cell('lat', 'lon', RES)} AS cell, count(*)::BIGINT AS n FROM places GROUP BY 1)"
 CLOSE = """edge AS (SELECT d.cell AS u, d.near AS v FROM {disk} d JOIN {cells} c ON c.cell = d.near),
 walk(a, b) AS (SELECT cell, cell FROM {cells} UNION SELECT walk.a, edge.v FROM walk JOIN edge ON edge.u = walk.b), comp AS (SELECT a AS cell, min(b) AS component FROM walk GROUP BY 1)"""
+_N = f"(1 << {RES})::DOUBLE"
+CENTRED = f"""SELECT *, pow(lat - avg(lat) OVER w, 2) + pow(lon - avg(lon) OVER w, 2) AS far, count(*) OVER w AS size FROM (SELECT *, ((cell & 33554431) + 0.5::DOUBLE) / {_N} * 180.0 - 90.0 AS lat, (((cell >> 25) & 33554431) + 0.5::DOUBLE) / {_N} * 360.0 - 180.0 AS lon FROM comp) WINDOW w AS (PARTITION BY component)"""
 SEED = "(SELECT cell FROM dens ORDER BY n DESC, cell LIMIT 1)"
 POLY = "poly AS (SELECT n_nationkey AS iso, n_name AS name, (n_nationkey * 53 % 340 - 170) - 10.0 AS west, (n_nationkey * 37 % 120 - 60) - 10.0 AS south, (n_nationkey * 53 % 340 - 170) + 10.0 AS east, (n_nationkey * 37 % 120 - 60) + 10.0 AS north FROM nation)"
 
@@ -141,7 +143,7 @@ def region_components(spark, sf_dir):
 
 
 def region_points(spark, sf_dir):
-    return layers.region_points(occupied(spark, sf_dir).select("cell")).select("component", "size")
+    return layers.region_points(occupied(spark, sf_dir).select("cell"))
 
 
 def invariant_report(spark, sf_dir):
@@ -256,7 +258,7 @@ SQL = {
  SELECT f.cell, (SELECT max(u.leaf) FROM up u JOIN leaves l ON l.cell = u.leaf WHERE u.cell = f.cell) AS leaf FROM fine f""",
     "ancestor_overlap": f"WITH {DENSITY}, five AS (SELECT {_cell('lat', 'lon', 5)} AS cell FROM places GROUP BY 1 HAVING count(*) > 3) SELECT cell FROM dens WHERE {_make(5, '((cell >> 25) & 33554431) >> 1', '(cell & 33554431) >> 1')} IN (SELECT cell FROM five)",
     "region_components": f"WITH RECURSIVE {DENSITY}, {CLOSE.format(disk=_disk('dens'), cells='dens')} SELECT * FROM comp",
-    "region_points": f"WITH RECURSIVE {DENSITY}, {CLOSE.format(disk=_disk('dens'), cells='dens')} SELECT component, count(*)::BIGINT AS size FROM comp GROUP BY 1",
+    "region_points": f"WITH RECURSIVE {DENSITY}, {CLOSE.format(disk=_disk('dens'), cells='dens')} SELECT component, 'r7c:' || component AS region_id, size, arg_min(cell, (round(far, 9), cell)) AS representative FROM ({CENTRED}) GROUP BY 1, 2, 3",
     "invariant_report": f"""WITH {_split_sql()}, up AS (SELECT l.cell, {_make('r', '((l.cell >> 25) & 33554431) >> (res - r)::INT', '(l.cell & 33554431) >> (res - r)::INT')} AS above FROM leaves l, (SELECT unnest(range(2, 9)) AS r) WHERE r < res)
  SELECT 'coordinates' AS "check", count(*)::BIGINT AS violations FROM places WHERE lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180
  UNION ALL SELECT 'ids', count(*) FROM (SELECT id FROM places GROUP BY 1 HAVING count(*) > 1)

@@ -47,7 +47,7 @@ def edge_lengths(spark, sf_dir):
 
 
 def edge_cost(spark, sf_dir):
-    return measured(spark, sf_dir).groupBy("road_class").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("cost"), 3).alias("dearest"))
+    return measured(spark, sf_dir).select("u", "v", "road_class", F.round("cost", 3).alias("cost"))
 
 
 def parallel_min(spark, sf_dir):
@@ -90,7 +90,7 @@ SQL = {
  e AS (SELECT way_id, ref, pos FROM r WHERE ref IN (SELECT ref FROM s) OR pos = 0 OR pos = n - 1)
  SELECT way_id, (segment - 1)::INT AS segment, u, v, n_refs FROM (SELECT way_id, row_number() OVER w AS segment, ref AS u, lead(ref) OVER w AS v, lead(pos) OVER w - pos + 1 AS n_refs FROM e WINDOW w AS (PARTITION BY way_id ORDER BY pos)) WHERE v IS NOT NULL""",
     "edge_lengths": f"WITH {NODE}, {EDGE}, {LEN} SELECT u, v, road_class, round(length_m, 3) AS length_m FROM meas",
-    "edge_cost": f"WITH {NODE}, {EDGE}, {LEN} SELECT road_class, count(*) AS n, round(max(length_m * {PENALTY}), 3) AS dearest FROM meas GROUP BY 1",
+    "edge_cost": f"WITH {NODE}, {EDGE}, {LEN} SELECT u, v, road_class, round(length_m * {PENALTY}, 3) AS cost FROM meas",
     "parallel_min": "SELECT least(l_orderkey % 500, l_partkey % 500) AS u, greatest(l_orderkey % 500, l_partkey % 500) AS v, min(l_extendedprice) AS length FROM lineitem GROUP BY 1, 2",
     "node_degree": f"WITH {EDGE} SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edge UNION ALL SELECT v FROM edge) GROUP BY 1",
     "graph_components": f"WITH RECURSIVE {EDGE}, {COMP} SELECT node, component FROM comp",

@@ -14,7 +14,7 @@ WEST, SOUTH, EAST, NORTH = tile_bounds(2, 1, 1)
 
 def facilities_filter(spark, sf_dir):
     """Equality filters, least ids first: a limited listing."""
-    return facilities(spark, sf_dir).where("org = 'BUILDING' and country < 12").select("id", "org", "country").orderBy("id").limit(100)
+    return facilities(spark, sf_dir).where("org = 'BUILDING' and country < 12").select("id", "org", "country").orderBy("id").limit(10_000)
 
 
 def tile_features(spark, sf_dir):
@@ -24,9 +24,9 @@ def tile_features(spark, sf_dir):
 
 
 def places_by_country(spark, sf_dir):
-    """The first places of each country by id."""
+    """The places of each country, in order of id."""
     rank = F.row_number().over(Window.partitionBy("country").orderBy("id"))
-    return facilities(spark, sf_dir).withColumn("rank", rank).where("rank <= 5").select("country", "rank", "id")
+    return facilities(spark, sf_dir).withColumn("rank", rank).select("country", "rank", "id")
 
 
 def route_pairs(spark, sf_dir):
@@ -38,8 +38,10 @@ def route_pairs(spark, sf_dir):
 
 def route_dedup(spark, sf_dir):
     rows = route_pairs(spark, sf_dir).withColumn("distance", F.when((F.col("a") + F.col("b")) % 7 == 0, F.lit(None)).otherwise(F.col("distance") + F.col("a")))
-    best = rows.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return best.agg(F.min("distance").alias("distance"), F.count(F.lit(1)).alias("routes"), F.count_if(F.col("distance").isNull()).alias("missing"))
+    best = rows.withColumn("start", F.col("a")).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    won = F.min_by(F.struct("start", "distance"), F.struct(F.coalesce("distance", F.lit(1e18)), "start")).alias("won")
+    best = best.agg(won, F.count(F.lit(1)).alias("routes"), F.count_if(F.col("distance").isNull()).alias("missing"))
+    return best.select("a", "b", F.col("won.start").alias("start"), F.col("won.distance").alias("distance"), "routes", "missing")
 
 
 def run_metrics(spark, sf_dir):
@@ -61,13 +63,13 @@ def runtime_estimate(spark, sf_dir):
 
 
 SQL = {
-    "facilities_filter": f"WITH {PLACES} SELECT id, org, country FROM places WHERE org = 'BUILDING' AND country < 12 ORDER BY id LIMIT 100",
+    "facilities_filter": f"WITH {PLACES} SELECT id, org, country FROM places WHERE org = 'BUILDING' AND country < 12 ORDER BY id LIMIT 10000",
     "tile_features": f"WITH {PLACES} SELECT id, round((lon - {WEST!r}::DOUBLE) / {EAST - WEST!r}::DOUBLE * 4096)::INT AS px, round((lat - ({SOUTH!r}::DOUBLE)) / {NORTH - SOUTH!r}::DOUBLE * 4096)::INT AS py FROM places WHERE lon BETWEEN {WEST!r} AND {EAST!r} AND lat BETWEEN {SOUTH!r}::DOUBLE AND {NORTH!r}::DOUBLE",
-    "places_by_country": f"WITH {PLACES} SELECT country, rank::INT AS rank, id FROM (SELECT country, id, row_number() OVER (PARTITION BY country ORDER BY id) AS rank FROM places) WHERE rank <= 5",
+    "places_by_country": f"WITH {PLACES} SELECT country, rank::INT AS rank, id FROM (SELECT country, id, row_number() OVER (PARTITION BY country ORDER BY id) AS rank FROM places)",
     "route_pairs": "SELECT a.n_nationkey AS a, b.n_nationkey AS b, (abs(a.n_nationkey * 53 % 340 - b.n_nationkey * 53 % 340) + abs(a.n_nationkey * 37 % 120 - b.n_nationkey * 37 % 120))::DOUBLE AS distance FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey",
     "run_metrics": f"WITH {PLACES} SELECT source, count(*) AS facilities, count(DISTINCT country) AS countries FROM places GROUP BY 1",
     "latest_event": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
     "runtime_estimate": "SELECT event_type, round(median(value / (user_id % 5 + 1)), 6) AS seconds, (CASE WHEN count(*) = 1 THEN 0.4 WHEN count(*) < 3 THEN 0.3 ELSE 0.2 END)::DOUBLE AS band FROM events WHERE value IS NOT NULL GROUP BY 1",
 }
-SQL["route_dedup"] = f"SELECT least(a, b) AS a, greatest(a, b) AS b, min(CASE WHEN (a + b) % 7 = 0 THEN NULL ELSE distance + a END) AS distance, count(*) AS routes, count(*) FILTER (WHERE (a + b) % 7 = 0) AS missing FROM ({SQL['route_pairs']}) GROUP BY 1, 2"
+SQL["route_dedup"] = f"SELECT least(a, b) AS a, greatest(a, b) AS b, arg_min(a, (CASE WHEN (a + b) % 7 = 0 THEN 1e18 ELSE distance + a END, a)) AS start, min(CASE WHEN (a + b) % 7 = 0 THEN NULL ELSE distance + a END) AS distance, count(*) AS routes, count(*) FILTER (WHERE (a + b) % 7 = 0) AS missing FROM ({SQL['route_pairs']}) GROUP BY 1, 2"
 QUERIES = [facilities_filter, tile_features, places_by_country, route_pairs, route_dedup, run_metrics, latest_event, runtime_estimate]

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session's cluster shares; a local session may use a temporary one."""
-    context = df.sparkSession.sparkContext
+    """df with its lineage cut by a checkpoint in the folder that the session's cluster shares; without one a local session uses a temporary folder, any other
+    one in the warehouse."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "terracell-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local"):
+            folder = os.path.join(tempfile.gettempdir(), "terracell-checkpoints")
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()

@@ -27,6 +27,9 @@ def facility_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when c_custkey % 17 = 0 then ' NULL ' when c_custkey % 11 = 0 then concat('  ', c_name, '\\t') else c_name end as NODE_NAME",
         "case when c_custkey % 13 = 0 then '95.5' else cast(lat as string) end as LATITUDE",
         "case when c_custkey % 23 = 0 then 'abc' when c_custkey % 29 = 0 then '12d' else cast(lon as string) end as LONGITUDE",
+        "case when c_custkey % 5 = 0 then 'NULL' else concat('City ', c_custkey % 10) end as CITY",
+        "'' as STATE",
+        "concat(' ', c_nationkey, ' ') as COUNTRY",
         "case when c_custkey % 19 = 0 then '' else 'customers' end as SOURCE",
         "case when c_custkey % 2 = 0 then '2026-02-28' else '2026-02-27' end as ASOF_DATE",
     )

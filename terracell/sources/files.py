@@ -19,6 +19,15 @@ def delimited(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="UTF-8").csv(path)
 
 
+def records(spark: SparkSession, feeds: dict[str, str]) -> DataFrame:
+    """Typed records of all feeds (name: path), one after the other."""
+    out = None
+    for name, path in feeds.items():
+        rows = ingest.canonical(feed(spark, path), name)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def feed(spark: SparkSession, path: str) -> DataFrame:
     """A feed in the canonical columns, by its header: canonical, peering or landing points, in this order; any other header is an error."""
     rows = delimited(spark, path)
@@ -61,9 +70,30 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id
     fs.mkdirs(final.getParent())
     if not fs.rename(staged, final):
         raise OSError(f"{staged.toString()} can't be moved")
-    spark.createDataFrame([(run_id,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/latest")
+    _point(spark, root, run_id)
     return final.toString()
 
 
+def _point(spark: SparkSession, root: str, run_id: str) -> None:
+    """Writes the pointer under a new name and renames it over the old one, so that a reader finds either."""
+    import uuid
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path("latest").toUri(), conf)
+    fresh = path(f".latest-{uuid.uuid4().hex}")
+    out = path("latest").getFileSystem(conf).create(fresh)
+    out.write(bytearray(run_id.encode()))
+    out.close()
+    context.rename(fresh, path("latest"), _overwrite(spark))
+
+
+def _overwrite(spark: SparkSession):
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    array = spark.sparkContext._gateway.new_array(rename, 1)
+    array[0] = rename.OVERWRITE
+    return array
+
+
 def latest(spark: SparkSession, root: str) -> str:
     return f"{root}/runs/{spark.read.text(f'{root}/latest').first().value}"
