@@ -2,7 +2,7 @@
 
 P(word | history) = P(class | history) * P(word | class, classes of the two words before).
 
-* The class model has hashed features of the word before (n-gram), of the two before (n-gram), and of the one before that alone (skip).  Training
+* The class model has as many classes as the corpus bears, up to CLASSES, and hashed features of the word before (n-gram), of the two before (n-gram), and of the one before that alone (skip).  Training
   texts are dealt to shards by a hash of id and text, a shard for each SHARD bytes of text.  Shards belong to at most ROUNDS rounds; in a
   round each shard takes stochastic gradient steps from the round's shared weights over its own texts, in order of id, and the shards' rows
   of weights are averaged by how often each shard used them.  So the result is a function of the table, not of partitions or cores.
@@ -47,8 +47,8 @@ END_HASH, START_HASH = np.uint64(0x1D5B3C2F9A7E4416), np.uint64(3)
 BATCH = 4096
 #: Bytes of text in a shard, rounds of averaging, steps of the word model outside the classes, its tokens in a bucket.
 SHARD, ROUNDS, STEPS, BUCKET = 16 << 20, 4, 3, 200_000
-#: Counts are smoothed by so much where the word models compare them.
-SMOOTH = 0.5
+#: So many contexts with the class's own shares are added to each word's: words that are met seldom keep near to their class.
+PRIOR = 5.0
 LOG10 = np.log(10)
 ENCODED = "row long, doc_id long, held_out boolean, mark long, n_tokens long, codes binary, rare binary"
 RECORDS = "bucket int, hashes binary, contexts binary, counts binary"
@@ -258,10 +258,12 @@ class Inside:
 
     The sum over words of exp(bias + u[one] + v[two]) is a product of matrices, for words of any number."""
 
-    def __init__(self, n: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """n: counts of words; one, two: (words, PAST) counts by history class."""
-        self.n, self.one, self.two = n, one, two
-        self.bias, self.u, self.v = np.log(n + 0.5), np.zeros(one.shape), np.zeros(two.shape)
+    def __init__(self, one: np.ndarray, two: np.ndarray, shares: tuple[np.ndarray, np.ndarray]):
+        """one, two: (words, PAST) counts by history class; shares: of the history classes before the class's words."""
+        self.n = one.sum(axis=1)
+        part = (self.n / (self.n + PRIOR))[:, None]
+        self.one, self.two = (one + PRIOR * shares[0]) * part, (two + PRIOR * shares[1]) * part
+        self.bias, self.u, self.v = np.log(self.n + 0.5), np.zeros(one.shape), np.zeros(two.shape)
 
     def total(self) -> np.ndarray:
         return (np.exp(self.bias)[:, None] * np.exp(self.u)).T @ np.exp(self.v)
@@ -271,8 +273,14 @@ class Inside:
         up, vp = np.exp(self.bias)[:, None] * np.exp(self.u), np.exp(self.v)
         e1, e2 = up * (vp @ ratio.T), vp * (up @ ratio)
         self.bias += np.log((self.n + 1) / (e1.sum(axis=1) + 1)) / 3
-        self.u += np.log((self.one + SMOOTH) / (e1 + SMOOTH)) / 3
-        self.v += np.log((self.two + SMOOTH) / (e2 + SMOOTH)) / 3
+        self.u += np.log((self.one + 1e-3) / (e1 + 1e-3)) / 3
+        self.v += np.log((self.two + 1e-3) / (e2 + 1e-3)) / 3
+
+
+def shares_of(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the two history classes, from a class's (PAST, PAST) contexts."""
+    total = max(joint.sum(), 1.0)
+    return joint.sum(axis=1) / total, joint.sum(axis=0) / total
 
 
 def head_weights(one: np.ndarray, two: np.ndarray, joint: np.ndarray, classes: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +290,7 @@ def head_weights(one: np.ndarray, two: np.ndarray, joint: np.ndarray, classes: n
         w = np.flatnonzero(classes == k)
         if not len(w):
             continue
-        inside = Inside(one[w].sum(axis=1), one[w], two[w])
+        inside = Inside(one[w], two[w], shares_of(joint[:, :, k]))
         for _ in range(rounds):
             inside.step(joint[:, :, k] / inside.total())
         bias[w], u[w], v[w], norm[:, :, k] = inside.bias, inside.u, inside.v, np.log(inside.total())
@@ -340,26 +348,26 @@ def word_table(found: DataFrame) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(add, RECORDS)
 
 
-def bucket_words(hashes: bytes, contexts: bytes, counts: bytes, ratios: list[np.ndarray]) -> tuple[np.ndarray, Inside]:
+def bucket_words(hashes: bytes, contexts: bytes, counts: bytes, shares: tuple[np.ndarray, np.ndarray], ratios: list[np.ndarray]) -> tuple[np.ndarray, Inside]:
     """Words of a bucket (ascending hashes) and their weights after a step for each ratio."""
     h, c, n = np.frombuffer(hashes, np.uint64), np.frombuffer(contexts, np.uint16).astype(np.int64), np.frombuffer(counts, np.uint32)
     word, inverse = np.unique(h, return_inverse=True)
     one, two = (np.bincount(inverse * PAST + k, n, len(word) * PAST).reshape(-1, PAST) for k in (c // PAST, c % PAST))
-    inside = Inside(one.sum(axis=1), one, two)
+    inside = Inside(one, two, shares)
     for ratio in ratios:
         inside.step(ratio)
     return word, inside
 
 
-def outside_total(words: DataFrame, ratios: list[np.ndarray]) -> np.ndarray:
+def outside_total(words: DataFrame, shares: tuple[np.ndarray, np.ndarray], ratios: list[np.ndarray]) -> np.ndarray:
     """Normaliser (PAST, PAST) of the class of all other words after a step for each ratio; the unknown word is half a count."""
-    sent = send(words.sparkSession, ratios)
+    sent = send(words.sparkSession, (shares, ratios))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = received(sent)
         for b in batches:
             for key, *data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([key % 64], pa.int32()), pa.array([key], pa.int32()), pa.array([bucket_words(*data, done)[1].total().tobytes()])], names=["block", "part", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array([key % 64], pa.int32()), pa.array([key], pa.int32()), pa.array([bucket_words(*data, *done)[1].total().tobytes()])], names=["block", "part", "values"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x) for x in group.sort_values("part")["values"]], axis=0)
@@ -390,9 +398,15 @@ class Model:
         return (p - self.norm[x["one"], x["two"], x["class"]]) / LOG10
 
 
-def fit_classes(train: DataFrame, space: tuple, shards: int, rounds: int, tag: str) -> np.ndarray:
-    """Weights of the class model: rounds of shards, as the module's text says."""
-    spark, weights, block = train.sparkSession, np.zeros((FIRST[3], CLASSES), np.float32), 2048
+def classes_for(tokens: int) -> int:
+    """Classes of head words: they grow with the corpus, up to CLASSES - 1."""
+    return int(min(CLASSES - 1, max(2, tokens ** (1 / 3) / 6)))
+
+
+def fit_classes(train: DataFrame, space: tuple, shares: np.ndarray, shards: int, rounds: int, tag: str) -> np.ndarray:
+    """Weights of the class model: rounds of shards, as the module's text says. Each history starts from the classes' own shares."""
+    spark, block = train.sparkSession, 2048
+    weights = np.tile((np.log(np.maximum(shares, 1e-13)) / 3).astype(np.float32), (FIRST[3], 1))
     sent_space = send(spark, space)
     train = train.withColumn("shard", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(shards)).cast("int"))
     for k in range(rounds):
@@ -460,9 +474,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     got = summed(few.select("codes", "rare").mapInArrow(anchored, schema), True)
     after = got[0].reshape(head, ANCHORS + 1) if got else np.zeros((head, ANCHORS + 1))
-    classes = clusters(after, min(CLASSES - 1, head))
+    classes = clusters(after, min(classes_for(total), head))
+    shares = np.bincount(classes, n[:head] + 0.5, CLASSES)
+    shares[-1] = total - n[:head].sum() + 0.5
     shards = max(1, round(seen.bytes / shard))
-    weights = fit_classes(train, (hashes, classes), shards, min(ROUNDS, shards), tag)
+    weights = fit_classes(train, (hashes, classes), shares / shares.sum(), shards, min(ROUNDS, shards), tag)
     space = send(spark, (hashes, classes))
 
     def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,17 +499,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     # the words outside the classes
     buckets = max(64, int(joint[:, :, -1].sum()) // BUCKET)
     words = written(word_table(records(train, space, tag, buckets, False)), "words")
-    ratios: list[np.ndarray] = []
+    shares, ratios = shares_of(joint[:, :, -1]), []
     for _ in range(STEPS):
-        ratios.append(joint[:, :, -1] / outside_total(words, ratios))
-    norm[:, :, -1] = np.log(outside_total(words, ratios))
-    done, frequent = send(spark, ratios), send(spark, np.sort(hashes[head:]))
+        ratios.append(joint[:, :, -1] / outside_total(words, shares, ratios))
+    norm[:, :, -1] = np.log(outside_total(words, shares, ratios))
+    done, frequent = send(spark, (shares, ratios)), send(spark, np.sort(hashes[head:]))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps_done, mine = received(done), received(frequent)
         for b in batches:
             for _, *data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                word, inside = bucket_words(*data, steps_done)
+                word, inside = bucket_words(*data, *steps_done)
                 k = np.isin(word, mine)
                 values = np.concatenate([inside.bias[k, None], inside.u[k], inside.v[k]], axis=1).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([word[k].tobytes()]), pa.array([values.tobytes()])], names=["hashes", "values"])
@@ -525,7 +541,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         h, c, row = (np.frombuffer(b"".join(asked.column(name).to_pylist()), t) for name, t in (("hashes", np.uint64), ("contexts", np.uint16), ("counts", np.int64)))
         c, own, count = c.astype(np.int64), np.full(len(h), np.log(0.5)), np.zeros(len(h))
         if known.num_rows and len(h):
-            word, inside = bucket_words(*(known.column(name)[0].as_py() for name in ("hashes", "contexts", "counts")), received(done))
+            word, inside = bucket_words(*(known.column(name)[0].as_py() for name in ("hashes", "contexts", "counts")), *received(done))
             at = np.minimum(np.searchsorted(word, h), len(word) - 1)
             k = word[at] == h
             at = at[k]
