@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terracell.plans import cells, facilities, graphs, network, roads, service, surface
+from terracell.plans import cells, facilities, graphs, maps, network, roads, service, surface
 
-TOPICS = (facilities, cells, roads, network, graphs, service, surface)
+TOPICS = (facilities, cells, roads, network, graphs, service, surface, maps)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,18 +129,20 @@ def _candidates(shapes: DataFrame, res: int) -> DataFrame:
 def cut_to_cells(rows: DataFrame) -> DataFrame:
     """CLIPPED of rows (iso, name, cell, shape): the shape inside the cell, and the share of the cell that it covers; cells without any go."""
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for iso, name, cell, shape in zip(part["iso"], part["name"], part["cell"], part["shape"], strict=True):
-                box = bounds(int(cell))
+            for k, (cell, shape) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                box = bounds(cell)
                 own = clipped(_plain(shape), *box)
                 share = area(own) / ((box[2] - box[0]) * (box[3] - box[1]))
                 if share > 0:
-                    out.append((iso, name, cell, share, _named(own)))
-            yield pd.DataFrame(out, columns=["iso", "name", "cell", "overlap", "shape"])
+                    out.append((k, share, _named(own)))
+            at = pa.array([x[0] for x in out], pa.int64())
+            columns = [b.column(c).take(at) for c in range(3)] + [pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], b.column(3).type)]
+            yield pa.RecordBatch.from_arrays(columns, names=["iso", "name", "cell", "overlap", "shape"])
 
-    return rows.select(F.col("iso").cast("string").alias("iso"), "name", "cell", "shape").mapInPandas(each, CLIPPED)
+    return rows.select(F.col("iso").cast("string").alias("iso"), "name", "cell", F.col("shape").cast(SHAPE).alias("shape")).mapInArrow(each, CLIPPED)
 
 
 def covering(shapes: DataFrame, res: int, start: int = 2) -> DataFrame:
@@ -183,11 +185,15 @@ def covered_points(points: DataFrame, shapes: DataFrame, res: int = 4) -> DataFr
     near = _candidates(shapes, res).select(F.col("iso").cast("string").alias("shape_iso"), F.col("cell").alias("_cell"), "shape")
     rows = points.withColumn("_cell", quad.cell(F.col("lat"), F.col("lon"), res)).join(near, "_cell")
 
-    @F.pandas_udf("boolean")
-    def covers(shape: pd.Series, lon: pd.Series, lat: pd.Series) -> pd.Series:
-        return pd.Series([inside(_plain(s), x, y) for s, x, y in zip(shape, lon, lat, strict=True)], dtype=bool)
+    kept = rows.select(*points.columns, "shape_iso")
+    n = len(kept.columns)
 
-    return rows.where(covers("shape", "lon", "lat")).select(*points.columns, "shape_iso").distinct()
+    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            met = [inside(_plain(s), x, y) for s, x, y in zip(*(b.column(k).to_pylist() for k in (n, n + 1, n + 2)), strict=True)]
+            yield b.select(range(n)).filter(pa.array(met, pa.bool_()))
+
+    return rows.select(*points.columns, "shape_iso", "shape", F.col("lon").alias("_x"), F.col("lat").alias("_y")).mapInArrow(covers, kept.schema).distinct()
 
 
 def quadtree(shapes: DataFrame, levels: list[int], inside_: float = 1e-9, outside: float = 1e-9) -> DataFrame:

@@ -87,10 +87,10 @@ def tile(points: DataFrame, cells: DataFrame, z: int, x: int, y: int, extent: in
 
 
 def overlay(roads: DataFrame, railways: DataFrame) -> DataFrame:
-    """country_code, transport_class, line of roads (country_code, fclass, line) of the overlay's classes, and of all railways."""
+    """country_code, transport_class, id, line of roads (country_code, fclass, id, line) of the overlay's classes, and of all railways."""
     kind = F.lower(F.trim("fclass"))
-    one = roads.where(kind.isin(*OVERLAY_ROADS)).select("country_code", kind.alias("transport_class"), "line")
-    return one.unionByName(railways.select("country_code", F.lit("rail").alias("transport_class"), "line"))
+    one = roads.where(kind.isin(*OVERLAY_ROADS)).select("country_code", kind.alias("transport_class"), "id", "line")
+    return one.unionByName(railways.select("country_code", F.lit("rail").alias("transport_class"), "id", "line"))
 
 
 def graph_overlay(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

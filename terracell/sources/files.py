@@ -55,8 +55,29 @@ def write_features(rows: DataFrame, path: str, lon: str, lat: str) -> None:
     rows.select(F.to_json(feature).alias("value")).write.text(path)
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id: str) -> str:
-    """Writes tables to a staging folder, renames it to root/runs/run_id and then points root/latest at it.
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, by the file system that holds it."""
+    place = hadoop_path(spark, path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_lines(rows: DataFrame, path: str, kind: str = "LineString") -> None:
+    """A line feature for each row (edge_id, line, others), in order of id, one JSON object a line, in parts."""
+    points = F.transform("line", lambda p: F.array(p["lon"], p["lat"]))
+    others = [c for c in rows.columns if c != "line"]
+    geometry = F.struct(F.lit(kind).alias("type"), points.alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*others).alias("properties"))
+    rows.orderBy("edge_id").select(F.to_json(feature).alias("value")).write.text(path)
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id: str, texts: dict[str, str] | None = None) -> str:
+    """Writes tables, and small texts by file name, to a staging folder, renames it to root/runs/run_id and then points root/latest at it.
 
     A published run is never written again: one that is there is an error. The folder is moved by the file system that holds it."""
     jvm = spark._jvm
@@ -67,6 +88,8 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id
         raise FileExistsError(final.toString())
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{staged.toString()}/{name}")
+    for name, text in (texts or {}).items():
+        write_text(spark, f"{staged.toString()}/{name}", text)
     fs.mkdirs(final.getParent())
     if not fs.rename(staged, final):
         raise OSError(f"{staged.toString()} can't be moved")
