@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terracell.functions import quad
 from terracell.operators import adaptive, layers
 from terracell.plans.facilities import PLACES
+from terracell.session import cut
 from terracell.sources.derived import facilities, polygons
 
 RES = 6
@@ -146,13 +147,29 @@ def region_points(spark, sf_dir):
     return layers.region_points(occupied(spark, sf_dir).select("cell"))
 
 
+def _far(leaves):
+    """Distinct pairs of neighbours, unordered, more than `delta` levels apart."""
+    rows = adaptive.adjacency(leaves.select("cell"), RULES.root).where(F.col("delta") > RULES.delta)
+    return rows.select(F.least("cell", "leaf").alias("one"), F.greatest("cell", "leaf").alias("two"), "delta").distinct()
+
+
+def violation_samples(spark, sf_dir):
+    """The first three pairs of neighbours too far apart, before the split is smoothed."""
+    return _far(adaptive_split(spark, sf_dir)).orderBy("one", "two").limit(3)
+
+
 def invariant_report(spark, sf_dir):
-    p, leaves = points(spark, sf_dir), adaptive_split(spark, sf_dir)
+    p, leaves = points(spark, sf_dir), cut(adaptive_split(spark, sf_dir))
     checks = [
         ("coordinates", p.where("lat not between -90 and 90 or lon not between -180 and 180")),
         ("ids", p.groupBy("id").count().where("count > 1")),
         ("leaves_overlap", layers.overlaps(leaves.select("cell"))),
         ("leaves_repeat", leaves.groupBy("cell").count().where("count > 1")),
+        ("occupied_too_coarse", leaves.where(f"n > 0 and res < {RULES.floor}")),
+        ("resolution_out_of_range", leaves.where(f"res not between {RULES.min_output} and {RULES.most}")),
+        ("resolution_differs", leaves.where(quad.res(F.col("cell")) != F.col("res"))),
+        ("negative", leaves.where("n < 0")),
+        ("neighbours_too_far", _far(leaves)),
     ]
     out = None
     for name, rows in checks:
@@ -236,6 +253,7 @@ def _quadtree_sql() -> str:
 
 
 COUNTED = f"SELECT count(*) AS adjacency_checks, count(*) FILTER (WHERE delta > {RULES.delta}) AS violating_neighbor_pairs, coalesce(max(delta), 0)::INT AS max_neighbor_delta_observed FROM {{pairs}}"
+FAR = f"SELECT DISTINCT least(cell, leaf) AS one, greatest(cell, leaf) AS two, delta::INT AS delta FROM {_pairs('leaves')} WHERE delta > {RULES.delta}"
 CLAIM = f"claim AS (SELECT cell, min(iso) AS iso FROM {_cover(RES)} GROUP BY 1)"
 SQL = {
     "cell_density": f"WITH {DENSITY} SELECT * FROM dens",
@@ -263,6 +281,12 @@ SQL = {
  SELECT 'coordinates' AS "check", count(*)::BIGINT AS violations FROM places WHERE lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180
  UNION ALL SELECT 'ids', count(*) FROM (SELECT id FROM places GROUP BY 1 HAVING count(*) > 1)
  UNION ALL SELECT 'leaves_overlap', count(DISTINCT u.cell) FROM up u JOIN leaves l ON l.cell = u.above
- UNION ALL SELECT 'leaves_repeat', count(*) FROM (SELECT cell FROM leaves GROUP BY 1 HAVING count(*) > 1)""",
+ UNION ALL SELECT 'leaves_repeat', count(*) FROM (SELECT cell FROM leaves GROUP BY 1 HAVING count(*) > 1)
+ UNION ALL SELECT 'occupied_too_coarse', count(*) FROM leaves WHERE n > 0 AND res < {RULES.floor}
+ UNION ALL SELECT 'resolution_out_of_range', count(*) FROM leaves WHERE res NOT BETWEEN {RULES.min_output} AND {RULES.most}
+ UNION ALL SELECT 'resolution_differs', count(*) FROM leaves WHERE cell >> 50 <> res
+ UNION ALL SELECT 'negative', count(*) FROM leaves WHERE n < 0
+ UNION ALL SELECT 'neighbours_too_far', count(*) FROM ({FAR})""",
+    "violation_samples": f"WITH {_split_sql()} {FAR} ORDER BY one, two LIMIT 3",
 }
-QUERIES = [cell_density, density_seed, metro_core, hierarchical_counts, country_mask_fixed, country_mask_first_claim, country_mask_quadtree, country_adjacency, adaptive_domain, adaptive_split, adaptive_leaves, adaptive_counters, adaptive_smoothed_counters, boundary_cells, covering_leaf, ancestor_overlap, region_components, region_points, invariant_report]
+QUERIES = [cell_density, density_seed, metro_core, hierarchical_counts, country_mask_fixed, country_mask_first_claim, country_mask_quadtree, country_adjacency, adaptive_domain, adaptive_split, adaptive_leaves, adaptive_counters, adaptive_smoothed_counters, boundary_cells, covering_leaf, ancestor_overlap, region_components, region_points, invariant_report, violation_samples]
