@@ -3,7 +3,9 @@
 A sequence of tokens is the encoding of its bytes just if each token, and each pair of neighbours, encodes to itself.  So each prefix
 of a piece has one valid last token, found from the valid last tokens of shorter prefixes; the table of them is all that is kept.
 Appending bytes extends the table; an edit redoes it from the edit to where it agrees with the old one again.
-Pieces are the matches of the tokenizer's pattern.  Null texts count as empty.  Repeated rows keep a row each; other columns are ignored.
+Pieces are the matches of the tokenizer's pattern.  Null texts count as empty; null ids stay null.  Repeated rows keep a row each; other columns are
+ignored; an empty table gives an empty result.  Texts of any length are encoded whole, a piece of n bytes in time linear in n; memories of
+pieces, prefixes and chunks are bounded, and long pieces are not remembered.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from terracell.llm.common import ChunkCache, kept, list_array
 
 
+#: Texts without adjoining blanks, on which matches by chunk and of the whole text must agree.
+PROBES = ["The end. It's 12,5% (don't) -- A,B;c!\n", "x\ty z\n\nÀé naïve ÉCOLE 1234567 \n q", "日本語 テスト, ok? ...no \t end \r\n", "a.b c: d;e\u00a0f \U0001f642 !\n"]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -156,7 +162,8 @@ class PrefixBPE:
 class TextEncoder:
     """Whole texts; blank-separated chunks met before are not encoded again (memory of fixed size).
 
-    The pattern's matches take at most one leading blank, so where no two blanks adjoin, each blank may start a new chunk."""
+    Where a pattern's matches take at most one leading blank and no two blanks adjoin, each blank may start a new chunk.  Whether that holds for the
+    pattern at hand is tried on PROBES; if it doesn't, texts are matched whole."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 600_000):
         import regex
@@ -168,6 +175,7 @@ class TextEncoder:
         for b, i in ranks.items():
             self.table[i] = b
         self.decimal = [str(i) for i in range(len(self.table))]
+        self.by_chunk = all("".join(self.find(p)) == p and self.find(p) == [m for k, c in enumerate(p.split(" ")) for m in self.find(c if k == 0 else " " + c)] for p in PROBES)
 
     def plain(self, text: str) -> list[int]:
         out: list[int] = []
@@ -184,7 +192,7 @@ class TextEncoder:
 
     def encode(self, text: str) -> list[int]:
         parts = text.split(" ")
-        if "  " in text or max(map(len, parts)) > 64:
+        if not self.by_chunk or "  " in text or max(map(len, parts)) > 64:
             return self.plain(text)
         return self.plain(parts[0]) + self.cache(parts[1:]).tolist()
 
