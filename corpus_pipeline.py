@@ -1,6 +1,10 @@
 """A training corpus from `documents`: language, quality, near duplicates, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs."""
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+
+Every row is a document, whatever its id: repeated and missing ids are told apart by a key of each row where it matters.  Null texts count as empty: the
+language stage rejects them, as it does all texts without letters.  An empty table gives an empty result, a table without labels keeps what it has; extra columns
+pass through all stages but the last.  Of near duplicates the row of least id stays, of equal ids the first one.  Texts of any length are read whole."""
 
 from __future__ import annotations
 
