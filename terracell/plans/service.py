@@ -9,6 +9,7 @@ from terracell.functions.geo import tile_bounds
 from terracell.plans.facilities import PLACES
 from terracell.sources.derived import facilities, polygons, table
 
+MOST_REGIONS = 5000
 WEST, SOUTH, EAST, NORTH = tile_bounds(2, 1, 1)
 
 
@@ -30,8 +31,10 @@ def places_by_country(spark, sf_dir):
 
 
 def route_pairs(spark, sf_dir):
-    """Ordered pairs of different polygons: a fixed set of regions, so pairs of all are few."""
+    """Ordered pairs of different polygons: all pairs are the result, so regions are few; more than MOST_REGIONS are refused."""
     p = polygons(spark, sf_dir)
+    if p.limit(MOST_REGIONS + 1).count() > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions")
     a, b = p.select(F.col("iso").alias("a"), F.col("west").alias("x"), F.col("south").alias("y")), p.select(F.col("iso").alias("b"), F.col("west").alias("z"), F.col("south").alias("w"))
     return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", (F.abs(F.col("x") - F.col("z")) + F.abs(F.col("y") - F.col("w"))).alias("distance"))
 
