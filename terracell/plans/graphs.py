@@ -9,7 +9,7 @@ from terracell.functions.geo import line_length
 from terracell.operators import backbone, evaluate, graph
 from terracell.plans.cells import _cell, _split_sql, _up, adaptive_split
 from terracell.plans.network import LEVELS, SHOWN
-from terracell.plans.roads import EDGE, NODE, ways
+from terracell.plans.roads import EDGE, NODE, WAYS, ways
 from terracell.sources.derived import road_edges, road_nodes
 
 RES, FINEST = 3, 9
@@ -166,6 +166,11 @@ LINE_MID = f"mid AS (SELECT edge_id, u, v, road_class, {_cell('(y0 + y2) / 2', '
 ENDS = "(SELECT DISTINCT node FROM (SELECT u AS node FROM edge UNION SELECT v FROM edge))"
 SQL = {
     "road_lines": f"WITH {LINES} SELECT edge_id, u, v, road_class, name, 3 AS points, round({BOTH_M}, 2) AS length_m FROM ided",
+    "raw_graph_edges": f"""WITH {WAYS}, w2 AS (SELECT way_id, list_transform(refs, lambda x: x % 250) AS refs, ['motorway', 'trunk', NULL, 'primary_link'][way_id % 4 + 1] AS road_class FROM way),
+ r AS (SELECT way_id, road_class, len(refs) AS n, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos FROM w2 WHERE road_class IS NOT NULL), sh AS (SELECT ref FROM (SELECT DISTINCT way_id, ref FROM r) GROUP BY 1 HAVING count(*) > 1),
+ e AS (SELECT * FROM r WHERE ref IN (SELECT ref FROM sh) OR pos = 0 OR pos = n - 1), seg AS (SELECT way_id, road_class, pos AS a, lead(pos) OVER w AS b, ref AS u, lead(ref) OVER w AS v FROM e WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+ lost AS (SELECT way_id, pos FROM r WHERE ref NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 31 <> 0))
+ SELECT u, v, road_class, (b - a + 1)::INT AS points, count(*) AS edges FROM seg WHERE b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lost WHERE lost.way_id = seg.way_id AND lost.pos BETWEEN a AND b) GROUP BY ALL""",
     "protected_ends": f"WITH {NODE}, {EDGE}, c AS (SELECT node_id, {_cell('lat', 'lon', 1)} AS cell FROM node), x AS (SELECT u, v FROM edge JOIN c a ON a.node_id = u JOIN c b ON b.node_id = v WHERE a.cell <> b.cell) SELECT u AS node FROM x UNION SELECT v FROM x",
     "portal_split": f"WITH {LINES}, {CROSSED.format(n=N)}, {PARTS.format(cuts='SELECT edge_id FROM piece WHERE t0 > 0 AND t1 IS NOT NULL')} {COUNTS} FROM ends LEFT JOIN cut_ USING (road_class)",
     "portal_split_mask": f"WITH {_split_sql()}, {LINES}, {CROSSED.format(n=1 << FINEST)}, {MASKED}, {PARTS.format(cuts='SELECT edge_id FROM own WHERE before <> leaf')} {COUNTS} FROM ends LEFT JOIN cut_ USING (road_class)",

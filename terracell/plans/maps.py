@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terracell.functions.edges import raw_id
 from terracell.functions.geo import tile_bounds
 from terracell.operators import ingest, polygons, serving
-from terracell.plans.cells import POLY, RES, _cell, _cover, _partition_sql, _quadtree_sql, adaptive_leaves
+from terracell.plans.cells import POLY, RES, _cell, _cover, _partition_sql, _quadtree_sql, _up, adaptive_leaves
 from terracell.plans.facilities import IDS, PLACES, records
 from terracell.plans.roads import EDGE
 from terracell.plans.service import route_pairs
@@ -178,6 +178,11 @@ SQL = {
     "polygon_full_cells": f"WITH {POLY} SELECT iso, cell FROM {_cover(5)} WHERE overlap >= 1 - 1e-9",
     "polygon_center_cells": f"WITH {POLY}, m AS (SELECT iso, cell, ({X_CELL} + 0.5) / {N_CELL} * 360.0 - 180.0 AS lon, ({Y_CELL} + 0.5) / {N_CELL} * 180.0 - 90.0 AS lat FROM {_cover(5)}) SELECT m.iso, cell FROM m JOIN poly ON poly.iso = m.iso WHERE lon BETWEEN west AND east AND lat BETWEEN south AND north",
     "polygon_points": f"WITH {PLACES}, {POLY} SELECT id, iso FROM places JOIN poly ON lon BETWEEN west AND east AND lat BETWEEN south AND north",
+    "polygon_uncovered": f"""WITH {_partition_sql()}, box AS (SELECT min(west) AS w, min(south) AS s, max(east) AS e, max(north) AS t FROM poly),
+ pt AS (SELECT id, w + (id + 0.5) / 4096.0::DOUBLE * (e - w) AS lon, s + ((id + 1) * 0.6180339887498949::DOUBLE) % 1.0 * (t - s) AS lat FROM (SELECT unnest(range(4096)) AS id), box),
+ hit AS (SELECT id, {_cell('lat', 'lon', 12)} AS cell FROM pt WHERE EXISTS (SELECT 1 FROM poly WHERE lon BETWEEN west AND east AND lat BETWEEN south AND north)),
+ met AS (SELECT DISTINCT id FROM (SELECT id, {_up('cell', 'r')} AS leaf FROM hit, (SELECT unnest(range(13)) AS r)) WHERE leaf IN (SELECT cell FROM final))
+ SELECT count(*) AS inside, count(*) FILTER (WHERE id NOT IN (SELECT id FROM met)) AS uncovered, round(count(*) FILTER (WHERE id NOT IN (SELECT id FROM met)) / count(*), 6) AS share FROM hit""",
     "polygon_refined": f"""WITH {POLY}, p AS (SELECT iso, cell FROM {_cover(4)}), k AS (SELECT iso, cell, 4::BIGINT * {1 << 50} + ({X_CELL} >> 1) * {1 << 25} + ({Y_CELL} >> 1) AS parent FROM {_cover(5)} WHERE overlap > 0.15)
  SELECT k.iso, k.cell FROM k JOIN p ON p.iso = k.iso AND p.cell = k.parent UNION ALL SELECT iso, cell FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.iso = p.iso AND k.parent = p.cell)""",
 }
