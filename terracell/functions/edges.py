@@ -44,6 +44,3 @@ def merged_id(parts: Column, u: Column, v: Column, key: list[Column], line: Colu
     """parts: ids of the edges that became one; missing attributes count as None."""
     return _id(F.array_join(F.array_sort(F.array_distinct(parts)), ","), u, v, *key, points_text(line))
 
-
-def merge_key(*columns: str) -> Column:
-    return F.struct(*[F.col(c) for c in columns or MERGE_KEY])

@@ -19,9 +19,9 @@ def haversine_asin(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
     return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def line_length(coords: Column) -> Column:
-    """Metres along an array of structs (lon, lat), summed from left to right; fewer than two points: 0."""
-    pairs = F.zip_with(F.slice(coords, 1, F.greatest(F.size(coords) - 1, F.lit(0))), F.slice(coords, 2, F.greatest(F.size(coords) - 1, F.lit(0))), lambda a, b: haversine(a["lat"], a["lon"], b["lat"], b["lon"]))
+def line_length(coords: Column, form=haversine) -> Column:
+    """Metres, by one form of the distance, along an array of structs (lon, lat), summed from left to right; fewer than two points: 0."""
+    pairs = F.zip_with(F.slice(coords, 1, F.greatest(F.size(coords) - 1, F.lit(0))), F.slice(coords, 2, F.greatest(F.size(coords) - 1, F.lit(0))), lambda a, b: form(a["lat"], a["lon"], b["lat"], b["lon"]))
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 

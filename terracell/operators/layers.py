@@ -118,30 +118,15 @@ def overlaps(leaves: DataFrame, least: int = 0) -> DataFrame:
     return up.join(leaves.select(F.col("cell").alias("above")), "above", "left_semi").select("cell").distinct()
 
 
-def adaptive_split(points: DataFrame, domain: DataFrame, base: int, most: int, target: int) -> DataFrame:
-    """cell, res, n: domain cells split while they hold more than `target` points, down to `most`; children without points stay as empty leaves.
-
-    A level of the tree for each step; the counts of all levels are aggregated once."""
-    counts = cut(hierarchy(points, base, most).select("cell", "n"))
-    frontier, leaves = domain.join(counts, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n")), None
-    for res in range(base, most + 1):
-        done = frontier.where(F.col("n") <= target) if res < most else frontier
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if res < most:
-            split = frontier.where(F.col("n") > target).select(F.explode(quad.children(F.col("cell"))).alias("cell"))
-            frontier = split.join(counts, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
-    return leaves.select("cell", quad.res(F.col("cell")).alias("res"), "n")
-
-
-def smooth(leaves: DataFrame, delta: int = 1, rounds: int = 30) -> DataFrame:
-    """cell: leaves split until neighbours' resolutions differ by delta at most.  All violators of a round split together; the result is the least
-    set of splits, whatever their order."""
+def smooth(leaves: DataFrame, delta: int = 1, rounds: int = 30, most: int = 24) -> DataFrame:
+    """cell: leaves of any cover split until neighbours' resolutions differ by delta at most; none of resolution `most` or finer is split.  All violators
+    of a round split together; the result is the least set of splits, whatever their order.  operators.adaptive has the same within a domain."""
     cells = cut(leaves.select("cell"))
     for _ in range(rounds):
         near = cells.select("cell", F.explode(quad.disk(F.col("cell"), 1)).alias("near")).where("near <> cell")
         up = near.select("cell", F.explode(quad.ancestors(F.col("near"), 0)).alias("leaf"))
         found = up.join(cells.select(F.col("cell").alias("leaf")), "leaf", "left_semi")
-        coarse = cut(found.where(quad.res(F.col("cell")) - quad.res(F.col("leaf")) > delta).select(F.col("leaf").alias("cell")).distinct())
+        coarse = cut(found.where(quad.res(F.col("cell")) - quad.res(F.col("leaf")) > delta).where(quad.res(F.col("leaf")) < most).select(F.col("leaf").alias("cell")).distinct())
         if coarse.isEmpty():
             return cells
         fine = coarse.select(F.explode(quad.children(F.col("cell"))).alias("cell"))

@@ -109,7 +109,7 @@ def class_escalation(spark, sf_dir):
 
 
 def graph_report(spark, sf_dir):
-    found = evaluate.summary(lines(spark, sf_dir).withColumn("length_m", line_length(F.col("line"))))
+    found = evaluate.summary(evaluate.edge_records(lines(spark, sf_dir)))
     return found.select("edges", "nodes", F.round("length_m", -2).alias("length_m"), "components", "largest", *[F.round(c, 9).alias(c) for c in ("largest_share", "two_share", "branch_share")])
 
 
@@ -126,8 +126,7 @@ def shortest_paths(spark, sf_dir):
 
 def variant_comparison(spark, sf_dir):
     e = lines(spark, sf_dir)
-    measured = lambda x: x.withColumn("length_m", line_length(F.col("line")))
-    found = evaluate.compared(measured(e), measured(graph.contracted(e)), most=16)
+    found = evaluate.compared(evaluate.edge_records(e), evaluate.edge_records(graph.contracted(e)), most=16)
     return found.select("pairs", "raw_reachable", "variant_reachable", "reachability_preserved", "shortcuts", "detours", *[F.round(c, 6).alias(c) for c in ("ratio_min", "ratio_max", "ratio_avg", "edges_reduction", "nodes_reduction")], "shared_nodes")
 
 
