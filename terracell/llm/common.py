@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -189,12 +190,13 @@ _KEPT: dict[tuple, object] = {}
 
 
 def kept(key: tuple, make: Callable):
-    """make()'s result, kept in this Python process for the tasks that follow; at most two such objects stay.
+    """make()'s result, kept in this Python process for the tasks that follow; only the latest such object stays, as executors' memory is small.
 
     Only for memories that no result depends on."""
     if key not in _KEPT:
-        while len(_KEPT) >= 2:
-            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _KEPT[key] = make()
     return _KEPT[key]
 

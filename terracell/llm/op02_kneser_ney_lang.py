@@ -136,7 +136,7 @@ class Model:
 class Scorer:
     """Costs of whole texts; words met before are not scored again (memory of fixed size)."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.codes = model, WordCodes(most)
         self._reset()
 

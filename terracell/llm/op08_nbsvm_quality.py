@@ -37,7 +37,7 @@ def shape(word: bytes) -> bytes:
 class Features:
     """Indicator numbers of whole texts; words met before are not taken apart again (memory of fixed size)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.codes = WordCodes(most)
         self._reset()
 

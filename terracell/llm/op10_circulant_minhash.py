@@ -80,7 +80,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, fp_hi, fp_lo (of the set), bands (empty for an empty set)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(300_000)
+        hashes = WordHashes(150_000)
         for b in batches:
             n, fp, bands = [], [], []
             for data in b.column(1).to_pylist():
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
         rows = rows.join(wanted, rows.member == wanted.wanted, "left_semi")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(300_000)
+        hashes = WordHashes(150_000)
         for b in batches:
             if bits is not None:
                 p = np.array([b.column(k).to_numpy() for k in (2, 3)])
