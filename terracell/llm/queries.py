@@ -107,6 +107,12 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.groups(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracell.llm import op11_merkle_manifest as op
+
+    return op.manifest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by name."""
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()] + [page_hosts]
@@ -117,7 +123,7 @@ def oracle_sql() -> dict[str, str]:
     documents_ = OP3_SQL.format(id="doc_id", host="source", text="text", table="documents")
     pages_ = OP3_SQL.format(id="page_id", host=PAGE_HOST_SQL, text=PAGE_TEXT_SQL, table="pages")
     pages_ = pages_[: pages_.rindex("SELECT * EXCLUDE")] + "SELECT host, n_docs::BIGINT AS n_docs, host_bad FROM hv"
-    return {"op3_host_quality": documents_, "page_hosts": pages_, "op10_circulant_minhash": OP10_SQL}
+    return {"op3_host_quality": documents_, "page_hosts": pages_, "op10_circulant_minhash": OP10_SQL, "op11_merkle_manifest": _merkle_sql()}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '')"
@@ -147,6 +153,49 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \t
 SELECT * EXCLUDE (host, n_lines, host_bad), NOT base_failed AND NOT host_bad AS kept FROM judged
 """
 
+def _merkle_sql(levels: int = 8) -> str:
+    """Leaves, runs of 16 up to `levels` levels in each source and again over the sources' roots, and each leaf's way up them; a level of one node stays as it is."""
+    value = {"doc_id": "doc_id::VARCHAR", "source": "source", "lang": "lang", "n_chars": "n_chars::VARCHAR", "text": "text"}
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(**other: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in (value | other).values()) + ")"
+
+    def climb(name: str) -> list[str]:
+        """{name}0 (k, pos, d) to {name}{levels}; {name}r{i}: runs of level i, empty where one node was left."""
+        out = []
+        for i in range(levels):
+            out.append(f"{name}r{i} AS (SELECT k, pos // 16 AS pos, CASE WHEN max(n) > 1 THEN string_agg(d, '' ORDER BY pos) ELSE '' END AS s, min(d) AS one FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM {name}{i}) GROUP BY ALL)")
+            out.append(f"{name}{i + 1} AS (SELECT k, pos, CASE WHEN s = '' THEN one ELSE sha256(s) END AS d FROM {name}r{i})")
+        return out
+
+    ways, proof = [], []
+    for name, key, place in (("a", "src", "pos"), ("b", "0", "src")):
+        for i in range(levels):
+            own = f"{name}{i}s[64 * ({place} // {16**i} % 16) + 1:64 * ({place} // {16**i} % 16) + 64]"
+            ways.append((f"{name}{i}s", f"{name}{i}s[:64 * ({place} // {16**i} % 16)]", f"{name}{i}s[64 * ({place} // {16**i} % 16) + 65:]", own))
+            proof += [ways[-1][1], ways[-1][2]]
+    joins = " ".join(f"JOIN ar{i} ON ar{i}.k = l.src AND ar{i}.pos = l.pos // {16 ** (i + 1)} JOIN br{i} ON br{i}.pos = l.src // {16 ** (i + 1)}" for i in range(levels))
+    runs = ", ".join(f"ar{i}.s AS a{i}s, br{i}.s AS b{i}s" for i in range(levels))
+    folded = "SELECT *, CASE WHEN crc % 5 = 0 THEN changed ELSE d END AS f FROM w"
+    for s, left, right, _ in ways:
+        folded = f"SELECT * REPLACE (CASE WHEN {s} = '' THEN f ELSE sha256({left} || f || {right}) END AS f) FROM ({folded})"
+    return f"""WITH RECURSIVE bytes AS (SELECT doc_id, {leaf()} AS d, {leaf(text=lower)} AS changed, source FROM documents),
+crcs AS (SELECT doc_id, x AS crc FROM ({_CRC_SQL})),
+l AS (SELECT bytes.*, crc, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS pos FROM bytes LEFT JOIN crcs USING (doc_id)),
+a0 AS (SELECT src AS k, pos, d FROM l), {", ".join(climb("a"))},
+b0 AS (SELECT 0 AS k, k AS pos, d FROM a{levels}), {", ".join(climb("b"))},
+w AS (SELECT l.*, a{levels}.d AS subroot, b{levels}.d AS root, {runs} FROM l JOIN a{levels} ON a{levels}.k = l.src, b{levels} {joins}),
+g AS ({folded})
+SELECT doc_id, d AS leaf, subroot, root, sha256({" || ".join(proof)}) AS proof_sha256, f AS folded_root, f = root AS verified FROM g"""
+
+
+#: crc32 of the decimal id: eight shifts for each character, by the reflected polynomial.
+_CRC_SQL = """WITH RECURSIVE c(doc_id, t, i, x) AS (SELECT DISTINCT doc_id, doc_id::VARCHAR, 0, 4294967295::BIGINT FROM documents UNION ALL
+ SELECT doc_id, t, i + 1, y FROM (SELECT doc_id, t, i, CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END AS y FROM (SELECT doc_id, t, i, CASE WHEN i % 8 = 0 THEN xor(x, ascii(t[i // 8 + 1])::BIGINT) ELSE x END AS z FROM c WHERE i < 8 * length(t))))
+SELECT doc_id, xor(x, 4294967295) AS x FROM c WHERE i = 8 * length(t)"""
+
+
 #: All pairs that share a shingle, exact similarities, and the closure of the links.
 OP10_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS w FROM documents),
