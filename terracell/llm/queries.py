@@ -113,6 +113,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.manifest(documents(spark, sf_dir))
 
 
+def op12_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracell.llm import op12_prefix_tree_join as op
+
+    return op.joined(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by name."""
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()] + [page_hosts]
@@ -123,7 +129,7 @@ def oracle_sql() -> dict[str, str]:
     documents_ = OP3_SQL.format(id="doc_id", host="source", text="text", table="documents")
     pages_ = OP3_SQL.format(id="page_id", host=PAGE_HOST_SQL, text=PAGE_TEXT_SQL, table="pages")
     pages_ = pages_[: pages_.rindex("SELECT * EXCLUDE")] + "SELECT host, n_docs::BIGINT AS n_docs, host_bad FROM hv"
-    return {"op3_host_quality": documents_, "page_hosts": pages_, "op10_circulant_minhash": OP10_SQL, "op11_merkle_manifest": _merkle_sql()}
+    return {"op3_host_quality": documents_, "page_hosts": pages_, "op10_circulant_minhash": OP10_SQL, "op11_merkle_manifest": _merkle_sql(), "op12_prefix_tree_join": OP12_SQL}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '')"
@@ -211,3 +217,6 @@ m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
 """
+
+#: The same for 3-word shingles from 90.
+OP12_SQL = OP10_SQL.replace("len(w) < 5", "len(w) < 3").replace("len(w) - 3)", "len(w) - 1)").replace("w[i:i + 4]", "w[i:i + 2]").replace(">= 85 *", ">= 90 *").replace(" AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept", " AS component_id")
