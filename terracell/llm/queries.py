@@ -119,6 +119,12 @@ def op12_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.joined(documents(spark, sf_dir))
 
 
+def op13_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terracell.llm import op13_threshold_search as op
+
+    return op.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, by name."""
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()] + [page_hosts]
@@ -129,7 +135,7 @@ def oracle_sql() -> dict[str, str]:
     documents_ = OP3_SQL.format(id="doc_id", host="source", text="text", table="documents")
     pages_ = OP3_SQL.format(id="page_id", host=PAGE_HOST_SQL, text=PAGE_TEXT_SQL, table="pages")
     pages_ = pages_[: pages_.rindex("SELECT * EXCLUDE")] + "SELECT host, n_docs::BIGINT AS n_docs, host_bad FROM hv"
-    return {"op3_host_quality": documents_, "page_hosts": pages_, "op10_circulant_minhash": OP10_SQL, "op11_merkle_manifest": _merkle_sql(), "op12_prefix_tree_join": OP12_SQL}
+    return {"op3_host_quality": documents_, "page_hosts": pages_, "op10_circulant_minhash": OP10_SQL, "op11_merkle_manifest": _merkle_sql(), "op12_prefix_tree_join": OP12_SQL, "op13_threshold_search": OP13_SQL}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '')"
@@ -220,3 +226,18 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
 
 #: The same for 3-word shingles from 90.
 OP12_SQL = OP10_SQL.replace("len(w) < 5", "len(w) < 3").replace("len(w) - 3)", "len(w) - 1)").replace("w[i:i + 4]", "w[i:i + 2]").replace(">= 85 *", ">= 90 *").replace(" AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept", " AS component_id")
+
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Every document's score for every item with which it shares a term.
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_all FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS t FROM benchmark),
+u AS (SELECT DISTINCT t FROM q),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) JOIN u USING (t) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t),
+i AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all)) AS i FROM p, c),
+s AS (SELECT item_id, doc_id, sum(w * i)::BIGINT AS score FROM q JOIN i USING (t) JOIN f USING (t) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
