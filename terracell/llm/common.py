@@ -201,9 +201,11 @@ def kept(key: tuple, make: Callable):
     return _KEPT[key]
 
 
-def bloom_bits(ids: DataFrame, col: str, bits: int) -> np.ndarray:
-    """A Bloom filter of a column of longs (two hashes), as `bits` / 8 bytes: all that reaches the driver, however many ids."""
-    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(col), F.lit(k)), F.lit(bits)) for k in range(2)]))
+def bloom_bits(ids: DataFrame, col: str, bits: int, hashed: bool = True) -> np.ndarray:
+    """A Bloom filter of a column of longs (two hashes, or for longs that are hashes their own low and high half), as `bits` / 8 bytes: all that reaches the
+    driver, however many ids."""
+    two = [F.xxhash64(F.col(col), F.lit(k)) if hashed else F.shiftright(col, 32 * k) for k in range(2)]
+    places = F.explode(F.array(*[F.pmod(x, F.lit(bits)) for x in two]))
     words = ids.select(places.alias("place")).groupBy(F.expr("cast(shiftright(place, 5) as int)").alias("word"))
     rows = words.agg(F.expr("bit_or(shiftleft(1L, cast(place & 31 as int)))").alias("mask"))
     out = np.zeros(bits // 32, np.uint32)

@@ -234,8 +234,8 @@ def _blocks(most_classes: str, shingles_: str):
 
 def _stars(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the classes of each least id's keys, block by block."""
-    pairs = buckets.where("rep != leader").select("leader", "rep", "n", "leader_n").distinct()
-    pairs = written(pairs.where(F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent).select("leader", "rep", "n"), "stars")
+    near = (F.col("n") * percent <= F.col("most_n") * 100) & (F.col("n") * 100 >= F.col("least_n") * percent)
+    pairs = written(buckets.where(near & F.expr("rep != leader")).select("leader", "rep", "n").distinct(), "stars")
     sized = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).select("leader", _blocks("size", "shingles").alias("blocks"))
     dealt = pairs.join(sized, "leader").select("leader", F.pmod(F.xxhash64("rep", F.lit(7)), "blocks").cast("int").alias("block"), "rep")
     firsts = sized.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("rep"))
@@ -260,25 +260,49 @@ def _stars(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("leader", "block").applyInPandas(each, "a long, b long").distinct()
 
 
-def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of a key."""
+def _sized(rows: DataFrame, by: str) -> DataFrame:
+    """For each `by`: least component, main (largest) component, components, blocks of all and of those outside the main one, and rows that this sends."""
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    counts = rows.groupBy(by, "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), *marks)
+    sums = [F.min("component").alias("least"), F.max(F.struct("size", "component", "shingles")).alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("all"), F.sum("shingles").alias("all_shingles")]
+    out = counts.groupBy(by).agg(*sums, *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in range(2)]).withColumn("others", F.col("all") - F.col("most.size")).withColumn("others_shingles", F.col("all_shingles") - F.col("most.shingles"))
+    out = out.select(by, "least", F.col("most.component").alias("main"), "kinds", "all", "others", "mark0", "mark1", _blocks("all", "all_shingles").alias("blocks"), _blocks("others", "others_shingles").alias("asking"))
+    return out.withColumn("cost", F.col("all") * F.col("asking") + F.col("others") * F.col("blocks"))
+
+
+def _units(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """unit, whole, rep, component, main, blocks, asking: where classes of different components that share a key meet.
+
+    A unit is a key, or all keys that share components, whichever sends fewer rows; pairs that share many keys mostly meet once so."""
     placed = buckets.join(labels, buckets.rep == labels.member, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     placed = written(placed, "placed")
-    marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in range(2)]
-    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), *marks)
-    found = [F.sum("size").alias("all"), F.sum("shingles").alias("all_shingles"), F.max(F.struct("size", "component", "shingles")).alias("most"), F.count(F.lit(1)).alias("kinds"), *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in range(2)]]
-    mixed = counts.groupBy("key").agg(*found).where("kinds > 1").groupBy("mark0", "mark1", "all").agg(F.min_by(F.struct("*"), "key").alias("one")).select("one.*")  # keys of the same classes: one of them
-    mixed = mixed.select("key", F.col("most.component").alias("main"), _blocks("all", "all_shingles").alias("blocks"), (F.col("all") - F.col("most.size")).alias("others"), (F.col("all_shingles") - F.col("most.shingles")).alias("others_shingles"))
-    mixed = mixed.select("key", "main", "blocks", _blocks("others", "others_shingles").alias("asking"))
-    rows = placed.join(mixed, "key")
-    own = F.xxhash64("rep")
-    asks = rows.where("component != main").select("key", "rep", "component", F.lit(True).alias("asks"), F.pmod(own, "asking").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"))
-    asked = rows.select("key", "rep", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("q"), F.pmod(own, "blocks").cast("int").alias("p"))
+    keys = _sized(placed, "key").where("kinds > 1").groupBy("mark0", "mark1", "all").agg(F.min_by(F.struct("key", "least", "main", "blocks", "asking", "cost"), "key").alias("one")).select("one.*")  # keys of the same classes: one of them
+    keys = written(keys, "keys")
+    rows = written(placed.join(keys.select("key", "least"), "key"), "key_rows")
+    near = components(rows.where("least != component").select(F.col("least").alias("a"), F.col("component").alias("b")).distinct(), "near")
+    near = near.select(F.col("member").alias("least"), F.col("component").alias("family"))
+    rows = written(rows.join(near, "least"), "family_rows")
+    members = written(rows.groupBy("family", "rep").agg(F.first("component").alias("component"), F.first("n").alias("n")), "family_members")
+    single = rows.select("key", "family").distinct().join(keys.select("key", "cost"), "key").groupBy("family").agg(F.sum("cost").alias("by_key"))
+    families = _sized(members, "family").join(single, "family").withColumn("whole", F.col("cost") <= F.col("by_key"))
+    families = written(families.select("family", "main", "blocks", "asking", "whole"), "families")
+    out = ["unit", "whole", "rep", "component", "main", "blocks", "asking"]
+    first = members.join(families.where("whole"), "family").withColumnRenamed("family", "unit").select(*out)
+    apart = rows.select("key", "family", "rep", "component").join(families.where("not whole").select("family", "whole"), "family").join(keys.select("key", "main", "blocks", "asking"), "key")
+    return first.union(apart.withColumnRenamed("key", "unit").select(*out))
+
+
+def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a key."""
+    rows = written(_units(buckets, labels), "units")
+    own, alone, outside = F.xxhash64("rep"), F.expr("blocks = 1 and asking = 1"), F.expr("component != main")
+    asks = rows.where(outside & ~alone).select("unit", "whole", "rep", "component", F.lit(True).alias("asks"), F.lit(False).alias("held"), F.pmod(own, "asking").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"))
+    asked = rows.select("unit", "whole", "rep", "component", (alone & outside).alias("asks"), F.lit(True).alias("held"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("q"), F.pmod(own, "blocks").cast("int").alias("p"))
     both = asks.unionByName(asked)
-    both = both.join(sets, both.rep == sets.member).select("key", "q", "p", "rep", "component", "asks", "grams")
+    both = both.join(sets, both.rep == sets.member).select("unit", "whole", "q", "p", "rep", "component", "asks", "held", "grams")
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
-        q, p = group[group.asks], group[~group.asks]
+        q, p = group[group.asks], group[group.held]
         p_sets = [np.frombuffer(x, np.uint64) for x in p.grams]
         kept = [k for k, s in enumerate(p_sets) if len(s)]
         out = []
@@ -290,19 +314,48 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
                 out += [(rep, reps[k]) for k in hit[first]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return both.groupBy("key", "q", "p").applyInPandas(each, "a long, b long").distinct()
+    return both.groupBy("unit", "whole", "q", "p").applyInPandas(each, "a long, b long").distinct()
+
+
+def _buckets(signed: DataFrame) -> DataFrame:
+    """key, rep, n, leader, leader_n, size: the classes of keys that several classes share.
+
+    Keys are counted first; the few that are shared reach the tasks as a Bloom filter, up to MOST_BITS / 8 of them, so that only their rows are shuffled."""
+    shared = signed.select("fp_lo", F.explode("keys").alias("key")).groupBy("key").agg(F.min("fp_lo").alias("low"), F.max("fp_lo").alias("high")).where("low != high").select("key")
+    shared = written(shared, "shared")
+    n = shared.count()
+    rows = signed.select("doc_id", "n_shingles", "fp_hi", "fp_lo", "keys")
+    if n <= MOST_BITS // 8:
+        size = 1 << max(15, (8 * n - 1).bit_length())
+        bits = signed.sparkSession.sparkContext.broadcast(bloom_bits(shared, "key", size, hashed=False))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(4)
+                keys, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+                there = np.ones(len(keys), bool)
+                for shift in (0, 32):
+                    p = (keys >> shift) & (size - 1)
+                    there &= (bits.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+                counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[there], minlength=len(sizes))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], list_array(counts, keys[there])], names=b.schema.names).filter(pa.array(counts > 0))
+
+        rows = rows.mapInArrow(each, "doc_id long, n_shingles long, fp_hi long, fp_lo long, keys array<long>")
+    rows = rows.select("doc_id", F.col("n_shingles").alias("n"), "fp_hi", "fp_lo", F.explode("keys").alias("key")).join(shared, "key")
+    rows = written(rows.groupBy("key", "fp_hi", "fp_lo", "n").agg(F.min("doc_id").alias("rep")).select("key", "rep", "n"), "classes_by_key")
+    firsts = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = rows.select(F.col("rep").alias("leader"), F.col("n").alias("leader_n")).distinct()
+    sizes = sizes.groupBy("leader").agg(F.min("leader_n").alias("least_n"), F.max("leader_n").alias("most_n"))  # a repeated id may have several sets
+    return written(rows.join(firsts, "key").join(sizes, "leader"), "buckets")  # a hot key's rows are split by the adaptive skew join
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     signed = written(_signed(docs, id_col, text_col, percent), "signed")
     sized = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = sized.groupBy("fp_hi", "fp_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    classes = sized.groupBy("fp_hi", "fp_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
-    spread = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = shared.select("key", F.col("least.rep").alias("leader"), F.col("least.n").alias("leader_n"), "size")
-    buckets = written(spread.join(shared, "key"), "buckets")  # a hot key's rows are split by the adaptive skew join
+    buckets = _buckets(sized)
     sets = written(_sets(docs, written(buckets.select(F.col("rep").alias("wanted")).distinct(), "wanted"), id_col, text_col), "sets")
     links = written(_stars(buckets, sets, percent), "links_by_star")
     labels = components(links)
