@@ -39,10 +39,12 @@ from terracell.llm.common import WordHashes, ascii_words, bloom_bits, list_array
 from terracell.llm.op10_circulant_minhash import PLACE, components
 
 WORDS = 3
-#: Parts beyond those that two sets can differ in: a set of no more empty parts than this needs no keys for them.
+#: Parts beyond those that two sets can differ in, and one: a set of no more empty parts than this needs no keys for them, nor for as many others.
 SPARE = 3
 #: Classes and shingles in a block's tree, at most (but for a single set that is larger).
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Ids (8 MB) that are broadcast to pick sets; more are joined.
+BROADCAST_IDS = 1 << 20
 #: Size of the largest Bloom filter (16 MB).
 MOST_BITS = 1 << 27
 
@@ -67,7 +69,7 @@ def needed(a: int | np.ndarray, b: int | np.ndarray, percent: int):
 
 
 class Bands:
-    """Bands of sizes, each about a quarter wider than the one before, and how many parts each has."""
+    """Bands of sizes, each ending about half as high again as it begins, and how many parts each has."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -75,7 +77,7 @@ class Bands:
 
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
-            self.low.append(self.low[-1] + max(1, self.low[-1] // 4))
+            self.low.append(self.low[-1] + max(1, self.low[-1] // 2))
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
     def parts(self, band: int) -> int:
@@ -90,7 +92,7 @@ class Bands:
 
 
 def part_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """A key for each part and band: equal where the parts hold equal shingles."""
+    """A key for each part that is needed, by bands: equal where the parts hold equal shingles."""
     out = []
     for band in bands.asked(len(s)):
         m = bands.parts(band)
@@ -100,7 +102,9 @@ def part_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         sums, filled = np.zeros(m, np.uint64), np.bincount(part, minlength=m) > 0
         sums[filled] = np.add.reduceat(mix64(s ^ np.uint64(0xA0761D6478BD642F)), np.searchsorted(part, np.flatnonzero(filled)))
         keys = mix64(sums ^ mix64(np.arange(m, dtype=np.uint64) + np.uint64(1 + (band << 32))))
-        out.append(keys if (~filled).sum() > SPARE else keys[filled])
+        # of the parts that two linked sets share, SPARE + 1 or more, those that are empty are empty in both; so one that isn't is among the first of both sets
+        none = int((~filled).sum())
+        out.append(keys if none > SPARE else keys[: m - SPARE + none][filled[: m - SPARE + none]])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -234,7 +238,7 @@ def _blocks(most_classes: str, shingles_: str):
 
 def _stars(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the classes of each least id's keys, block by block."""
-    near = (F.col("n") * percent <= F.col("most_n") * 100) & (F.col("n") * 100 >= F.col("least_n") * percent)
+    near = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
     pairs = written(buckets.where(near & F.expr("rep != leader")).select("leader", "rep", "n").distinct(), "stars")
     sized = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).select("leader", _blocks("size", "shingles").alias("blocks"))
     dealt = pairs.join(sized, "leader").select("leader", F.pmod(F.xxhash64("rep", F.lit(7)), "blocks").cast("int").alias("block"), "rep")
@@ -299,6 +303,9 @@ def _across(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     asks = rows.where(outside & ~alone).select("unit", "whole", "rep", "component", F.lit(True).alias("asks"), F.lit(False).alias("held"), F.pmod(own, "asking").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"))
     asked = rows.select("unit", "whole", "rep", "component", (alone & outside).alias("asks"), F.lit(True).alias("held"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("q"), F.pmod(own, "blocks").cast("int").alias("p"))
     both = asks.unionByName(asked)
+    wanted = written(rows.select(F.col("rep").alias("wanted")).distinct(), "across_wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(wanted), sets.member == wanted.wanted, "left_semi")
     both = both.join(sets, both.rep == sets.member).select("unit", "whole", "q", "p", "rep", "component", "asks", "held", "grams")
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
@@ -343,10 +350,9 @@ def _buckets(signed: DataFrame) -> DataFrame:
         rows = rows.mapInArrow(each, "doc_id long, n_shingles long, fp_hi long, fp_lo long, keys array<long>")
     rows = rows.select("doc_id", F.col("n_shingles").alias("n"), "fp_hi", "fp_lo", F.explode("keys").alias("key")).join(shared, "key")
     rows = written(rows.groupBy("key", "fp_hi", "fp_lo", "n").agg(F.min("doc_id").alias("rep")).select("key", "rep", "n"), "classes_by_key")
-    firsts = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = rows.select(F.col("rep").alias("leader"), F.col("n").alias("leader_n")).distinct()
-    sizes = sizes.groupBy("leader").agg(F.min("leader_n").alias("least_n"), F.max("leader_n").alias("most_n"))  # a repeated id may have several sets
-    return written(rows.join(firsts, "key").join(sizes, "leader"), "buckets")  # a hot key's rows are split by the adaptive skew join
+    firsts = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    firsts = written(firsts.select("key", F.col("first.rep").alias("leader"), F.col("first.n").alias("leader_n"), "size"), "firsts")
+    return written(rows.join(firsts, "key"), "buckets")  # a hot key's rows are split by the adaptive skew join
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90) -> DataFrame:
