@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.functions import quad
+from terracell.operators import polygons as areas
 from terracell.operators.layers import density
 from terracell.session import cut
 
@@ -195,7 +196,7 @@ def clipped(leaves: DataFrame, polygons: DataFrame, base: int) -> DataFrame:
 def partition(points: DataFrame, mask: DataFrame, rules: Rules, polygons: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """cell, resolution, layer_value of the whole partition, and its metadata; an error if neighbours are still too far apart.
 
-    points: lat, lon; mask: cells of any resolution. With polygons, leaves outside them are dropped at the end. An empty mask gives no leaves."""
+    points: lat, lon; mask: cells of any resolution. With polygons (shapes, or rectangles), leaves outside them are dropped at the end. An empty mask gives no leaves."""
     p = Partition(points, domain_of(mask, rules.base), rules)
     leaves, refined = p.smoothed(p.split())
     leaves = p.compacted(leaves)
@@ -204,7 +205,7 @@ def partition(points: DataFrame, mask: DataFrame, rules: Rules, polygons: DataFr
         raise ValueError(f"{found['violating_neighbor_pairs']} neighbours differ by more than {rules.delta} levels, by {found['max_neighbor_delta_observed']} at most")
     out, dropped = leaves, 0
     if polygons is not None:
-        out = cut(clipped(leaves, polygons, rules.base))
+        out = cut(areas.met(leaves, polygons) if "shape" in polygons.columns else clipped(leaves, polygons, rules.base))
         dropped = leaves.count() - out.count()
     metadata = found | {"smoothing_iterations": refined, "coverage_domain": f"country_mask_r{rules.base}", "params": dict(vars(rules)), "country_intersection_filter_applied": polygons is not None, "country_intersection_cells_dropped": dropped}
     return out.select("cell", quad.res(F.col("cell")).alias("resolution"), F.col("n").alias("layer_value")), metadata

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from terracell.functions.edges import raw_id
 from terracell.functions.geo import tile_bounds
+from terracell import runs
 from terracell.operators import ingest, polygons, serving
-from terracell.plans.cells import POLY, RES, _cell, _cover, _partition_sql, _quadtree_sql, _up, adaptive_leaves
+from terracell.plans.cells import POLY, RES, RULES, _cell, _cover, _make, _partition_sql, _quadtree_sql, _up, adaptive_leaves
 from terracell.plans.facilities import IDS, PLACES, records
 from terracell.plans.roads import EDGE
 from terracell.plans.service import route_pairs
@@ -149,6 +150,41 @@ def polygon_uncovered(spark, sf_dir):
     return polygons.uncovered_share(shapes(spark, sf_dir), adaptive_leaves(spark, sf_dir)).select("inside", "uncovered", F.round("share", 6).alias("share"))
 
 
+def features(spark, sf_dir):
+    """Three features a nation: two triangles that adjoin and make its rectangle, and a diamond over its east border."""
+    point = lambda x, y: F.struct(F.expr(x).cast("double").alias("lon"), F.expr(y).cast("double").alias("lat"))
+    lower, upper = [("west", "south"), ("east", "south"), ("west", "north")], [("east", "south"), ("east", "north"), ("west", "north")]
+    diamond = [("east - 5", "north - 10"), ("east", "north - 14"), ("east + 5", "north - 10"), ("east", "north - 6")]
+    rings = F.explode(F.array(*[F.array(*[point(*c) for c in ring]) for ring in (lower, upper, diamond)])).alias("ring")
+    rows = derived.polygons(spark, sf_dir).select(F.lpad(F.col("iso").cast("string"), 2, "0").alias("iso"), "name", rings)
+    return rows.select("iso", "name", F.array(F.array("ring")).alias("shape"))
+
+
+def polygon_union_points(spark, sf_dir):
+    """Facilities, each twice, of nations with features that overlap and adjoin."""
+    points = facilities(spark, sf_dir).select("id", "lat", "lon")
+    found = polygons.covered_points(points.union(points), features(spark, sf_dir))
+    return found.select("id", F.col("shape_iso").cast("int").alias("iso"))
+
+
+def polygon_union_cover(spark, sf_dir):
+    """Shares of cells of two rectangles a nation that overlap, united."""
+    rows = derived.polygons(spark, sf_dir)
+    second = rows.selectExpr("iso", "name", "west + 12.5 as west", "south + 3.25 as south", "east + 7.75 as east", "north + 4.5 as north")
+    shapes_ = polygons.boxes(rows.unionByName(second))
+    return polygons.covering(shapes_, 6).select(F.col("iso").cast("int").alias("iso"), "cell", F.round("overlap", 9).alias("overlap"))
+
+
+def run_layers(spark, sf_dir):
+    """The layers of a run over true polygons: a mask of one resolution, which gives the partition its base, and the partition cut to the polygons."""
+    rows = facilities(spark, sf_dir).withColumn("asof_date", F.expr("concat('2026-02-', 20 + id % 7)"))
+    rules = {"base": 2, "root": 2, "min_output": RULES.min_output, "floor": RULES.floor, "most": RULES.most, "target": RULES.target, "interior": RULES.interior}
+    config = {"layers": {"country_mask": {"resolution": RULES.base}, "facility_density_adaptive": rules}, "version": "v2"}
+    found, _ = runs.computed(rows, config, shapes(spark, sf_dir))
+    out = [c.select("cell", "resolution", F.col("layer_value").cast("int").alias("layer_value"), "layer_id", "asof_date") for c, _ in found.values()]
+    return out[0].unionByName(out[1])
+
+
 N_CELL, X_CELL, Y_CELL = "(1::BIGINT << (cell >> 50))::DOUBLE", "((cell >> 25) & 33554431)", "(cell & 33554431)"
 BOX = f"{X_CELL} / {N_CELL} * 360.0 - 180.0 AS west, {Y_CELL} / {N_CELL} * 180.0 - 90.0 AS south, {X_CELL} / {N_CELL} * 360.0 - 180.0 + 360.0 / {N_CELL} AS east, {Y_CELL} / {N_CELL} * 180.0 - 90.0 + 180.0 / {N_CELL} AS north"
 CODE = "['AA', 'BB', 'CC'][u % 3 + 1]"
@@ -178,6 +214,12 @@ SQL = {
     "polygon_full_cells": f"WITH {POLY} SELECT iso, cell FROM {_cover(5)} WHERE overlap >= 1 - 1e-9",
     "polygon_center_cells": f"WITH {POLY}, m AS (SELECT iso, cell, ({X_CELL} + 0.5) / {N_CELL} * 360.0 - 180.0 AS lon, ({Y_CELL} + 0.5) / {N_CELL} * 180.0 - 90.0 AS lat FROM {_cover(5)}) SELECT m.iso, cell FROM m JOIN poly ON poly.iso = m.iso WHERE lon BETWEEN west AND east AND lat BETWEEN south AND north",
     "polygon_points": f"WITH {PLACES}, {POLY} SELECT id, iso FROM places JOIN poly ON lon BETWEEN west AND east AND lat BETWEEN south AND north",
+    "polygon_union_points": f"""WITH {PLACES}, {POLY} SELECT id, iso FROM places JOIN poly ON lon BETWEEN west AND east AND lat BETWEEN south AND north OR abs(lon - east) / 5 + abs(lat - (north - 10)) / 4 <= 1 + 1e-9, (SELECT unnest([1, 2]) AS twice)""",
+    "polygon_union_cover": f"""WITH {POLY}, r AS (SELECT iso, unnest([{{'w': west, 's': south, 'e': east, 't': north}}, {{'w': west + 12.5, 's': south + 3.25, 'e': east + 7.75, 't': north + 4.5}}, {{'w': west + 12.5, 's': south + 3.25, 'e': east, 't': north}}]) AS b, unnest([1, 1, -1]) AS sign FROM poly),
+ c AS (SELECT iso, {_make(6, 'x', 'y')} AS cell, sum(sign * greatest(0, least(b.e, x * 5.625 - 174.375) - greatest(b.w, x * 5.625 - 180)) * greatest(0, least(b.t, y * 2.8125 - 87.1875) - greatest(b.s, y * 2.8125 - 90)))::DOUBLE / (5.625 * 2.8125) AS overlap FROM r, (SELECT unnest(range(64)) AS x), (SELECT unnest(range(64)) AS y) GROUP BY ALL)
+ SELECT iso, cell, round(overlap, 9) AS overlap FROM c WHERE overlap > 0""",
+    "run_layers": f"""WITH {_partition_sql()} SELECT cell, 4 AS resolution, min(iso)::INT AS layer_value, 'country_mask:v2' AS layer_id, '2026-02-26' AS asof_date FROM {_cover(4)} GROUP BY 1
+ UNION ALL SELECT cell, res::INT, n::INT, 'facility_density_adaptive:v2', '2026-02-26' FROM final""",
     "polygon_uncovered": f"""WITH {_partition_sql()}, box AS (SELECT min(west) AS w, min(south) AS s, max(east) AS e, max(north) AS t FROM poly),
  pt AS (SELECT id, w + (id + 0.5) / 4096.0::DOUBLE * (e - w) AS lon, s + ((id + 1) * 0.6180339887498949::DOUBLE) % 1.0 * (t - s) AS lat FROM (SELECT unnest(range(4096)) AS id), box),
  hit AS (SELECT id, {_cell('lat', 'lon', 12)} AS cell FROM pt WHERE EXISTS (SELECT 1 FROM poly WHERE lon BETWEEN west AND east AND lat BETWEEN south AND north)),
@@ -186,4 +228,4 @@ SQL = {
     "polygon_refined": f"""WITH {POLY}, p AS (SELECT iso, cell FROM {_cover(4)}), k AS (SELECT iso, cell, 4::BIGINT * {1 << 50} + ({X_CELL} >> 1) * {1 << 25} + ({Y_CELL} >> 1) AS parent FROM {_cover(5)} WHERE overlap > 0.15)
  SELECT k.iso, k.cell FROM k JOIN p ON p.iso = k.iso AND p.cell = k.parent UNION ALL SELECT iso, cell FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.iso = p.iso AND k.parent = p.cell)""",
 }
-QUERIES = [facilities_by_filter, cell_boundaries, layer_cells, tile_layers, transport_overlay, transport_classes, graph_overlay, populated_places, region_route_counts, region_routes_preferred, routes_compacted, run_estimates, polygon_cover, polygon_quadtree, polygon_full_cells, polygon_center_cells, polygon_points, polygon_refined, polygon_uncovered]
+QUERIES = [facilities_by_filter, cell_boundaries, layer_cells, tile_layers, transport_overlay, transport_classes, graph_overlay, populated_places, region_route_counts, region_routes_preferred, routes_compacted, run_estimates, polygon_cover, polygon_quadtree, polygon_full_cells, polygon_center_cells, polygon_points, polygon_refined, polygon_uncovered, polygon_union_points, polygon_union_cover, run_layers]

@@ -5,50 +5,84 @@ from __future__ import annotations
 import hashlib
 import importlib
 import json
+import pathlib
 import time
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell.functions import quad
 from terracell.operators import adaptive, ingest, layers
+from terracell.operators import polygons as areas
 from terracell.session import cut
 from terracell.sources import files
 
-Layer = Callable[[DataFrame, dict[str, DataFrame], dict[str, Any]], tuple[DataFrame, dict]]
+class Done(dict[str, DataFrame]):
+    """Layers that a run has, by name, and their metadata; `polygons` are the run's own."""
 
+    def __init__(self, polygons: DataFrame | None = None):
+        super().__init__({} if polygons is None else {"polygons": shapes_of(polygons)})
+        self.metadata: dict[str, dict] = {}
 
-def metro_core(facilities: DataFrame, _: dict[str, DataFrame], params: dict[str, Any]) -> tuple[DataFrame, dict]:
+
+Layer = Callable[[DataFrame, Done, dict[str, Any]], tuple[DataFrame, dict]]
+
+
+def shapes_of(polygons: DataFrame) -> DataFrame:
+    """iso, name, shape of polygons, or of rectangles (west, south, east, north)."""
+    return polygons.select(F.col("iso").cast("string").alias("iso"), "name", "shape") if "shape" in polygons.columns else areas.boxes(polygons)
+
+
+def _latest(facilities: DataFrame) -> Column:
+    """The facilities' last asof_date, as a value."""
+    return F.lit(facilities.agg(F.max("asof_date")).first()[0] if "asof_date" in facilities.columns else None).cast("string")
+
+
+def metro_core(facilities: DataFrame, _: Done, params: dict[str, Any]) -> tuple[DataFrame, dict]:
     cells = cut(layers.metro_core(facilities, params["resolution"], params["k"], params["min_facilities"]))
     first = cells.orderBy(F.desc("layer_value"), "cell").first()
-    return cells, {"seed_cell": first.cell if first else None, "params": params}
+    return cells.drop("layer_id"), {"seed_cell": first.cell if first else None, "params": params}
 
 
-def country_mask(_: DataFrame, done: dict[str, DataFrame], params: dict[str, Any]) -> tuple[DataFrame, dict]:
-    """Of the polygons table that the run brings; fixed resolution, or cells split by what they cover."""
+def country_mask(facilities: DataFrame, done: Done, params: dict[str, Any]) -> tuple[DataFrame, dict]:
+    """Of the run's polygons; one resolution, or cells split by what they cover, through all resolutions from base to most or only some (`levels`)."""
     if params.get("mode") == "quadtree":
-        cells = layers.quadtree_mask(done["polygons"], params["base"], params["most"]).select("cell", quad.res(F.col("cell")).alias("resolution"), F.col("iso").cast("string").alias("layer_value"))
+        cells = areas.quadtree(done["polygons"], params.get("levels") or [*range(params["base"], params["most"] + 1)]).select("cell", quad.res(F.col("cell")).alias("resolution"), F.col("iso").alias("layer_value"))
     else:
-        claimed = layers.first_claim(layers.covering(done["polygons"], params["resolution"]))
-        cells = claimed.select("cell", F.lit(params["resolution"]).alias("resolution"), F.col("iso").cast("string").alias("layer_value"))
-    return cells, {"params": params}
+        claimed = layers.first_claim(areas.covering(done["polygons"], params["resolution"]))
+        cells = claimed.select("cell", F.lit(params["resolution"]).alias("resolution"), F.col("iso").alias("layer_value"))
+    return cells.withColumn("asof_date", _latest(facilities)), {"params": params}
 
 
-def facility_density_adaptive(facilities: DataFrame, done: dict[str, DataFrame], params: dict[str, Any]) -> tuple[DataFrame, dict]:
-    return adaptive.partition(facilities, done["country_mask"], adaptive.Rules(**params), done.get("polygons"))
+def facility_density_adaptive(facilities: DataFrame, done: Done, params: dict[str, Any]) -> tuple[DataFrame, dict]:
+    """Over the mask; a mask of one resolution gives the base resolution, whatever the parameters say."""
+    mask = done.metadata.get("country_mask", {}).get("params", {})
+    if mask.get("mode", "fixed") == "fixed" and mask.get("resolution") is not None:
+        params = params | {"base": int(mask["resolution"])}
+    rules = adaptive.Rules(**params)
+    cells, metadata = adaptive.partition(facilities, done["country_mask"], rules, done.get("polygons"))
+    domain = adaptive.domain_of(done["country_mask"], rules.base)
+    inside = facilities.withColumn("_base", quad.cell(F.col("lat"), F.col("lon"), rules.base)).join(domain, F.col("_base") == domain.cell, "left_semi")
+    return cells.withColumn("asof_date", _latest(inside)), metadata
 
 
-def regions(_: DataFrame, done: dict[str, DataFrame], params: dict[str, Any]) -> tuple[DataFrame, dict]:
+def regions(_: DataFrame, done: Done, params: dict[str, Any]) -> tuple[DataFrame, dict]:
     """Connected leaves of one resolution that hold facilities, with the region's id, size and representative cell and its place."""
-    res = params["resolution"]
-    leaves = cut(done["facility_density_adaptive"].where((F.col("resolution") == res) & (F.col("layer_value") > 0)))
+    res, source = params["resolution"], params.get("source_layer", "facility_density_adaptive")
+    if source not in done:
+        raise ValueError(f"regions need the layer {source} before them")
+    if missing := {"cell", "resolution"} - set(done[source].columns):
+        raise ValueError(f"{source} has no {', '.join(sorted(missing))}")
+    leaves = cut(done[source].where((F.col("resolution") == res) & (F.col("layer_value") > 0)))
     part = cut(layers.regions(leaves.select("cell")))
     points = layers.region_points(leaves.select("cell"))
     lat, lon = quad.centre(F.col("representative"))
     rows = leaves.join(part, "cell").join(points, "component").withColumns({"region_lat": lat, "region_lon": lon})
-    return rows.select("cell", "resolution", "layer_value", F.col("region_id").alias("cluster_id"), F.col("component").alias("cluster_anchor"), F.col("size").alias("cluster_cell_count"), F.col("representative").alias("region_cell"), "region_lat", "region_lon"), {"params": params, "target_resolution": res}
+    version = done.metadata.get(source, {}).get("layer_version")
+    found = rows.select("cell", "resolution", "layer_value", F.col("region_id").alias("cluster_id"), F.col("component").alias("cluster_anchor"), F.col("size").alias("cluster_cell_count"), F.col("representative").alias("region_cell"), "region_lat", "region_lon", F.lit(source).alias("source_layer"), F.lit(version).cast("string").alias("source_layer_version"), "asof_date")
+    return found, {"params": params, "target_resolution": res, "source_layer": source, "source_layer_version": version}
 
 
 #: Layers by name; a configuration may name others as module:function.
@@ -69,12 +103,35 @@ def text_of(config: dict[str, Any]) -> str:
     return json.dumps(config, sort_keys=True, indent=2, ensure_ascii=True)
 
 
-def content_hash(spark: SparkSession, paths: list[str]) -> str:
-    """sha256 over the files' own hashes, in order of name; folders count with all their files. The executors hash; the driver gets a hash a file."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted(paths)).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("hash"))
+def rows_hash(rows: DataFrame, by: list[str]) -> str:
+    """sha256 over a line for each `by`: how many rows it has, and sums of two hashes of them; their order doesn't matter. No row is put together with others."""
+    hashes = [F.sum(F.xxhash64(F.lit(k), F.to_json(F.struct(*rows.columns))).cast("decimal(38,0)")).cast("string").alias(f"_h{k}") for k in range(2)]
     total = hashlib.sha256()
-    for r in sorted(rows.collect()):
-        total.update(f"{r.name}|{r.hash}\n".encode())
+    for r in sorted(tuple(map(str, r)) for r in rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *hashes).collect()):
+        total.update(("|".join(r) + "\n").encode())
+    return total.hexdigest()
+
+
+def content_hash(spark: SparkSession, feeds: dict[str, str], polygons: DataFrame | None = None) -> str:
+    """Hash of the feeds, each with its name, and of the polygons. Files are read by lines, so they may have any size; the driver gets a line for a file, or iso."""
+    total = hashlib.sha256()
+    for name in sorted(feeds):
+        lines = spark.read.option("recursiveFileLookup", "true").text(feeds[name]).withColumn("_file", F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1))
+        total.update(f"{name}|{rows_hash(lines, ['_file'])}\n".encode())
+    if polygons is not None:
+        total.update(f"polygons|{rows_hash(shapes_of(polygons), ['iso'])}\n".encode())
+    return total.hexdigest()
+
+
+def code_hash(config: dict[str, Any] | None = None) -> str:
+    """sha256 over this package's files, by name, and over the modules of layers that the configuration takes from elsewhere."""
+    root, total = pathlib.Path(__file__).parent, hashlib.sha256()
+    paths = {str(p.relative_to(root)): p for p in root.rglob("*.py")}
+    for name in (config or {}).get("layers", {}):
+        if ":" in name and (own := importlib.import_module(name.partition(":")[0]).__file__):
+            paths[name.partition(":")[0]] = pathlib.Path(own)
+    for name in sorted(paths):
+        total.update(f"{name}|{hashlib.sha256(paths[name].read_bytes()).hexdigest()}\n".encode())
     return total.hexdigest()
 
 
@@ -97,7 +154,7 @@ def violations(facilities: DataFrame, found: dict[str, tuple[DataFrame, dict]],
         if name in ("country_mask", "facility_density_adaptive"):
             checks.append((f"{name}_overlap", layers.overlaps(cells.select("cell"))))
         if name == "facility_density_adaptive":
-            rules = adaptive.Rules(**config["layers"][name])
+            rules = adaptive.Rules(**metadata["params"])
             checks += [
                 (f"{name}_negative", cells.where("layer_value < 0")),
                 (f"{name}_resolution_out_of_range", cells.where(~F.col("resolution").between(rules.min_output, rules.most))),
@@ -114,30 +171,41 @@ def violations(facilities: DataFrame, found: dict[str, tuple[DataFrame, dict]],
     return out
 
 
-def run(spark: SparkSession, feeds: dict[str, str], config: dict[str, Any], root: str, polygons: DataFrame | None = None, code: str = "0" * 64, note: Callable[[str], None] = lambda stage: None, publish: bool = True, where: str = "true") -> dict[str, Any]:
+def computed(facilities: DataFrame, config: dict[str, Any], polygons: DataFrame | None = None, note: Callable[[str], None] = lambda stage: None) -> tuple[dict[str, tuple[DataFrame, dict]], dict[str, float]]:
+    """The configuration's layers in their order, each with its metadata, and the seconds that each took.
+
+    A layer's rows have layer_id (its name and version) and asof_date."""
+    done, found, spent, version = Done(polygons), {}, {}, config.get("version", "v1")
+    for key, params in config["layers"].items():
+        note(f"layer {key}")
+        began = time.time()
+        cells, metadata = layer(key)(facilities, done, params)
+        more = {"layer_id": F.lit(f"{key}:{version}")} | ({} if "asof_date" in cells.columns else {"asof_date": _latest(facilities)})
+        done[key], done.metadata[key] = cut(cells.withColumns(more)), metadata | {"layer_name": key, "layer_version": version}
+        found[key] = done[key], done.metadata[key]
+        spent[key] = time.time() - began
+    return found, spent
+
+
+def run(spark: SparkSession, feeds: dict[str, str], config: dict[str, Any], root: str, polygons: DataFrame | None = None, code: str | None = None, note: Callable[[str], None] = lambda stage: None, publish: bool = True, where: Column | None = None) -> dict[str, Any]:
     """Ingests the feeds, computes the configuration's layers in their order, checks them, and publishes everything under root.
 
-    config: resolutions (of the canonical table) and layers (name to parameters).  A run of the same inputs, configuration and code that is published is not done again.
-    `where` restricts the facilities, as a calibration does, whose report has the same counts without being published."""
-    inputs, text = content_hash(spark, list(feeds.values())), text_of(config)
+    config: resolutions (of the canonical table), layers (name to parameters) and version; polygons: shapes (iso, name, shape) or rectangles.  A run of the
+    same inputs (feeds with their names, polygons, `where`), configuration and code (this package's, unless a hash is given) that is published is not done
+    again.  `where` restricts the facilities, as a calibration does, whose report has the same counts without being published."""
+    inputs, text, code = content_hash(spark, feeds, polygons), text_of(config | ({} if where is None else {"where": str(where)})), code or code_hash(config)
     name = run_id(inputs, hashlib.sha256(text.encode()).hexdigest(), code)
     folder = files.hadoop_path(spark, f"{root}/runs/{name}")
     if publish and folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return {"run_id": name, "published": True, "again": True}
     note("ingest")
-    began, spent = time.time(), {}
+    began = time.time()
     records = cut(files.records(spark, feeds))
-    facilities = cut(ingest.facilities(records, tuple(config["resolutions"])).where(where))
-    spent["ingest"] = time.time() - began
-    done: dict[str, DataFrame] = {} if polygons is None else {"polygons": polygons}
-    found: dict[str, tuple[DataFrame, dict]] = {}
-    for key, params in config["layers"].items():
-        note(f"layer {key}")
-        began = time.time()
-        cells, metadata = layer(key)(facilities, done, params)
-        done[key] = cut(cells)
-        found[key] = done[key], metadata | {"layer_name": key, "layer_version": config.get("version", "v1")}
-        spent[key] = time.time() - began
+    facilities = ingest.facilities(records, tuple(config["resolutions"]))
+    facilities = cut(facilities if where is None else facilities.where(where))
+    ingested = time.time() - began
+    found, spent = computed(facilities, config, polygons, note)
+    spent["ingest"] = ingested
     note("checks")
     bad = {r.check: r.violations for r in violations(facilities, found, config).where("violations > 0").collect()}
     counts = {r.source_name: r["count"] for r in facilities.groupBy("source_name").count().collect()}  # a row for each feed
@@ -145,7 +213,7 @@ def run(spark: SparkSession, feeds: dict[str, str], config: dict[str, Any], root
     out = {"run_id": name, "metrics": metrics, "metadata": {k: m for k, (_, m) in found.items()}, "published": False}
     if publish:
         note("publish")
-        tables = {"canonical/facilities": facilities, "canonical/organizations": ingest.organizations(facilities)} | {f"layers/{k}": c.orderBy("cell") for k, (c, _) in found.items()}
+        tables = {"canonical/facilities": facilities, "canonical/organizations": ingest.organizations(facilities)} | {f"layers/{k}": c.orderBy(*(["cluster_anchor", "cell"] if "cluster_anchor" in c.columns else ["resolution", "cell"])) for k, (c, _) in found.items()}
         reports = {"manifest.json": {"run_id": name, "inputs_hash": inputs, "config": config, "code_hash": code}, "metrics.json": metrics, **{f"layers/{k}.json": m for k, (_, m) in found.items()}}
         files.publish(spark, tables, root, name, {k: text_of(v) for k, v in reports.items()})
         out["published"] = True
@@ -156,7 +224,7 @@ def calibrate(spark: SparkSession, feeds: dict[str, str], config: dict[str, Any]
     """A run over one country's facilities, as a report: counts and seconds for the runtime estimate. Nothing is published but the report."""
     began = time.time()
     own = polygons.where(F.col("iso").cast("string") == country) if polygons is not None else None
-    out = run(spark, feeds, config, root, own, publish=False, where=f"country_label = '{country}'")
+    out = run(spark, feeds, config, root, own, publish=False, where=F.col("country_label") == country)
     found = out["metadata"].get("facility_density_adaptive", {})
     report = {"country": country, "facilities": out["metrics"]["facilities"], "domain_cell_count": out["metrics"]["cells"].get("country_mask", 0), "adaptive_leaf_count": out["metrics"]["cells"].get("facility_density_adaptive", 0)}
     report |= {"smoothing_iterations": found.get("smoothing_iterations", 0), "adjacency_checks": found.get("adjacency_checks", 0), "violations": out["metrics"]["violations"], "runtime_seconds": time.time() - began}

@@ -49,6 +49,56 @@ def test_inside_like_sampling():
     assert abs(parts - polygons.area(shape)) < 1e-9
 
 
+def test_union_area():
+    """Against counting, for overlapping, adjoining and holed parts; a part twice counts once."""
+    r = random.Random(3)
+    for _ in range(20):
+        shape = [[[(r.uniform(0, 10), r.uniform(0, 10)) for _ in range(3)]] for _ in range(r.randint(1, 5))]
+        shape += [shape[0], [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]]]
+        hits = sum(polygons.inside(shape, (i + 0.5) / 12, (j + 0.5) / 12) for i in range(120) for j in range(120)) / 144
+        assert abs(polygons.area(shape) - hits) < 1.2
+    halves = [[[(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)]], [[(2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]]]
+    assert abs(polygons.area(halves) - 4) < 1e-12 and polygons.area([]) == 0
+
+
+def test_features_of_one_code(spark):
+    """Features that overlap and adjoin are one area: a row a cell, full cells where two fill one together, points by the index as by the whole shape."""
+    r = random.Random(6)
+    ring = lambda *c: [[{"lon": float(x), "lat": float(y)} for x, y in c]]
+    import math
+
+    star = [(60 + 40 * math.cos(k * math.pi / 40) * (1 if k % 2 else 0.6), 20 + 40 * math.sin(k * math.pi / 40) * (1 if k % 2 else 0.6)) for k in range(80)]
+    rows = [("AA", "A", [ring((0, 0), (90, 0), (0, 45))]), ("AA", "A", [ring((90, 0), (90, 45), (0, 45))]), ("AA", "B", [ring((80, 10), (120, 10), (120, 30), (80, 30))]), ("BB", "B", [ring(*star), ring((-90, -45), (-45, -45), (-45, 0), (-90, 0))]), ("CC", "C", None), ("DD", "D", [])]
+    shapes = spark.createDataFrame(rows, f"iso string, name string, shape {polygons.SHAPE}")
+    cover = polygons.covering(shapes, 5)
+    assert cover.groupBy("iso", "cell").count().where("count > 1").count() == 0
+    full = {row.cell for row in polygons.cells_of(shapes.where("iso = 'AA'"), 3, "full").collect()}
+    assert {(3 << 50) + (4 << 25) + y for y in (4, 5)} <= full
+    points = [(r.uniform(-100, 130), r.uniform(-50, 70), {"k": 1}) for _ in range(1500)] + [(90.0, 20.0, {}), (0.0, 0.0, {}), (-45.0, -10.0, {}), (45.0, 22.5, {}), (45.0, 22.5, {}), (None, 3.0, None)]
+    frame = spark.createDataFrame([(i, y, x, m, "z") for i, (x, y, m) in enumerate(points)], "id int, lat double, lon double, shape map<string,int>, _cell string")
+    for edges, finest in ((4, 6), (1000, 3), (48, 10)):
+        table = polygons.index(shapes, finest, edges)
+        up = table.select("iso", "cell", F.explode(quad.ancestors(F.col("cell"), 0, own=False)).alias("above"))
+        assert up.join(table.select("iso", F.col("cell").alias("above")), ["iso", "above"]).count() == 0  # no cell lies in another of its iso
+        got = polygons.covered_points(frame, table).select("id", "shape_iso", "shape").collect()
+        parts = {iso: [[[(p["lon"], p["lat"]) for p in c] for c in part] for x in rows if x[0] == iso for part in x[2]] for iso in ("AA", "BB")}
+        want = sorted((i, iso) for i, (x, y, _) in enumerate(points) if x is not None for iso, whole in parts.items() if polygons.inside(whole, x, y))
+        assert sorted((g.id, g.shape_iso) for g in got) == want and all((g["shape"] or {}) == points[g.id][2] for g in got)
+    asked = cover.where("iso = 'BB'").select("iso", "cell").union(spark.sql("select 'BB', 1L << 50").toDF("iso", "cell"))
+    found = {(s.cell): s.overlap for s in polygons.shares(asked, shapes).collect()}
+    assert {row.cell: round(row.overlap, 9) for row in cover.where("iso = 'BB'").collect()} == {k: round(v, 9) for k, v in found.items() if k >> 50 == 5}
+
+
+def test_folder(spark, tmp_path):
+    collection(tmp_path / "AR.geojson", ({"name": "Argentina"}, "Polygon", TRIANGLE), ({"iso_a2": "CL"}, "Polygon", HOLED))
+    collection(tmp_path / "GB.geojson", ({}, "Polygon", HOLED))
+    load = lambda *a: [(r.iso, r.name) for r in polygons.from_folder(spark, str(tmp_path), *a).orderBy("iso").collect()]
+    assert load(["gb", "AR "]) == [("AR", "Argentina"), ("CL", "CL"), ("GB", "GB")] and load(["AR"], ("CL",)) == [("AR", "Argentina")]
+    assert load(["AR"], ("AR",)) == [] and polygons.from_geojson(spark, str(tmp_path / "*.geojson"), ("AR",), ("AR",)).count() == 0
+    with pytest.raises(FileNotFoundError, match="JP, ZA"):
+        load(["ZA", "GB", "JP"])
+
+
 def test_features(spark):
     ring = spark.createDataFrame([([{"lon": 179.0, "lat": 0.0}, {"lon": -179.0, "lat": 0.0}, {"lon": -179.0, "lat": 1.0}, {"lon": 179.0, "lat": 1.0}, {"lon": 179.0, "lat": 0.0}],)], "r array<struct<lon:double,lat:double>>")
     assert [p.lon for p in ring.select(serving.unwrapped(F.col("r")).alias("r")).first().r] == [179, 181, 181, 179, 179]
@@ -116,8 +166,41 @@ def test_whole_run(spark, tmp_path):
     assert [r["run_id"] for r in runs.catalog(spark, str(tmp_path / "out"))] == [out["run_id"]]
     found = runs.metadata(spark, str(tmp_path / "out"), out["run_id"], "facility_density_adaptive")[0]
     assert runs.adjacency_health(found)["status"] == "ok" and found["adjacency_checks"] > 0
+    again = runs.run(spark, {"fixture": str(tmp_path / "a.tsv")}, config | {"layers": {k: v for k, v in config["layers"].items()}}, str(tmp_path / "out"), boxes.withColumn("east", F.lit(11.0)), publish=False)
+    assert again["run_id"] != out["run_id"]
     report = runs.calibrate(spark, {"fixture": str(tmp_path / "a.tsv")}, config, str(tmp_path / "out"), "TW", boxes)
     assert report["facilities"] == 3 and runs.latest_reports(spark, str(tmp_path / "out")).first().adaptive_leaf_count == report["adaptive_leaf_count"]
+    assert runs.calibrate(spark, {"fixture": str(tmp_path / "a.tsv")}, config | {"layers": {}}, str(tmp_path / "out"), "T'W")["facilities"] == 0
     with pytest.raises(KeyError):
         runs.layer("nothing")
     assert runs.layer("terracell.runs:metro_core") is runs.metro_core
+
+
+def test_run_over_polygons(spark, tmp_path):
+    """A triangle and a second feature of the same country: mask, base from the mask, clip, dates and ids of layers, and ids of runs that follow every input."""
+    (tmp_path / "a.tsv").write_text(FEED)
+    collection(tmp_path / "TW.geojson", ({}, "Polygon", [[[-130, 25], [20, 25], [-60, 60], [-130, 25]]]), ({}, "Polygon", [[[0, 25], [40, 25], [40, 60], [0, 60], [0, 25]]]))
+    shapes = polygons.from_folder(spark, str(tmp_path), ["TW"])
+    rules = {"base": 2, "root": 2, "min_output": 4, "floor": 6, "most": 8, "target": 1, "interior": 4}
+    config = {"resolutions": [7], "layers": {"country_mask": {"resolution": 4}, "facility_density_adaptive": rules, "regions": {"resolution": 6}}}
+    feeds = {"fixture": str(tmp_path / "a.tsv")}
+    out = runs.run(spark, feeds, config, str(tmp_path / "out"), shapes)
+    assert out["metrics"]["violations"] == {} and out["metadata"]["facility_density_adaptive"]["params"]["base"] == 4
+    assert out["metadata"]["facility_density_adaptive"]["coverage_domain"] == "country_mask_r4" and out["metadata"]["facility_density_adaptive"]["country_intersection_cells_dropped"] > 0
+    folder = files.latest(spark, str(tmp_path / "out"))
+    leaves, mask = (spark.read.parquet(f"{folder}/layers/{k}") for k in ("facility_density_adaptive", "country_mask"))
+    assert mask.count() == polygons.covering(shapes, 4).count() and {r.asof_date for r in leaves.collect()} == {"2026-02-28"}
+    assert {r.layer_id for r in leaves.union(mask).select("layer_id").collect()} == {"facility_density_adaptive:v1", "country_mask:v1"}
+    assert polygons.shares(leaves.select(F.lit("TW").alias("iso"), "cell"), shapes).count() == leaves.count()
+    assert leaves.count() > 50 and {r.source_layer_version for r in spark.read.parquet(f"{folder}/layers/regions").collect()} == {"v1"}
+    assert runs.run(spark, feeds, config, str(tmp_path / "out"), shapes)["again"]
+    same = runs.run_id(runs.content_hash(spark, feeds, shapes), "c", "k")
+    (tmp_path / "b.tsv").write_text(FEED)
+    others = [runs.content_hash(spark, feeds, shapes.limit(1)), runs.content_hash(spark, feeds), runs.content_hash(spark, {"other": feeds["fixture"]}, shapes), runs.content_hash(spark, {"fixture": str(tmp_path / "b.tsv")}, shapes)]
+    assert len({same, *(runs.run_id(x, "c", "k") for x in others)}) == 5
+    assert runs.code_hash() == runs.code_hash({"layers": {"country_mask": {}}}) != runs.code_hash({"layers": {"json:loads": {}}})
+    only = {"resolutions": [7], "layers": {}}
+    ids = {runs.run(spark, feeds, only, str(tmp_path / "out"), where=w, publish=False)["run_id"] for w in (None, F.col("lat") > 38, F.col("lat") > 39)}
+    assert len(ids) == 3
+    with pytest.raises(ValueError, match="need the layer"):
+        runs.run(spark, feeds, {"resolutions": [7], "layers": {"regions": {"resolution": 6}}}, str(tmp_path / "out"), publish=False)
