@@ -34,15 +34,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates: of its least id, the first such row; of rows without an id only if the group has no other.
 
     Rows are grouped and dropped by a key of their own, so ids may repeat or be missing. The keyed rows are written, as the key must stay the same."""
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    groups = op10_circulant_minhash.groups(keyed, id_col="_row", percent=PERCENT).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    key = "_row"
+    while key in docs.columns:  # an input column of that name passes through
+        key += "_"
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    groups = op10_circulant_minhash.groups(keyed, id_col=key, percent=PERCENT).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     groups = written(groups, "row_groups")
     alike = groups.where("_row != _group")
     alike = written(alike.union(alike.select(F.col("_group").alias("_row"), "_group").distinct()), "alike")  # rows of groups of two or more
-    placed = written(alike.join(keyed.select("_row", "doc_id"), "_row").select("_row", "_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("place")), "placed_rows")
+    placed = written(alike.join(keyed.select(F.col(key).alias("_row"), "doc_id"), "_row").select("_row", "_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("place")), "placed_rows")
     first = placed.groupBy("_group").agg(F.min("place").alias("first")).select("_group", F.col("first._row").alias("_first"))
     dropped = written(placed.join(first, "_group").where("_row != _first").select(F.col("_row").alias("_dropped")), "dropped")
-    return keyed.join(dropped, keyed._row == dropped._dropped, "left_anti").drop("_row")
+    return keyed.join(dropped, keyed[key] == dropped._dropped, "left_anti").drop(key)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
