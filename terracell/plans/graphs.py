@@ -104,6 +104,10 @@ def class_filter_mask(spark, sf_dir):
     return backbone.shown(lines(spark, sf_dir), mask(spark, sf_dir), FINEST).select("edge_id", "road_class")
 
 
+def portal_class_filter(spark, sf_dir):
+    return backbone.portal_classes(lines(spark, sf_dir)).select("edge_id", "road_class")
+
+
 def class_escalation(spark, sf_dir):
     return evaluate.escalated(lines(spark, sf_dir), 2).select("edge_id", "u", "v", "road_class")
 
@@ -174,6 +178,7 @@ SQL = {
     "portal_split": f"WITH {LINES}, {CROSSED.format(n=N)}, {PARTS.format(cuts='SELECT edge_id FROM piece WHERE t0 > 0 AND t1 IS NOT NULL')} {COUNTS} FROM ends LEFT JOIN cut_ USING (road_class)",
     "portal_split_mask": f"WITH {_split_sql()}, {LINES}, {CROSSED.format(n=1 << FINEST)}, {MASKED}, {PARTS.format(cuts='SELECT edge_id FROM own WHERE before <> leaf')} {COUNTS} FROM ends LEFT JOIN cut_ USING (road_class)",
     "class_filter_mask": f"WITH {_split_sql()}, {LINES}, {LINE_MID}, {LEVELS} SELECT edge_id, road_class FROM lev WHERE {SHOWN}",
+    "portal_class_filter": f"WITH {LINES} SELECT edge_id, road_class FROM ided WHERE road_class IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'secondary_link')",
     "sampled_pairs": f"""WITH {EDGE}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS rank, count(*) OVER () AS n FROM {ENDS}), o AS (SELECT a.rank AS k, a.node AS source, b.node AS target FROM n a JOIN n b ON b.rank = a.n - 1 - a.rank WHERE a.rank < b.rank AND a.rank < 1200),
  i AS (SELECT a.n // 2 + row_number() OVER (ORDER BY a.rank) - 1 AS k, a.node AS source, b.node AS target FROM n a JOIN n b ON b.rank = a.rank + 1 WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = a.node AND o.target = b.node))
  SELECT * FROM o UNION ALL SELECT * FROM i WHERE k < 1200""",
@@ -185,4 +190,4 @@ SQL = {
  spot AS (SELECT DISTINCT printf('%.9f|%.9f', (ax + (bx - ax) * t0)::DOUBLE, (ay + (by_ - ay) * t0)::DOUBLE) AS p FROM piece JOIN grid USING (edge_id, seg) WHERE t0 > 0 AND t1 IS NOT NULL)
  SELECT 'portal' AS kind, count(*) AS nodes FROM spot UNION ALL SELECT 'junction', count(*) FROM deg""",
 }
-QUERIES = [road_lines, raw_graph_edges, contract_lines, contract_protected, protected_ends, portal_split, portal_split_mask, portal_pairs, portal_mst, portal_feeders, adaptive_portal_run, adaptive_portal_run_nodes, class_filter_mask, class_escalation, graph_report, sampled_pairs, shortest_paths, variant_comparison, adaptive_anchors]
+QUERIES = [road_lines, raw_graph_edges, contract_lines, contract_protected, protected_ends, portal_split, portal_split_mask, portal_pairs, portal_mst, portal_feeders, adaptive_portal_run, adaptive_portal_run_nodes, class_filter_mask, portal_class_filter, class_escalation, graph_report, sampled_pairs, shortest_paths, variant_comparison, adaptive_anchors]

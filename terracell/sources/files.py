@@ -76,6 +76,13 @@ def write_lines(rows: DataFrame, path: str, kind: str = "LineString") -> None:
     rows.orderBy("edge_id").select(F.to_json(feature).alias("value")).write.text(path)
 
 
+def write_nodes(rows: DataFrame, path: str) -> None:
+    """A point feature for each row (node_id, lon, lat, others), in order of id, one JSON object a line, in parts."""
+    geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*[c for c in rows.columns if c not in ("lon", "lat")]).alias("properties"))
+    rows.orderBy("node_id").select(F.to_json(feature).alias("value")).write.text(path)
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id: str, texts: dict[str, str] | None = None) -> str:
     """Writes tables, and small texts by file name, to a staging folder, renames it to root/runs/run_id and then points root/latest at it.
 

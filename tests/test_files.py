@@ -29,6 +29,15 @@ def test_geojson(spark, tmp_path):
     assert line["geometry"]["coordinates"] == [1.0, 2.0] and line["properties"] == {"name": "a"}
 
 
+def test_graph_files(spark, tmp_path):
+    files.write_nodes(spark.createDataFrame([(9, 1.0, 2.0, "hub"), (-4, 3.0, 4.0, None)], "node_id long, lon double, lat double, kind string").repartition(2), str(tmp_path / "nodes"))
+    files.write_lines(spark.createDataFrame([("b", [(0.0, 1.0), (2.0, 3.0)], "trunk"), ("a", [(4.0, 5.0), (6.0, 7.0)], "primary")], "edge_id string, line array<struct<lon:double,lat:double>>, road_class string"), str(tmp_path / "edges"))
+    nodes, edges = ([json.loads(r.value) for r in spark.read.text(str(tmp_path / k)).collect()] for k in ("nodes", "edges"))
+    found = {f["properties"]["node_id"]: (f["geometry"], f["properties"].get("kind")) for f in nodes}
+    assert found == {-4: ({"type": "Point", "coordinates": [3.0, 4.0]}, None), 9: ({"type": "Point", "coordinates": [1.0, 2.0]}, "hub")}
+    assert {f["properties"]["edge_id"]: f["geometry"]["coordinates"] for f in edges} == {"a": [[4.0, 5.0], [6.0, 7.0]], "b": [[0.0, 1.0], [2.0, 3.0]]}
+
+
 def test_publish_once(spark, tmp_path):
     files.publish(spark, {"cells": spark.range(3)}, str(tmp_path), "run-1")
     assert spark.read.parquet(files.latest(spark, str(tmp_path)) + "/cells").count() == 3
