@@ -25,7 +25,6 @@ Texts of any length are shingled whole; word memories are bounded in words and b
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
