@@ -8,7 +8,7 @@ from terracell.functions.edges import raw_id
 from terracell.functions.geo import line_length
 from terracell.operators import backbone, evaluate, graph
 from terracell.plans.cells import _cell, _split_sql, _up, adaptive_split
-from terracell.plans.network import LEVELS, SHOWN
+from terracell.plans.network import LEVELS, SHOWN, WALK
 from terracell.plans.roads import EDGE, NODE, WAYS, ways
 from terracell.sources.derived import road_edges, road_nodes
 
@@ -167,6 +167,13 @@ MASKED = f"""mid AS (SELECT p.edge_id, p.seg, t0, least(floor(gx0 + (t0 + t1) /
 #: Midpoints of the lines' ends, and the class rule at them.
 LINE_MID = f"mid AS (SELECT edge_id, u, v, road_class, {_cell('(y0 + y2) / 2', '(x0 + x2) / 2', FINEST)} AS cell FROM ided)"
 ENDS = "(SELECT DISTINCT node FROM (SELECT u AS node FROM edge UNION SELECT v FROM edge))"
+def _pairs_sql(most: int) -> str:
+    """CTEs up to `sampled` (k, source, target)."""
+    return f"""n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS rank, count(*) OVER () AS n FROM {ENDS}), o AS (SELECT a.rank AS k, a.node AS source, b.node AS target FROM n a JOIN n b ON b.rank = a.n - 1 - a.rank WHERE a.rank < b.rank AND a.rank < {most}),
+ i AS (SELECT a.n // 2 + row_number() OVER (ORDER BY a.rank) - 1 AS k, a.node AS source, b.node AS target FROM n a JOIN n b ON b.rank = a.rank + 1 WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = a.node AND o.target = b.node)),
+ sampled AS (SELECT * FROM o UNION ALL SELECT * FROM i WHERE k < {most})"""
+
+
 SQL = {
     "road_lines": f"WITH {LINES} SELECT edge_id, u, v, road_class, name, 3 AS points, round({BOTH_M}, 2) AS length_m FROM ided",
     "raw_graph_edges": f"""WITH {WAYS}, w2 AS (SELECT way_id, list_transform(refs, lambda x: x % 250) AS refs, ['motorway', 'trunk', NULL, 'primary_link'][way_id % 4 + 1] AS road_class FROM way),
@@ -179,9 +186,9 @@ SQL = {
     "portal_split_mask": f"WITH {_split_sql()}, {LINES}, {CROSSED.format(n=1 << FINEST)}, {MASKED}, {PARTS.format(cuts='SELECT edge_id FROM own WHERE before <> leaf')} {COUNTS} FROM ends LEFT JOIN cut_ USING (road_class)",
     "class_filter_mask": f"WITH {_split_sql()}, {LINES}, {LINE_MID}, {LEVELS} SELECT edge_id, road_class FROM lev WHERE {SHOWN}",
     "portal_class_filter": f"WITH {LINES} SELECT edge_id, road_class FROM ided WHERE road_class IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'secondary_link')",
-    "sampled_pairs": f"""WITH {EDGE}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS rank, count(*) OVER () AS n FROM {ENDS}), o AS (SELECT a.rank AS k, a.node AS source, b.node AS target FROM n a JOIN n b ON b.rank = a.n - 1 - a.rank WHERE a.rank < b.rank AND a.rank < 1200),
- i AS (SELECT a.n // 2 + row_number() OVER (ORDER BY a.rank) - 1 AS k, a.node AS source, b.node AS target FROM n a JOIN n b ON b.rank = a.rank + 1 WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = a.node AND o.target = b.node))
- SELECT * FROM o UNION ALL SELECT * FROM i WHERE k < 1200""",
+    "sampled_pairs": f"WITH {EDGE}, {_pairs_sql(1200)} SELECT * FROM sampled",
+    "shortest_paths": f"""WITH RECURSIVE {NODE}, {EDGE}, measured AS (SELECT u, v, 1 AS hop FROM edge), {_pairs_sql(16)}, start AS (SELECT DISTINCT source AS node FROM sampled), {WALK.format(cost='hop')}
+ SELECT s.source, s.target, d AS distance FROM (SELECT DISTINCT source, target FROM sampled) s LEFT JOIN (SELECT source, node, min(d)::DOUBLE AS d FROM walk GROUP BY 1, 2) w ON w.source = s.source AND w.node = s.target""",
     "graph_report": f"""WITH RECURSIVE {LINES}, both_ways AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge), walk(a, b) AS (SELECT DISTINCT u, u FROM both_ways UNION SELECT walk.a, e.v FROM walk JOIN both_ways e ON e.u = walk.b), comp AS (SELECT a AS node, min(b) AS c FROM walk GROUP BY 1),
  size AS (SELECT c, count(*) AS n FROM comp GROUP BY 1), near AS (SELECT u, count(DISTINCT v) AS d FROM both_ways GROUP BY 1), t AS (SELECT (SELECT count(*) FROM comp) AS nodes)
  SELECT (SELECT count(*) FROM edge) AS edges, nodes, (SELECT round(sum({BOTH_M}), -2) FROM ided) AS length_m, (SELECT count(*) FROM size) AS components, (SELECT max(n) FROM size) AS largest,

@@ -1,4 +1,4 @@
-"""Network queries and their SQL; forests have none and are tested against a plain model."""
+"""Network queries and their SQL."""
 
 from __future__ import annotations
 
@@ -78,6 +78,10 @@ LEAF = "SELECT node FROM (SELECT u AS node FROM peel UNION ALL SELECT v FROM pee
 WALK = """step AS (SELECT u, v, {cost} AS c FROM measured UNION ALL SELECT v, u, {cost} FROM measured),
  walk(source, node, d, nodes) AS (SELECT node, node, 0::DOUBLE, [node] FROM start UNION ALL SELECT source, v, d + c, list_append(nodes, v) FROM walk JOIN step ON u = node WHERE NOT list_contains(nodes, v))"""
 SQL = {
+    #: An edge is in the forest if the edges before it, by length and then ends, don't connect its ends.
+    "spanning_forest": f"""WITH RECURSIVE {NODE}, {EDGE}, {MEASURED}, o AS (SELECT *, row_number() OVER (ORDER BY w, u, v) AS k FROM (SELECT least(u, v) AS u, greatest(u, v) AS v, min(length_m) AS w FROM measured WHERE u <> v GROUP BY 1, 2)),
+ b AS (SELECT u, v, k FROM o UNION ALL SELECT v, u, k FROM o), reach(k, node) AS (SELECT k, u FROM o UNION SELECT reach.k, b.v FROM reach JOIN b ON b.u = reach.node AND b.k < reach.k)
+ SELECT u, v, round(w, 3) AS length_m FROM o WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.k = o.k AND reach.node = o.v)""",
     "pruned_edges": f"WITH RECURSIVE {EDGE}, {HUBS}, {PEEL.format(leaf=LEAF + ' AND node NOT IN (SELECT node FROM hub)', loose='EXISTS (' + LEAF + ' AND node NOT IN (SELECT node FROM hub))')} SELECT u, v, road_class FROM peel WHERE i = (SELECT max(i) FROM peel)",
     "pruned_rings": f"WITH RECURSIVE {EDGE}, {PEEL.format(leaf=LEAF, loose=f'EXISTS ({LEAF})')} SELECT u, v, road_class FROM peel WHERE i = (SELECT max(i) FROM peel) AND NOT EXISTS (SELECT 1 FROM (SELECT u AS node FROM peel WHERE i = (SELECT max(i) FROM peel) UNION ALL SELECT v FROM peel WHERE i = (SELECT max(i) FROM peel)) GROUP BY node HAVING count(*) = 1)",
     "nearest_hub": f"WITH RECURSIVE {NODE}, {EDGE}, {HUBS}, {MEASURED}, start AS (SELECT node FROM hub), {WALK.format(cost='cost')} SELECT node, arg_min(source, (d, source)) AS source, round(min(d), 3) AS distance FROM walk GROUP BY 1",
