@@ -124,7 +124,7 @@ def sampled_pairs(spark, sf_dir):
 def shortest_paths(spark, sf_dir):
     """Hops between sampled nodes."""
     e = road_edges(spark, sf_dir).withColumn("hops", F.lit(1.0))
-    pairs = evaluate.sampled_pairs(e.select(F.explode(F.array("u", "v")).alias("node")), 16)
+    pairs = evaluate.sampled_pairs(e.select(F.explode(F.array("u", "v")).alias("node")), 128)
     return evaluate.pair_distances(e, pairs, "hops")
 
 
@@ -187,7 +187,7 @@ SQL = {
     "class_filter_mask": f"WITH {_split_sql()}, {LINES}, {LINE_MID}, {LEVELS} SELECT edge_id, road_class FROM lev WHERE {SHOWN}",
     "portal_class_filter": f"WITH {LINES} SELECT edge_id, road_class FROM ided WHERE road_class IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'secondary_link')",
     "sampled_pairs": f"WITH {EDGE}, {_pairs_sql(1200)} SELECT * FROM sampled",
-    "shortest_paths": f"""WITH RECURSIVE {NODE}, {EDGE}, measured AS (SELECT u, v, 1 AS hop FROM edge), {_pairs_sql(16)}, start AS (SELECT DISTINCT source AS node FROM sampled), {WALK.format(cost='hop')}
+    "shortest_paths": f"""WITH RECURSIVE {NODE}, {EDGE}, measured AS (SELECT u, v, 1 AS hop FROM edge), {_pairs_sql(128)}, start AS (SELECT DISTINCT source AS node FROM sampled), {WALK.format(cost='hop')}
  SELECT s.source, s.target, d AS distance FROM (SELECT DISTINCT source, target FROM sampled) s LEFT JOIN (SELECT source, node, min(d)::DOUBLE AS d FROM walk GROUP BY 1, 2) w ON w.source = s.source AND w.node = s.target""",
     "graph_report": f"""WITH RECURSIVE {LINES}, both_ways AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge), walk(a, b) AS (SELECT DISTINCT u, u FROM both_ways UNION SELECT walk.a, e.v FROM walk JOIN both_ways e ON e.u = walk.b), comp AS (SELECT a AS node, min(b) AS c FROM walk GROUP BY 1),
  size AS (SELECT c, count(*) AS n FROM comp GROUP BY 1), near AS (SELECT u, count(DISTINCT v) AS d FROM both_ways GROUP BY 1), t AS (SELECT (SELECT count(*) FROM comp) AS nodes)
