@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terracell.functions.edges import raw_id
 from terracell.functions.geo import line_length
 from terracell.operators import backbone, evaluate, graph
+from terracell.operators import portals as portal_ways
 from terracell.plans.cells import _cell, _split_sql, _up, adaptive_split
 from terracell.plans.network import LEVELS, SHOWN, WALK
 from terracell.plans.roads import EDGE, NODE, WAYS, ways
@@ -81,7 +82,7 @@ def portal_pairs(spark, sf_dir):
 
 def portal_mst(spark, sf_dir):
     e, portals = graph.split_at_resolution(lines(spark, sf_dir), RES)
-    return _shape(backbone.within(backbone.midpoint_cell(e, RES), portals, "cell", backbone.Roads.tree))
+    return _shape(backbone.within(backbone.midpoint_cell(e, RES), portals, "cell", portal_ways.tree))
 
 
 def portal_feeders(spark, sf_dir):
