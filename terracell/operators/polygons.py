@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions import quad
 from terracell.session import cut
-from terracell.sources import files
+from terracell.sources import arrays, files
 
 SHAPE = "array<array<array<struct<lon:double,lat:double>>>>"
 CLIPPED = f"iso string, name string, cell long, overlap double, shape {SHAPE}"
@@ -129,9 +129,9 @@ def from_geojson(spark: SparkSession, path: str | list[str], include: tuple[str,
 
     iso: iso_a2, ISO_A2 or the first two letters of GID_0, else the file's name; name: name, NAME, COUNTRY or NAME_0, else the iso. With `include` only those, and
     never one of `exclude`."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    features = F.from_json("value", "features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>")["features"]
-    rows = text.select("file", F.posexplode(features).alias("place", "f")).select("file", "place", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"), F.col("f.properties").alias("p"))
+    feature = F.from_json("text", "geometry struct<type:string,coordinates:string>, properties map<string,string>")
+    rows = arrays.elements(spark, path, "features").select(F.col("file_name").alias("file"), F.col("element").alias("place"), feature.alias("f"))
+    rows = rows.select("file", "place", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"), F.col("f.properties").alias("p"))
     known = lambda key: F.when(F.trim(F.element_at("p", F.lit(key))) != "", F.trim(F.element_at("p", F.lit(key))))
     iso = F.upper(F.coalesce(known("iso_a2"), known("ISO_A2"), F.substring(known("GID_0"), 1, 2), F.regexp_extract("file", r"^([^.]+)", 1)))
     points = "array<array<array<array<double>>>>"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terracell.functions import quad
 from terracell.functions.geo import tile_bounds
 from terracell.functions.lines import simplified
+from terracell.sources import arrays
 
 #: Default and largest numbers of features that a listing returns, and the road classes of the overlay.
 LIMITS = {"facilities": (10_000, 10_000), "cells": (200_000, 200_000), "places": (10_000, 50_000), "transport": (200_000, 500_000), "catalog": (50, 200)}
@@ -136,16 +137,19 @@ def places_of(rows: DataFrame, country: str | None, limit: int | None = None) ->
     return rows.orderBy(F.desc("population_max"), "name", "lon", "lat").limit(limit_of("places", limit))
 
 
-ROUTES = "country_code string, n_points int, routes array<struct<from_idx:int,to_idx:int,from_region_h3:string,to_region_h3:string,distance:double,duration:double,geometry:struct<type:string,coordinates:array<array<double>>>>>"
+ROUTE = "from_idx int, to_idx int, from_region_h3 string, to_region_h3 string, distance double, duration double, geometry struct<type:string,coordinates:array<array<double>>>"
 
 
 def route_files(spark: SparkSession, path: str) -> DataFrame:
-    """country_code, file, and a route a row of files named *-r7-regions-xx-routes.json; the country is that of the file's content, else of its name; files without one give nothing."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    rows = text.select("file", F.from_json("value", ROUTES).alias("r"))
-    own, named = F.upper(F.trim("r.country_code")), F.upper(F.regexp_extract("file", r"(?i)-r7-regions-([a-z]{2})-routes\.json$", 1))
+    """country_code, file, and a route a row of files named *-r7-regions-xx-routes.json; the country is that of the file's content, else of its name; files without one give nothing.
+
+    `routes` is read by ranges of the file, the other fields apart, so a file may be of any size."""
+    rows = arrays.elements(spark, path, "routes").select("file", "file_name", F.from_json("text", ROUTE).alias("route"))
+    heads = arrays.header(spark, path, "routes").select("file", F.get_json_object("text", "$.country_code").alias("own"))
+    rows = rows.join(heads, "file", "left").withColumn("file", F.col("file_name"))
+    own, named = F.upper(F.trim("own")), F.upper(F.regexp_extract("file", r"(?i)-r7-regions-([a-z]{2})-routes\.json$", 1))
     rows = rows.withColumn("country_code", F.when(own.rlike("^[A-Z]{2}$"), own).otherwise(named)).where("country_code <> ''")
-    return rows.select("country_code", "file", F.explode("r.routes").alias("route")).select("country_code", "file", "route.*")
+    return rows.select("country_code", "file", "route.*")
 
 
 def region_routes(raw: DataFrame, compact: DataFrame | None = None, include_self: bool = False) -> tuple[DataFrame, DataFrame]:

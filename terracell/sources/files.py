@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell.operators import ingest
+from terracell.sources import arrays
 
 CANONICAL = {"ORGANIZATION", "NODE_NAME", "LATITUDE", "LONGITUDE", "SOURCE", "ASOF_DATE"}
 PEERING = {"name", "org_id", "latitude", "longitude", "updated"}
 LANDING = {"city_name", "country", "latitude", "longitude", "asof_date"}
-FEATURES = "features array<struct<geometry: string, properties: map<string, string>>>"
+FEATURE = "geometry string, properties map<string, string>"
 
 
 def delimited(spark: SparkSession, path: str) -> DataFrame:
@@ -42,9 +43,9 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """geometry (JSON), properties (map) of the features of collections, one file each; files that are no collection give no rows."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", FEATURES)["features"]).alias("f")).where("f.geometry is not null").select("f.*")
+    """geometry (JSON), properties (map) of the features of collections; files that are no collection give no rows. Files are read by ranges, so a collection may be of any size."""
+    rows = arrays.elements(spark, path, "features").select(F.from_json("text", FEATURE).alias("f"))
+    return rows.where("f.geometry is not null").select("f.*")
 
 
 def write_features(rows: DataFrame, path: str, lon: str, lat: str) -> None:

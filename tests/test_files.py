@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from terracell.sources import files
+from terracell.sources import arrays, files
 from terracell.streaming import counts
 
 
@@ -38,6 +38,40 @@ def test_graph_files(spark, tmp_path):
     assert {f["properties"]["edge_id"]: f["geometry"]["coordinates"] for f in edges} == {"a": [[4.0, 5.0], [6.0, 7.0]], "b": [[0.0, 1.0], [2.0, 3.0]]}
 
 
+HARD = {
+    'a, "[b': "x,]}{\\",
+    "n": [1, [2, 3], {"routes": [9]}],
+    "routes": [{"k": 1, "s": 'a,\\",[{'}, [[1, 2], []], "te,xt]", 5, None, {"é": "ü,,,", "in": {"routes": [1, 2]}}, {"long": [{"x": k, "y": "]" * k} for k in range(9)]}],
+    "last": {"z": "}"},
+}
+
+
+@pytest.mark.parametrize("size", [5, 13, 64, 100000])
+def test_json_arrays_at_every_cut(spark, tmp_path, size):
+    """Equal to a plain parse wherever the ranges begin; the array first, in the middle and last, alone, empty, absent, nested alone."""
+    last = {k: HARD[k] for k in ("n", "routes")}
+    first = {k: HARD[k] for k in ("routes", "last")}
+    known = {"mid": HARD, "last": last, "first": first, "alone": {"routes": [1]}, "empty": {"a": 1, "routes": []}, "absent": {"a": {"routes": [1]}}, "none": {"routes": None, "b": 2}}
+    for name, value in known.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value, ensure_ascii=False, indent=3 if name == "first" else None))
+    (tmp_path / "no.json").write_text("no json")
+    (tmp_path / "zero.json").write_text("")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        got, heads = {}, {}
+        for r in sorted(arrays.elements(spark, str(tmp_path), "routes").collect(), key=lambda r: r.element):
+            got.setdefault(r.file.split("/")[-1][:-5], []).append(json.loads(r.text))
+        for r in arrays.header(spark, str(tmp_path), "routes").collect():
+            heads[r.file.split("/")[-1][:-5]] = json.loads(r.text)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == {k: v["routes"] for k, v in known.items() if v.get("routes")}
+    assert heads == {k: {f: x for f, x in v.items() if f != "routes"} for k, v in known.items() if set(v) - {"routes"}}
+
+
 def test_publish_once(spark, tmp_path):
     files.publish(spark, {"cells": spark.range(3)}, str(tmp_path), "run-1")
     assert spark.read.parquet(files.latest(spark, str(tmp_path)) + "/cells").count() == 3
