@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracell.functions.edges import raw_id
+from terracell.functions import quad
 from terracell.functions.geo import tile_bounds
 from terracell import runs
-from terracell.operators import ingest, polygons, serving
+from terracell.operators import ingest, polygons, serving, tiles
 from terracell.plans.cells import POLY, RES, RULES, _cell, _cover, _make, _partition_sql, _quadtree_sql, _up, adaptive_leaves
 from terracell.plans.facilities import IDS, PLACES, records
 from terracell.plans.roads import EDGE
@@ -50,6 +51,18 @@ def tile_layers(spark, sf_dir):
     return found.select("layer", "id", F.size("geometry").alias("points"), F.col("geometry")[0]["x"].alias("x"), F.col("geometry")[0]["y"].alias("y"))
 
 
+ZOOMS = (0, 4)
+
+
+def tile_pyramid(spark, sf_dir):
+    """Facilities and the cells that hold them in the tiles of all zooms: encoded, and read back from the bytes."""
+    points = facilities(spark, sf_dir)
+    cells = points.select(quad.cell(F.col("lat"), F.col("lon"), RES).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("layer_value")).withColumn("layer_name", F.lit("density"))
+    rows = tiles.read(tiles.pyramid(tiles.features_of(points, cells), *ZOOMS))
+    first = F.col("points")[0]
+    return rows.groupBy("z", "x", "y", "layer").agg(F.count(F.lit(1)).alias("features"), F.sum(F.size("points")).alias("points"), F.sum(first["x"]).alias("sum_x"), F.sum(first["y"]).alias("sum_y"))
+
+
 def _roads(spark, sf_dir):
     nodes = road_nodes(spark, sf_dir)
     a, b = (nodes.selectExpr(f"node_id as {k}", f"named_struct('lon', lon, 'lat', lat) as {k}_at") for k in ("u", "v"))
@@ -200,6 +213,11 @@ SQL = {
     "tile_layers": f"""WITH {_partition_sql()}, box AS (SELECT cell, {BOX} FROM final), inb AS (SELECT * FROM box WHERE ({X_CELL} + 0.5) / {N_CELL} * 360.0 - 180.0 BETWEEN {WEST!r} AND {EAST!r} AND ({Y_CELL} + 0.5) / {N_CELL} * 180.0 - 90.0 BETWEEN {SOUTH!r}::DOUBLE AND {NORTH!r}::DOUBLE)
  SELECT 'facility_points' AS layer, id::VARCHAR AS id, 1 AS points, round((lon - ({WEST!r}::DOUBLE)) / {EAST - WEST!r}::DOUBLE * 4096)::INT AS x, round(({NORTH!r}::DOUBLE - lat) / {NORTH - SOUTH!r}::DOUBLE * 4096)::INT AS y FROM places WHERE lon BETWEEN {WEST!r} AND {EAST!r} AND lat BETWEEN {SOUTH!r}::DOUBLE AND {NORTH!r}::DOUBLE
  UNION ALL SELECT 'h3_cells', cell::VARCHAR, 5, round((west - ({WEST!r}::DOUBLE)) / {EAST - WEST!r}::DOUBLE * 4096)::INT, round(({NORTH!r}::DOUBLE - south) / {NORTH - SOUTH!r}::DOUBLE * 4096)::INT FROM inb""",
+    "tile_pyramid": f"""WITH {PLACES}, box AS (SELECT cell, {BOX} FROM (SELECT DISTINCT {_cell('lat', 'lon', RES)} AS cell FROM places)),
+ f AS (SELECT 'facility_points' AS layer, 1 AS n, lon, lat, lon AS px, lat AS py FROM places UNION ALL SELECT 'h3_cells', 4, ({X_CELL} + 0.5) / {N_CELL} * 360.0 - 180.0, ({Y_CELL} + 0.5) / {N_CELL} * 180.0 - 90.0, west, south FROM box),
+ g AS (SELECT z::INT AS z, x::INT AS x, y::INT AS y, x / k * 360 - 180 AS w, (x + 1) / k * 360 - 180 AS e, degrees(atan(sinh(pi() * (1 - 2 * y / k)))) AS t, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / k)))) AS s
+  FROM (SELECT z, pow(2.0, z)::DOUBLE AS k, unnest(range(pow(2, z)::BIGINT)) AS x FROM (SELECT unnest(range({ZOOMS[0]}, {ZOOMS[1] + 1})) AS z)), (SELECT unnest(range({2 ** ZOOMS[1]})) AS y) WHERE y < k)
+ SELECT z, x, y, layer, count(*) AS features, sum(n)::BIGINT AS points, sum(round((px - w) / (e - w) * 4096)::INT)::BIGINT AS sum_x, sum(round((t - py) / (t - s) * 4096)::INT)::BIGINT AS sum_y FROM f JOIN g ON lon BETWEEN w AND e AND lat BETWEEN s AND t GROUP BY ALL""",
     "transport_overlay": f"WITH {EDGE}, {SHOWN_ROADS} SELECT * FROM ov WHERE country_code = 'AA'",
     "transport_classes": f"WITH {EDGE}, {SHOWN_ROADS} SELECT list_sort(list(DISTINCT country_code)) AS countries, list_sort(list(DISTINCT transport_class)) AS classes FROM ov",
     "graph_overlay": f"WITH {EDGE} SELECT {CODE} AS country_code, road_class AS transport_class, 'edge' AS graph_feature_type, count(*) AS features FROM edge GROUP BY 1, 2 UNION ALL SELECT 'AA', 'graph_node', 'node', count(*) FROM part",
@@ -228,4 +246,4 @@ SQL = {
     "polygon_refined": f"""WITH {POLY}, p AS (SELECT iso, cell FROM {_cover(4)}), k AS (SELECT iso, cell, 4::BIGINT * {1 << 50} + ({X_CELL} >> 1) * {1 << 25} + ({Y_CELL} >> 1) AS parent FROM {_cover(5)} WHERE overlap > 0.15)
  SELECT k.iso, k.cell FROM k JOIN p ON p.iso = k.iso AND p.cell = k.parent UNION ALL SELECT iso, cell FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.iso = p.iso AND k.parent = p.cell)""",
 }
-QUERIES = [facilities_by_filter, cell_boundaries, layer_cells, tile_layers, transport_overlay, transport_classes, graph_overlay, populated_places, region_route_counts, region_routes_preferred, routes_compacted, run_estimates, polygon_cover, polygon_quadtree, polygon_full_cells, polygon_center_cells, polygon_points, polygon_refined, polygon_uncovered, polygon_union_points, polygon_union_cover, run_layers]
+QUERIES = [facilities_by_filter, cell_boundaries, layer_cells, tile_layers, tile_pyramid, transport_overlay, transport_classes, graph_overlay, populated_places, region_route_counts, region_routes_preferred, routes_compacted, run_estimates, polygon_cover, polygon_quadtree, polygon_full_cells, polygon_center_cells, polygon_points, polygon_refined, polygon_uncovered, polygon_union_points, polygon_union_cover, run_layers]
