@@ -8,6 +8,7 @@ from terracell.functions.geo import tile_bounds
 from terracell.operators.serving import LIMITS
 from terracell.plans.facilities import PLACES
 from terracell.sources.derived import facilities, polygons, table
+from terracell.streaming import progress
 
 MOST_REGIONS = 5000
 WEST, SOUTH, EAST, NORTH = tile_bounds(2, 1, 1)
@@ -55,6 +56,17 @@ def latest_event(spark, sf_dir):
     return e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("l")).select("user_id", F.col("l.event_id").alias("event_id"), F.col("l.event_type").alias("event_type"))
 
 
+STALE_S = 86_400
+
+
+def run_states(spark, sf_dir):
+    """Users stand for runs and their events for progress: each one's last state at the time of the newest event."""
+    kind = F.col("event_type")
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("run_id"), F.when(kind == "purchase", progress.WHOLE).otherwise(kind).alias("stage"), F.when(kind == "purchase", "complete").otherwise("in_progress").alias("status"), F.lit(None).cast("double").alias("elapsed_s"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("layer_name"), F.col("event_id").alias("seq"))
+    newest = F.lit(e.agg(F.unix_micros(F.max("ts"))).first()[0]).cast("long")
+    return progress.last_states(e, F.timestamp_micros(newest), STALE_S).select("run_id", "stage", "status", (newest - F.unix_micros("seen")).alias("silent_us"), "active", "stale", "events")
+
+
 def runtime_estimate(spark, sf_dir):
     """Median seconds for each point of complexity, and its band, of each kind of run (events stand for runs)."""
     e = table(spark, sf_dir, "events").where("value is not null")
@@ -71,7 +83,9 @@ SQL = {
     "route_pairs": "SELECT a.n_nationkey AS a, b.n_nationkey AS b, (abs(a.n_nationkey * 53 % 340 - b.n_nationkey * 53 % 340) + abs(a.n_nationkey * 37 % 120 - b.n_nationkey * 37 % 120))::DOUBLE AS distance FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey",
     "run_metrics": f"WITH {PLACES} SELECT source, count(*) AS facilities, count(DISTINCT country) AS countries FROM places GROUP BY 1",
     "latest_event": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
+    "run_states": f"""WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS seen, count(*) AS events FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events)
+ SELECT user_id::VARCHAR AS run_id, CASE WHEN kind = 'purchase' THEN 'pipeline' ELSE kind END AS stage, CASE WHEN kind = 'purchase' THEN 'complete' ELSE 'in_progress' END AS status, epoch_us(now) - epoch_us(seen) AS silent_us, kind <> 'purchase' AS active, kind <> 'purchase' AND epoch_us(now) - epoch_us(seen) > {STALE_S}000000 AS stale, events FROM l, n""",
     "runtime_estimate": "SELECT event_type, round(median(value / (user_id % 5 + 1)), 6) AS seconds, (CASE WHEN count(*) = 1 THEN 0.4 WHEN count(*) < 3 THEN 0.3 ELSE 0.2 END)::DOUBLE AS band FROM events WHERE value IS NOT NULL GROUP BY 1",
 }
 SQL["route_dedup"] = f"SELECT least(a, b) AS a, greatest(a, b) AS b, arg_min(a, (CASE WHEN (a + b) % 7 = 0 THEN 1e18 ELSE distance + a END, a)) AS start, min(CASE WHEN (a + b) % 7 = 0 THEN NULL ELSE distance + a END) AS distance, count(*) AS routes, count(*) FILTER (WHERE (a + b) % 7 = 0) AS missing FROM ({SQL['route_pairs']}) GROUP BY 1, 2"
-QUERIES = [facilities_filter, tile_features, places_by_country, route_pairs, route_dedup, run_metrics, latest_event, runtime_estimate]
+QUERIES = [facilities_filter, tile_features, places_by_country, route_pairs, route_dedup, run_metrics, latest_event, run_states, runtime_estimate]

@@ -18,6 +18,8 @@ from terracell.operators import adaptive, ingest, layers
 from terracell.operators import polygons as areas
 from terracell.session import cut
 from terracell.sources import files
+from terracell.streaming import progress
+
 
 class Done(dict[str, DataFrame]):
     """Layers that a run has, by name, and their metadata; `polygons` are the run's own."""
@@ -187,17 +189,53 @@ def computed(facilities: DataFrame, config: dict[str, Any], polygons: DataFrame
     return found, spent
 
 
-def run(spark: SparkSession, feeds: dict[str, str], config: dict[str, Any], root: str, polygons: DataFrame | None = None, code: str | None = None, note: Callable[[str], None] = lambda stage: None, publish: bool = True, where: Column | None = None) -> dict[str, Any]:
+def run(spark: SparkSession, feeds: dict[str, str], config: dict[str, Any], root: str, polygons: DataFrame | None = None, code: str | None = None, note: Callable[[str], None] = lambda stage: None, publish: bool = True, where: Column | None = None, beat: float = 60.0) -> dict[str, Any]:
     """Ingests the feeds, computes the configuration's layers in their order, checks them, and publishes everything under root.
 
     config: resolutions (of the canonical table), layers (name to parameters) and version; polygons: shapes (iso, name, shape) or rectangles.  A run of the
     same inputs (feeds with their names, polygons, `where`), configuration and code (this package's, unless a hash is given) that is published is not done
-    again.  `where` restricts the facilities, as a calibration does, whose report has the same counts without being published."""
+    again.  `where` restricts the facilities, as a calibration does, whose report has the same counts without being published.  A run that publishes tells its
+    progress in events (terracell.streaming.progress): stages as they begin and end, one each `beat` seconds in between, and how it ended."""
     inputs, text, code = content_hash(spark, feeds, polygons), text_of(config | ({} if where is None else {"where": str(where)})), code or code_hash(config)
     name = run_id(inputs, hashlib.sha256(text.encode()).hexdigest(), code)
     folder = files.hadoop_path(spark, f"{root}/runs/{name}")
     if publish and folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return {"run_id": name, "published": True, "again": True}
+    log = progress.Log(spark, root, name, beat) if publish else None
+    try:
+        out = _done(spark, name, feeds, config, root, polygons, _told(log, note), publish, where, {"run_id": name, "inputs_hash": inputs, "config": config, "code_hash": code})
+        if log:
+            log.event(progress.WHOLE, "complete")
+        return out
+    except Exception as e:
+        if log:
+            log.event(progress.WHOLE, "failed", note=type(e).__name__)
+        raise
+    finally:
+        if log:
+            log.close()
+
+
+def _told(log: progress.Log | None, note: Callable[[str], None]) -> Callable[[str], None]:
+    """`note`, which also ends the stage before in the log and begins the next; an empty name begins none."""
+    stages: list[tuple[str, str | None]] = []
+
+    def told(stage: str) -> None:
+        if stage:
+            note(stage)
+        if log:
+            if stages:
+                log.event(stages[-1][0], "complete", layer_name=stages[-1][1])
+            if stage:
+                own = stage.removeprefix("layer ") if stage.startswith("layer ") else None
+                stages.append((f"layer:{own}" if own else stage, own))
+                log.event(stages[-1][0], "in_progress", layer_name=own)
+
+    return told
+
+
+def _done(spark: SparkSession, name: str, feeds: dict[str, str], config: dict[str, Any], root: str, polygons: DataFrame | None, note: Callable[[str], None], publish: bool, where: Column | None, manifest: dict[str, Any]) -> dict[str, Any]:
+    """The work of run()."""
     note("ingest")
     began = time.time()
     records = cut(files.records(spark, feeds))
@@ -214,9 +252,10 @@ def run(spark: SparkSession, feeds: dict[str, str], config: dict[str, Any], root
     if publish:
         note("publish")
         tables = {"canonical/facilities": facilities, "canonical/organizations": ingest.organizations(facilities)} | {f"layers/{k}": c.orderBy(*(["cluster_anchor", "cell"] if "cluster_anchor" in c.columns else ["resolution", "cell"])) for k, (c, _) in found.items()}
-        reports = {"manifest.json": {"run_id": name, "inputs_hash": inputs, "config": config, "code_hash": code}, "metrics.json": metrics, **{f"layers/{k}.json": m for k, (_, m) in found.items()}}
+        reports = {"manifest.json": manifest, "metrics.json": metrics, **{f"layers/{k}.json": m for k, (_, m) in found.items()}}
         files.publish(spark, tables, root, name, {k: text_of(v) for k, v in reports.items()})
         out["published"] = True
+    note("")
     return out
 
 
@@ -249,10 +288,37 @@ def metadata(spark: SparkSession, root: str, run: str, layer_name: str | None =
     return sorted(found, key=lambda m: m["layer_name"])
 
 
-def adjacency_health(found: dict[str, Any]) -> dict[str, Any]:
-    """From a partition's metadata: whether its neighbours keep the rule."""
-    bad = int(found.get("violating_neighbor_pairs", 0))
-    return {"status": "ok" if not bad else "violations", "adjacency_checks": int(found.get("adjacency_checks", 0)), "violating_neighbor_pairs": bad, "max_neighbor_delta_observed": int(found.get("max_neighbor_delta_observed", 0))}
+def adjacency_health(found: dict[str, Any] | None) -> dict[str, Any]:
+    """From a partition's metadata: whether its neighbours keep the rule; unknown where it doesn't say."""
+    checks, bad = ((found or {}).get(k) for k in ("adjacency_checks", "violating_neighbor_pairs"))
+    status = "unknown" if checks is None and bad is None else "violations_detected" if bad else "ok"
+    return {"status": status, "adjacency_checks": checks, "adjacency_violations": bad, "max_neighbor_delta_observed": (found or {}).get("max_neighbor_delta_observed"), "violation_rate": bad / checks if checks and bad is not None else None}
+
+
+def _json(spark: SparkSession, path: str) -> Any:
+    """The content of one small file, or None where there is none."""
+    place = files.hadoop_path(spark, path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
+
+
+def status(spark: SparkSession, root: str, run: str, now: Any, stale_s: float = 300.0) -> dict[str, Any]:
+    """A run's metrics, the partition's parameters and health, whether `latest` points at it, and its last progress; a run that nothing is known of is an error."""
+    folder = f"{root}/runs/{run}"
+    last = progress.last_states(progress.events(spark, root).where(F.col("run_id") == run), now, stale_s).first()
+    metrics, found = _json(spark, f"{folder}/metrics.json"), _json(spark, f"{folder}/layers/facility_density_adaptive.json")
+    if metrics is None and last is None:
+        raise LookupError(f"no run {run}")
+    pointer = files.hadoop_path(spark, f"{root}/latest")
+    is_latest = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer) and files.latest(spark, root) == folder
+    policy = {"layer_version": (found or {}).get("layer_version"), "params": (found or {}).get("params"), "adjacency_health": adjacency_health(found)}
+    return {"run_id": run, "latest": is_latest, "published": metrics is not None, "metrics": metrics or {}, "adaptive_policy": policy, "progress": last.asDict() if last else None}
+
+
+def active(spark: SparkSession, root: str, now: Any, stale_s: float = 300.0) -> DataFrame:
+    """Runs that haven't ended, the last heard of first, each with whether it is stale."""
+    return progress.last_states(progress.events(spark, root), now, stale_s).where("active").orderBy(F.desc("seen"), "run_id")
 
 
 def latest_reports(spark: SparkSession, root: str) -> DataFrame:

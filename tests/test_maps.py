@@ -10,6 +10,7 @@ from terracell import runs
 from terracell.functions import quad
 from terracell.operators import polygons, serving
 from terracell.sources import files
+from terracell.streaming import progress
 
 
 def collection(path, *features):
@@ -161,6 +162,14 @@ def test_whole_run(spark, tmp_path):
     assert out["metrics"]["cells"]["regions"] == 3 and out["metrics"]["cells"]["metro_core"] == 1
     folder = files.latest(spark, str(tmp_path / "out"))
     assert folder.endswith(out["run_id"]) and spark.read.parquet(f"{folder}/canonical/facilities").count() == 3
+    told = progress.events(spark, str(tmp_path / "out")).orderBy("seq").collect()
+    assert [(e.stage, e.status) for e in told[:2] + told[-2:]] == [("ingest", "in_progress"), ("ingest", "complete"), ("publish", "complete"), ("pipeline", "complete")]
+    assert {e.layer_name for e in told if e.stage == "layer:country_mask"} == {"country_mask"} and len(told) == 2 * len(stages) + 1
+    said = runs.status(spark, str(tmp_path / "out"), out["run_id"], told[-1].ts)
+    assert said["latest"] and said["published"] and not said["progress"]["active"] and said["adaptive_policy"]["adjacency_health"]["status"] == "ok" and said["metrics"]["facilities"] == 3
+    assert runs.active(spark, str(tmp_path / "out"), told[-1].ts).isEmpty()
+    with pytest.raises(LookupError):
+        runs.status(spark, str(tmp_path / "out"), "run-none", told[-1].ts)
     again = runs.run(spark, {"fixture": str(tmp_path / "a.tsv")}, dict(reversed(config.items())), str(tmp_path / "out"), boxes)
     assert again == {"run_id": out["run_id"], "published": True, "again": True}
     assert [r["run_id"] for r in runs.catalog(spark, str(tmp_path / "out"))] == [out["run_id"]]
