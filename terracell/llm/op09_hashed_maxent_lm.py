@@ -517,7 +517,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     bias, u, v = (np.concatenate([x, np.zeros((len(hashes) - head, *x.shape[1:]))]).astype(np.float32) for x in (head_bias, head_u, head_v))
     if len(hashes) > head:  # at most FREQUENT words
         place = {int(h): k for k, h in enumerate(hashes)}
-        for r in words.mapInArrow(weighed, "hashes binary, values binary").toLocalIterator():
+        for r in words.mapInArrow(weighed, "hashes binary, values binary").where("length(hashes) > 0").toArrow().to_pylist():  # one job
             at, x = [place[h] for h in np.frombuffer(r["hashes"], np.uint64).tolist()], np.frombuffer(r["values"], np.float32).reshape(-1, 1 + 2 * PAST)
             bias[at], u[at], v[at] = x[:, 0], x[:, 1 : 1 + PAST], x[:, 1 + PAST :]
     model = send(spark, Model(Space(hashes, classes), weights, bias, u, v, norm))
