@@ -1,8 +1,9 @@
 """Host-level quality rules, in DataFrame functions only.
 
 Each document is measured in one pass without a shuffle (`measure`).  Rule failures are summed by host (pre-aggregated in each task), each
-host's failure rate has a beta posterior whose prior has the rate of all other hosts as its mean and the weight of one document, however many hosts
-there are and however rare bad ones are.  A host is bad if its posterior rate of any rule is above WORST_RATE, or is likely above a limit
+host's failure rate has a beta posterior whose prior is fitted to all other hosts: their common rate is its mean, and its weight in documents follows by
+moments from how much their rates differ beyond chance.  A host never takes part in its own prior; rogue ones among the others only make the prior
+lighter, down to LEAST_WEIGHT.  A host is bad if its posterior rate of any rule is above WORST_RATE, or is likely above a limit
 relative to the other hosts' rate; the verdict is joined back to its documents.
 
 Null and empty texts have no words and so fail the base rule.  Documents without a host are judged by the base rule alone.  Repeated rows
@@ -27,8 +28,8 @@ RULES: dict[str, str] = {
 }
 #: A host is bad if the posterior rate of a rule is above this; it then has at least this many documents.
 WORST_RATE, LEAST_DOCS = 0.9, 20
-#: So many documents of the other hosts' rate are added to each host's own.
-PRIOR_DOCS = 1.0
+#: The prior's weight lies between these many documents: a host of LEAST_DOCS is always judged mostly by its own.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 5.0
 #: A host is bad as well if its posterior rate less so many standard deviations is above the rate whose odds are so many times the odds of the other hosts' rate; that limit lies between LEAST_RATE and WORST_RATE.
 DEVIATIONS, ODDS, LEAST_RATE = 2.33, 20.0, 0.5
 #: Up to so many hosts the verdicts are broadcast (under 1 MB); beyond, they are joined by salted host.
@@ -73,25 +74,40 @@ def measure(docs: DataFrame, id_col: str = "doc_id", host: str | Column = "sourc
     return found.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def prior_weight(k: Column, n: Column, squares: Column, f: Column, spread: Column) -> Column:
+    """Documents that a beta prior over k hosts is worth, by moments: n, f are the hosts' documents and failures, squares and spread the sums of n_i ^ 2 and
+    f_i ^ 2 / n_i. The hosts' correlation within is the excess of their squared deviations over chance, r, and the weight is 1 / r - 1, between LEAST_WEIGHT and
+    MOST_WEIGHT. Without two hosts or both outcomes nothing is known of it: LEAST_WEIGHT; rates as alike as chance makes them: MOST_WEIGHT."""
+    p = f / n
+    excess = (spread - f * p) / (p * (1 - p)) - (k - 1)
+    within = excess / (n - squares / n - (k - 1))
+    fitted = F.when(excess <= 0, MOST_WEIGHT).otherwise(F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), 1 / within - 1)))
+    return F.when((k >= 2) & (f > 0) & (f < n) & (n - squares / n > k - 1), fitted).otherwise(LEAST_WEIGHT)
+
+
 def host_verdicts(measured: DataFrame, rules: dict[str, str] = RULES, worst: float = WORST_RATE, least: int = LEAST_DOCS) -> DataFrame:
     """A row for each host: documents, failures and posterior failure rate of each rule, and host_bad.
 
-    The other hosts enter by their common rate alone (a lone host's own takes its place): the verdict doesn't depend on how many they are or how alike."""
+    The prior is of the other hosts (a lone host's mean is its own rate); all of it follows from sums over hosts, less the host's own part."""
     fails = [F.sum(F.expr(f"cast({rule} as long)")).alias(f"fail_{name}") for name, rule in rules.items()]
     hosts = written(measured.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *fails), "hosts")
-    totals = hosts.agg(F.sum("n_docs").alias("all_docs"), *[F.sum(f"fail_{name}").alias(f"all_{name}") for name in rules])
+    square = lambda name: F.col(f"fail_{name}") * F.col(f"fail_{name}") / F.col("n_docs")
+    sums = [s for name in rules for s in (F.sum(f"fail_{name}").alias(f"all_{name}"), F.sum(square(name)).alias(f"spread_{name}"))]
+    totals = hosts.agg(F.count(F.lit(1)).alias("all_hosts"), F.sum("n_docs").alias("all_docs"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("all_squares"), *sums)
     out = hosts.join(F.broadcast(totals))  # one row
-    lone = F.col("all_docs") == F.col("n_docs")
+    own = F.col("n_docs")
+    k, n, squares = F.col("all_hosts") - 1, F.col("all_docs") - own, F.col("all_squares") - own.cast("double") * own
     bad = F.lit(False)
     for name in rules:
-        fail, every, rate = F.col(f"fail_{name}"), F.col(f"all_{name}"), F.col(f"rate_{name}")
-        mean = F.when(lone, fail / F.col("n_docs")).otherwise((every - fail) / (F.col("all_docs") - F.col("n_docs")))
-        out = out.withColumn(f"rate_{name}", (fail + PRIOR_DOCS * mean) / (F.col("n_docs") + PRIOR_DOCS))
-        low = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + PRIOR_DOCS + 1))
+        fail, every, rate, weight = F.col(f"fail_{name}"), F.col(f"all_{name}"), F.col(f"rate_{name}"), F.col(f"weight_{name}")
+        mean = F.when(k == 0, fail / own).otherwise((every - fail) / n)
+        out = out.withColumn(f"weight_{name}", prior_weight(k, n, squares, every - fail, F.col(f"spread_{name}") - square(name)))
+        out = out.withColumn(f"rate_{name}", (fail + weight * mean) / (own + weight))
+        low = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (own + weight + 1))
         limit = F.least(F.lit(worst), F.greatest(F.lit(LEAST_RATE), ODDS * mean / (1 + (ODDS - 1) * mean)))
         bad = bad | (rate > worst) | (low > limit)
     rates = [c for name in rules for c in (f"fail_{name}", f"rate_{name}")]
-    return out.select("host", "n_docs", *rates, (bad & (F.col("n_docs") >= least)).alias("host_bad"))
+    return out.select("host", "n_docs", *rates, (bad & (own >= least)).alias("host_bad"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host: str | Column = "source", text_col: str = "text") -> DataFrame:

@@ -146,9 +146,11 @@ def _hosts_sql() -> str:
 
     fail = " UNION ALL ".join(f"SELECT host, '{name}' AS rule, count(*) AS n, sum(({rule})::INT)::DOUBLE AS f FROM based WHERE host IS NOT NULL GROUP BY host" for name, rule in op.RULES.items())
     return f"""based AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m), hf AS ({fail}),
-ho AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY rule) = n THEN f / n ELSE (sum(f) OVER (PARTITION BY rule) - f) / (sum(n) OVER (PARTITION BY rule) - n) END AS mean FROM hf),
-hp AS (SELECT host, n, mean, (f + {op.PRIOR_DOCS} * mean) / (n + {op.PRIOR_DOCS}) AS r FROM ho),
-hv AS (SELECT host, any_value(n) AS n_docs, bool_or(n >= {op.LEAST_DOCS} AND (r > {op.WORST_RATE} OR r - {op.DEVIATIONS} * sqrt(r * (1 - r) / (n + {op.PRIOR_DOCS} + 1)) > least({op.WORST_RATE}, greatest({op.LEAST_RATE}, {op.ODDS} * mean / (1 + ({op.ODDS} - 1) * mean))))) AS host_bad FROM hp GROUP BY host),
+ht AS (SELECT *, count(*) OVER w - 1 AS k, sum(n) OVER w - n AS on_, sum(f) OVER w - f AS of_, sum(n::DOUBLE * n) OVER w - n::DOUBLE * n AS sq, sum(f * f / n) OVER w - f * f / n AS sp FROM hf WINDOW w AS (PARTITION BY rule)),
+ho AS (SELECT *, CASE WHEN k = 0 THEN f / n ELSE of_ / on_ END AS mean, CASE WHEN k >= 2 AND of_ > 0 AND of_ < on_ AND on_ - sq / on_ > k - 1 THEN (sp - of_ * of_ / on_) / (of_ / on_ * (1 - of_ / on_)) - (k - 1) END AS excess FROM ht),
+hw AS (SELECT *, CASE WHEN excess IS NULL THEN {op.LEAST_WEIGHT} WHEN excess <= 0 THEN {op.MOST_WEIGHT} ELSE least({op.MOST_WEIGHT}, greatest({op.LEAST_WEIGHT}, (on_ - sq / on_ - (k - 1)) / excess - 1)) END AS w FROM ho),
+hp AS (SELECT host, n, mean, w, (f + w * mean) / (n + w) AS r FROM hw),
+hv AS (SELECT host, any_value(n) AS n_docs, bool_or(n >= {op.LEAST_DOCS} AND (r > {op.WORST_RATE} OR r - {op.DEVIATIONS} * sqrt(r * (1 - r) / (n + w + 1)) > least({op.WORST_RATE}, greatest({op.LEAST_RATE}, {op.ODDS} * mean / (1 + ({op.ODDS} - 1) * mean))))) AS host_bad FROM hp GROUP BY host),
 judged AS (SELECT b.*, coalesce(host_bad, false) AS host_bad FROM based b LEFT JOIN hv USING (host))"""
 
 

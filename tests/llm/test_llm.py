@@ -187,23 +187,51 @@ def test_one_bad_host_among_many(spark, n_hosts):
     assert {(r.host, r.n_docs) for r in got} == {("h0", 500), ("h1", 500), ("h2", 20)}
 
 
-def test_hosts_sql(spark):
-    """All of judge()'s verdicts against SQL, where some hosts are bad, small or without a name."""
+@pytest.mark.parametrize("weight", [0.25, 2.5, 400.0])
+def test_prior_weight(spark, weight):
+    """Hosts drawn from a beta prior of known weight, against the formula in plain numbers; a rogue host makes the prior lighter for the others only."""
+    rng = np.random.default_rng(7)
+    n = rng.integers(20, 400, 600)
+    f = rng.binomial(n, rng.beta(0.3 * weight, 0.7 * weight, 600))
+
+    def plain(n, f):
+        p, total = f.sum() / n.sum(), n.sum()
+        excess = (n * (f / n - p) ** 2).sum() / (p * (1 - p)) - (len(n) - 1)
+        within = excess / (total - (n**2).sum() / total - (len(n) - 1))
+        return 5.0 if excess <= 0 else min(5.0, max(1.0, 1 / within - 1))
+
+    want = plain(n, f)
+    assert abs(want - min(5.0, max(1.0, weight))) < 0.6
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(n, f, strict=True)], "n long, f long")
+    sums = rows.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"), F.sum("f").alias("f"), F.sum(F.col("f") * F.col("f") / F.col("n")).alias("q"))
+    got = sums.select(op3.prior_weight(F.col("k"), F.col("n"), F.col("s"), F.col("f"), F.col("q"))).first()[0]
+    assert abs(got - want) < 1e-6
+
+
+def test_prior_of_few_hosts(spark):
+    of = lambda k, n, s, f, q: spark.range(1).select(op3.prior_weight(*(F.lit(float(v)) for v in (k, n, s, f, q)))).first()[0]
+    assert of(0, 0, 0, 0, 0) == of(1, 30, 900, 3, 0.3) == of(2, 60, 1800, 0, 0) == of(2, 60, 1800, 60, 60) == of(2, 2, 2, 1, 1) == 1.0
+    assert of(2, 60, 1800, 6, 0.6) == 5.0  # equal rates
+    assert of(2, 60, 1800, 30, 30) == 1.0  # one fails always, one never
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_hosts_sql(spark, alike):
+    """All of judge()'s verdicts against the query's SQL, where some hosts are bad, small or without a name, and the others' rates differ or are alike."""
     import duckdb
 
+    from terracell.llm.queries import _hosts_sql
+
     r = random.Random(12)
     hosts = {"good": (400, 0.05), "fair": (300, 0.4), "most": (300, 0.7), "worst": (200, 1.0), "small": (19, 1.0), "least": (20, 1.0), "quiet": (30, 0.0), None: (50, 1.0)}
+    if alike:
+        hosts = {"least": (20, 1.0), "small": (19, 1.0), "good": (400, 0.05), "fair": (300, 0.05), "quiet": (30, 0.05), None: (50, 1.0), "worst": (20, 0.95)}
     rows = [(" ".join(f"w{r.random()}" for _ in range(10 if r.random() < bad else 60)), h) for h, (n, bad) in hosts.items() for _ in range(n)]
     rows += [("# " * 60 + " ".join(f"w{r.random()}" for _ in range(200)) + "####" * 300, "signs") for _ in range(40)]
     docs = [(i, t, h) for i, (t, h) in enumerate(rows)]
     got = {x.doc_id: (x.host_bad, x.kept) for x in op3.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     measured = op3.measure(spark.createDataFrame(docs, "doc_id long, text string, source string")).toPandas()  # noqa: F841
-    fail = " UNION ALL ".join(f"SELECT host, '{name}' AS rule, count(*) AS n, sum(({rule})::INT)::DOUBLE AS f FROM measured WHERE host IS NOT NULL GROUP BY host" for name, rule in op3.RULES.items())
-    want = duckdb.sql(f"""
-        WITH h AS ({fail}), o AS (SELECT *, (sum(f) OVER (PARTITION BY rule) - f) / (sum(n) OVER (PARTITION BY rule) - n) AS m FROM h),
-        p AS (SELECT host, n, m, (f + m) / (n + 1) AS r FROM o),
-        v AS (SELECT host, bool_or(n >= 20 AND (r > 0.9 OR r - 2.33 * sqrt(r * (1 - r) / (n + 2)) > least(0.9, greatest(0.5, 20 * m / (1 + 19 * m))))) AS bad FROM p GROUP BY host)
-        SELECT doc_id, coalesce(bad, false), NOT base_failed AND NOT coalesce(bad, false) FROM measured LEFT JOIN v USING (host)""").fetchall()
+    want = duckdb.sql(f"WITH m AS (SELECT * EXCLUDE (base_failed) FROM measured), {_hosts_sql()} SELECT doc_id, host_bad, NOT base_failed AND NOT host_bad FROM judged").fetchall()
     assert got == {i: (bad, kept) for i, bad, kept in want}
     assert {h for i, _, h in docs if got[i][0]} >= {"worst", "signs"} and not any(got[i][0] for i, _, h in docs if h in ("good", "fair", "small", "quiet", None))
 
