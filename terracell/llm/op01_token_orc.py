@@ -18,16 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import ChunkCache, kept, list_array
+from terracell.llm.common import ChunkCache, kept, list_array, slices
 
 #: A mark between a letter and a blank: the vocabulary's rules part it from both, so the word before needs no place of its own in the memory.
 MARK = re.compile(r"([.,;:!?])(?<=[a-z].)(?= )")
 #: Texts on which word by word and whole texts must agree.
 PROBES = ["The end. It's 12,5% (don't) -- A,B;c!", "x\ty  z\n\nÀé naïve ÉCOLE", "日本語 テスト, ok? ...no", "a.b c: d;e\u00a0f"]
+#: Words on which the library with the merges alone must agree with the library as the file sets it up: all letters below U+0100, alone and in words.
+LATIN = [c for c in map(chr, range(256)) if c.isalpha()]
+LATIN += ["".join(LATIN[k : k + 7]) for k in range(len(LATIN))] + ["the", "There", "nation", "éleçque", "straße", "ciónmente", "ÉCOLE", "naïve", "ourselves"]
+#: How byte-level merges write bytes: printable ones of Latin-1 as they are, all others from U+0100 on. The blank stays, it parts words.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
 SCHEMA = "id long, part int, local_start long, n_tokens long, tokens array<int>"
 
 
@@ -55,6 +61,13 @@ class WordTokenizer:
         if suffix:
             self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.gap = self._ids(" \0 ")
+        self.bare = None
+        if rules["model"].get("type") == "BPE":
+            bare = rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+            found = self._latin(LATIN)
+            if found is None or [x.tolist() for x in np.split(found[0], np.cumsum(found[1])[:-1])] != [self._ids(x).tolist() for x in LATIN]:
+                self.bare = None
         whole = [x.ids for x in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
         ids, n = self.encode(PROBES)
         if [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] != [x + self.end.tolist() for x in whole]:
@@ -69,6 +82,19 @@ class WordTokenizer:
         ends = np.flatnonzero(self.closing[ids]) + 1
         return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else None
 
+    def _latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for words of letters below U+0100, by the library with the vocabulary's merges alone: in lower case they are in their normal form and one
+        piece each, so only their bytes have to be written as the merges write them."""
+        text = " ".join(words)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        text = text.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else None
+
     def _parted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """The same for any words, told apart by a sign between them. None if they hold that sign."""
         if len(self.gap) != 1:
@@ -90,54 +116,58 @@ class WordTokenizer:
         plain = np.fromiter(map(str.isalpha, words), bool, len(words))
         for of_letters, way in ((True, self._letters), (False, self._parted)):
             places = np.flatnonzero(plain == of_letters)
-            for lo in range(0, len(places), 5000):
-                at = places[lo : lo + 5000]
+            step = 500 if of_letters and self.bare else 5000
+            for lo in range(0, len(places), step):
+                at = places[lo : lo + step]
                 part = [words[i] for i in at]
-                ids, n = way(part) or self._one_by_one(part)
+                ids, n = of_letters and self.bare and self._latin(part) or way(part) or self._one_by_one(part)
                 start[at], count[at] = used + np.cumsum(n) - n, n
                 flat.append(ids)
                 used += len(ids)
         return np.concatenate(flat), start, count
 
-    def words(self, text: str) -> list[str]:
+    def spaced(self, text: str) -> str | None:
+        """The text with a blank wherever its words part; None if it has a string of an added token."""
+        lower = text.lower()
+        if any(map(lower.__contains__, self.added)):
+            return None
         try:  # below U+0100 lower-casing is letter by letter and keeps the normal form, so case need not be remembered
             text.encode("latin-1")
-            text = text.lower()
+            text = lower
         except UnicodeEncodeError:
             pass
-        return MARK.sub(r" \1", text.replace("\n", " ")).split(" ")
+        return MARK.sub(r" \1", text.replace("\n", " "))
 
-    def encode(self, texts: list[str], together: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], together: int = 8 << 20) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and how many each text has; texts go in groups of about `together` characters."""
-        parts, lengths, words, firsts, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], [], 0
-
-        def put(ids: np.ndarray, n: np.ndarray) -> None:
+        ends, lo, parts, lengths = np.cumsum([len(t) for t in texts], dtype=np.int64), 0, [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + together, "right")))
+            ids, n = self._group(texts[lo:hi])
             parts.append(np.insert(ids, np.cumsum(n).repeat(len(self.end)), np.tile(self.end, len(n))))
             lengths.append(n + len(self.end))
-
-        def flush() -> None:
-            if firsts:
-                ids, n = self.cache.sequences(words)
-                put(ids, np.add.reduceat(n, firsts))
-                words.clear()
-                firsts.clear()
-
-        for text in texts:
-            own = self.words(text)
-            if max(map(len, own)) > self.longest or self.added and any(map(text.lower().__contains__, self.added)):  # such words get no place in the memory
-                flush()
-                ids = self._ids(text)
-                put(ids, np.array([len(ids)]))
-                continue
-            if size + len(text) > together:
-                flush()
-                size = 0
-            firsts.append(len(words))
-            words += own
-            size += len(text)
-        flush()
+            lo = hi
         return np.concatenate(parts), np.concatenate(lengths)
 
+    def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        spaced = [self.spaced(t) if self.longest >= 0 else None for t in texts]
+        words = pc.split_pattern(pa.array([x or "" for x in spaced], pa.string()), " ")
+        longest = np.maximum.reduceat(pc.utf8_length(words.values).to_numpy(), words.offsets.to_numpy()[:-1])
+        alone = [k for k, x in enumerate(spaced) if x is None or longest[k] > self.longest]  # such words get no place in the memory
+        if alone:
+            for k in alone:
+                spaced[k] = ""
+            words = pc.split_pattern(pa.array(spaced, pa.string()), " ")
+        ids, n = self.cache.sequences(words.values)
+        n = np.add.reduceat(n, words.offsets.to_numpy()[:-1])
+        if alone:
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for k in alone:
+                parts[k] = self._ids(texts[k])
+                n[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, n
+
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, stripe_bytes: int = 16 << 20, index_rows: int = 1000) -> None:
     """Encodes every text and writes the format described above to path.
@@ -147,12 +177,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, before, part = kept(("tokens", tokenizer, end_id), lambda: WordTokenizer(tokenizer, end_id)), 0, TaskContext.get().partitionId()
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                ids, n = tok.encode(b.column(1).slice(lo, 500).to_pylist())
+            for lo, rows in slices(b.column(1)):
+                ids, n = tok.encode(b.column(1).slice(lo, rows).to_pylist())
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, 500), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), list_array(n, ids)],
+                    [b.column(0).slice(lo, rows), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), list_array(n, ids)],
                     names=["id", "part", "local_start", "n_tokens", "tokens"],
                 )
 

@@ -578,6 +578,56 @@ def test_words_and_marks_encode_as_whole_texts():
             assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_chunks_are_looked_up_once_and_frequent_ones_stay():
+    from terracell.llm.common import ChunkCache
+
+    asked, looked = [], []
+    cache = ChunkCache(lambda new: asked.append(list(new)) or [[int(x)] * int(x) for x in new], most=40)
+    cache.codes = type("Counted", (type(cache.codes),), {"__getitem__": lambda self, x: looked.append(x) or dict.__getitem__(self, x)})(40)
+    want = lambda chunks: [int(x) for x in chunks for _ in range(int(x))]
+    often = [str(i) for i in range(5)]
+    assert cache(often * 100).tolist() == want(often * 100) and looked == often  # each distinct chunk of a call, once
+    for lo in range(5, 200, 20):
+        chunks = often + [str(i) for i in range(lo, lo + 20)]
+        ids, n = cache.sequences(chunks)
+        assert ids.tolist() == want(chunks) and n.tolist() == list(map(int, chunks)) and len(cache.codes) <= 60
+    assert sum(x == "3" for new in asked for x in new) == 1 and cache([]).tolist() == []
+
+
+def test_memories_last_over_tasks(spark):
+    import os
+    import uuid
+
+    import pyarrow as pa
+
+    from terracell.llm.common import kept
+
+    tag = uuid.uuid4().hex
+
+    def each(batches):
+        made = []
+        kept(("test", tag), lambda: made.append(1) or object())
+        rows = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "made": [len(made)], "n": [rows]})
+
+    rows = spark.range(0, 64, 1, 32).mapInArrow(each, "pid long, made long, n long").collect()
+    assert len(rows) == 32 and sum(r.made for r in rows) == len({r.pid for r in rows}) < 32
+
+
+def test_latin_words_skip_only_rules_that_change_nothing():
+    import public_tokenizers
+
+    from terracell.llm.op01_token_orc import LATIN, WordTokenizer
+
+    tok, r = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), None), random.Random(8)
+    letters = [c for c in map(chr, range(256)) if c.isalpha()]
+    words = LATIN + ["".join(r.choices(letters, k=r.randint(1, 20))) for _ in range(3000)]
+    assert tok.bare is not None and tok._latin(["łódź"]) is None
+    ids, n = tok._latin(words)
+    want = [x.ids for x in tok.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 def test_token_files(spark, tmp_path):
     """Row indexes, Bloom filters and run-length encoding are in the files; filters on ids read few rows."""
     table = spark.range(6000).selectExpr("id * 3 as doc_id", "repeat('word and word ', cast(id % 7 as int)) as text")
