@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import ChunkCache, kept, list_array
+from terracell.llm.common import ChunkCache, kept, list_array, slices
 
 
 #: Texts without adjoining blanks, on which matches by chunk and of the whole text must agree.
@@ -40,6 +41,8 @@ class PrefixBPE:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
         self.chains: dict[int, tuple[list, list]] = {}
+        self.starts = {b[:k] for b in ranks for k in range(len(b) + 1)}
+        self.steps: dict[bytes, tuple[bytes, list]] = {}
 
     def merges(self, data: bytes) -> list[int]:
         """The defining rule: merge the leftmost pair of least rank until none is left. Only for short strings."""
@@ -127,18 +130,34 @@ class PrefixBPE:
             at -= len(self.bytes_of[out[-1]])
         return out[::-1]
 
+    def step(self, key: bytes) -> tuple[bytes, list]:
+        """key: the longest beginning of a token that ends before a byte, and that byte. The longest one that ends with it, and the tokens that do, longest first."""
+        state = key
+        while state not in self.starts:
+            state = state[1:]
+        found = [(self.ranks[x], len(x)) for x in (state[i:] for i in range(len(state))) if x in self.ranks and self.stands(self.ranks[x])]
+        if len(self.steps) > self.most:
+            self.steps.clear()
+        self.steps[key] = state, found
+        return state, found
+
     def prefix(self, data: bytes) -> int:
         """The valid last token of data, from the table of all prefixes met so far (of fixed size)."""
-        known, ranks, own = self.known, self.ranks, self.own
+        known = self.known
         if len(known) > self.most:
             known.clear()
         at = len(data)
         while at and data[:at] not in known:
             at -= 1
+        first = max(0, at - self.longest)
+        while data[first:at] not in self.starts:
+            first += 1
+        state, steps = data[first:at], self.steps
         for end in range(at + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and (own.get(token) or self.stands(token)) and (start == 0 or self.fits(known[data[:start]], token)):
+            key = state + data[end - 1 : end]
+            state, ending = steps.get(key) or self.step(key)
+            for token, size in ending:
+                if size == end or self.fits(known[data[: end - size]], token):
                     known[data[:end]] = token
                     break
             else:
@@ -170,11 +189,11 @@ class TextEncoder:
 
         self.bpe, self.find = PrefixBPE(ranks), regex.compile(pattern).findall
         self.pieces: dict[str, list[int]] = {}
-        self.cache, self.most = ChunkCache(lambda new: [self.plain(" " + x) for x in new], most), most // 2
+        self.cache, self.most = ChunkCache(lambda new: [self.plain(x[:-1] if x.endswith(" ") else " " + x) for x in new], most), most // 2
         self.table = [b""] * (max(ranks.values(), default=0) + 1)
         for b, i in ranks.items():
             self.table[i] = b
-        self.decimal = [str(i) for i in range(len(self.table))]
+        self.bytes, self.decimal = pa.array(self.table, pa.large_binary()), pa.array(map(str, range(len(self.table))), pa.large_string())
         self.by_chunk = all("".join(self.find(p)) == p and self.find(p) == [m for k, c in enumerate(p.split(" ")) for m in self.find(c if k == 0 else " " + c)] for p in PROBES)
 
     def plain(self, text: str) -> list[int]:
@@ -191,13 +210,40 @@ class TextEncoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        parts = text.split(" ")
-        if not self.by_chunk or "  " in text or max(map(len, parts)) > 64:
-            return self.plain(text)
-        return self.plain(parts[0]) + self.cache(parts[1:]).tolist()
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and how many each text has."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        own = [t if self.by_chunk and "  " not in t else None for t in texts]
+        chunks = pc.split_pattern(pa.array([x or "" for x in own], pa.string()), " ")
+        longest = np.maximum.reduceat(pc.utf8_length(chunks.values).to_numpy(), chunks.offsets.to_numpy()[:-1])
+        alone = [k for k, x in enumerate(own) if x is None or longest[k] > 64]
+        if alone:
+            for k in alone:
+                own[k] = ""
+            chunks = pc.split_pattern(pa.array(own, pa.string()), " ")
+        at, values = chunks.offsets.to_numpy()[:-1], chunks.values
+        order = np.arange(len(values))  # a text's first chunk has no blank before it: its key ends with one
+        order[at] = len(values) + np.arange(len(at))
+        values = pa.concat_arrays([values, pc.binary_join_element_wise(values.take(pa.array(at)), "", " ")])
+        ids, n = self.cache.sequences(values.take(pa.array(order)))
+        n = np.add.reduceat(n, at)
+        if alone:
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for k in alone:
+                parts[k] = np.array(self.plain(texts[k]), np.int32)
+                n[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, n
+
+    def joined(self, ids: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Of each text: its decimal ids joined by commas, and the decoded bytes."""
+        at, ids = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int64()), pa.array(ids)
+        decimal = pc.binary_join(pa.LargeListArray.from_arrays(at, self.decimal.take(ids)), pa.scalar(",", pa.large_string()))
+        data = pc.binary_join(pa.LargeListArray.from_arrays(at, self.bytes.take(ids)), pa.scalar(b"", pa.large_binary()))
+        return decimal.cast(pa.large_binary()).to_pylist(), data.to_pylist()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,9 +252,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = kept(("prefix", ranks_path, pattern), lambda: TextEncoder(load_ranks(ranks_path), pattern))
         for b in batches:
-            got = [enc.encode(t) for t in b.column(1).to_pylist()]
-            flat = np.array([i for x in got for i in x], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), list_array(np.array([len(x) for x in got], np.int64), flat)], names=["id", "ids"])
+            for lo, rows in slices(b.column(1)):
+                ids, n = enc.encode_all(b.column(1).slice(lo, rows).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), list_array(n, ids)], names=["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(each, "id long, ids array<int>")
 
@@ -231,13 +277,14 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = kept(("prefix", ranks_path, pattern), lambda: TextEncoder(load_ranks(ranks_path), pattern))
         for b in batches:
-            n, shas, back = [], [], []
-            for text in (t for lo in range(0, b.num_rows, 500) for t in b.column(1).slice(lo, 500).to_pylist()):
-                ids = enc.encode(text)
-                n.append(len(ids))
-                shas.append(hashlib.sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            lengths, shas, back = [], [], []
+            for lo, rows in slices(b.column(1)):
+                ids, n = enc.encode_all(b.column(1).slice(lo, rows).to_pylist())
+                lengths.append(n)
+                for found, texts in zip((shas, back), enc.joined(ids, n), strict=True):
+                    found += [hashlib.sha256(x).hexdigest() for x in texts]
+            lengths = np.concatenate([np.zeros(0, np.int64), *lengths])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths), pa.array(shas, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

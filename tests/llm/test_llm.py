@@ -614,6 +614,27 @@ def test_memories_last_over_tasks(spark):
     assert len(rows) == 32 and sum(r.made for r in rows) == len({r.pid for r in rows}) < 32
 
 
+def test_texts_share_chunks_and_prefixes_see_only_tokens_that_end_there():
+    import public_tokenizers
+
+    ranks = op5.load_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    enc, r = op5.TextEncoder(ranks, public_tokenizers.PATTERN), random.Random(6)
+    texts = ["", " ", "a  b", "the nation", "thenation the", "x" * 100 + " y", "é naïve 日本語, ok? \n", " lead", "trail ", "it's 12,5%\n\nZ"] * 2
+    ids, n = enc.encode_all(texts)
+    want = [[i for p in enc.find(t) for i in enc.bpe.piece(p.encode())] for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    decimal, data = enc.joined(ids, n)
+    assert decimal == [",".join(map(str, x)).encode() for x in want] and data == [t.encode() for t in texts]
+    bpe = op5.PrefixBPE(ranks)
+    for _ in range(300):
+        word = "".join(r.choices(["th", "e", "ion", "é", "ß", "q", "and", "日"], k=r.randint(1, 8))).encode()
+        state = b""
+        for end in range(1, len(word) + 1):
+            state, found = bpe.step(state + word[end - 1 : end])
+            assert [t for t, _ in found] == [ranks[x] for x in (word[i:end] for i in range(end)) if x in ranks and bpe.stands(ranks[x])]
+        assert bpe.prefix(word) == bpe.extend(word, [])[-1]
+
+
 def test_latin_words_skip_only_rules_that_change_nothing():
     import public_tokenizers
 
