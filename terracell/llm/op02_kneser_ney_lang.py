@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import WordCodes, filtered, id_crc, kept, mix64, received, send, utf8
+from terracell.llm.common import MEMORY, WordCodes, filtered, id_crc, kept, mix64, received, send, slices, utf8
 
 ORDER = 5
 RUNS = re.compile(r"[^\W\d_]+")
@@ -116,7 +116,9 @@ class Model:
         every, places, n = windows(words)
         word, out = np.repeat(np.arange(len(n)), n), np.zeros((len(n), len(self.langs)))
         for lo in range(0, len(places), WINDOWS):
-            p, own = self.probabilities(every[places[lo : lo + WINDOWS]]), word[lo : lo + WINDOWS]
+            chars, own = every[places[lo : lo + WINDOWS]], word[lo : lo + WINDOWS]
+            _, first, inverse = np.unique(hashes_of(chars)[-1], return_index=True, return_inverse=True)
+            p = self.probabilities(chars[first])[inverse]  # words share most of their windows
             first = np.flatnonzero(np.diff(own, prepend=-1))
             out[own[first]] -= np.add.reduceat(np.log(p), first, axis=0)
         return out
@@ -134,7 +136,7 @@ class Model:
 
 
 class Scorer:
-    """Costs of whole texts; words met before are not scored again (memory of fixed size)."""
+    """Costs of whole texts; words met before are not scored again (memory of fixed size, which keeps words of several texts when it is full)."""
 
     def __init__(self, model: Model, most: int = 150_000):
         self.model, self.codes = model, WordCodes(most)
@@ -143,6 +145,20 @@ class Scorer:
     def _reset(self) -> None:
         self.codes.clear()
         self.cost, self.size, self.known = np.zeros((1 << 16, len(self.model.langs)), np.float32), np.zeros(1 << 16, np.int32), 0
+        self.texts = np.zeros(1 << 16, np.int32)
+
+    def _shrink(self) -> None:
+        often = np.flatnonzero(self.texts[: self.known] > 1)
+        names = list(self.codes)
+        names = [names[i] for i in often]
+        if 2 * len(names) > self.codes.most or 2 * (held := sum(map(len, names))) > MEMORY:
+            return self._reset()
+        cost, size = self.cost[often], self.size[often]
+        self.codes.clear()
+        self.codes.update(zip(names, range(len(names)), strict=True))
+        self.codes.held, self.known = held, len(names)
+        self.cost[: self.known], self.size[: self.known], self.texts[: self.known] = cost, size, 1
+        self.texts[self.known :] = 0
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
@@ -153,19 +169,28 @@ class Scorer:
             np.add.at(cost, owner, self.model.costs(flat))
             np.add.at(size, owner, np.array([len(w) + 1 for w in flat], np.int32))
             while self.known + len(runs) > len(self.size):
-                self.cost, self.size = np.concatenate([self.cost, np.zeros_like(self.cost)]), np.concatenate([self.size, np.zeros_like(self.size)])
+                self.cost, self.size, self.texts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cost, self.size, self.texts))
             self.cost[self.known : self.known + len(runs)], self.size[self.known : self.known + len(runs)] = cost, size
             self.known += len(runs)
 
     def score(self, data: bytes) -> tuple[np.ndarray, int]:
         """Nats by language, and characters (letters and word ends); 0 characters: no letter."""
+        return self.score_all([data])[0]
+
+    def score_all(self, texts: list[bytes]) -> list[tuple[np.ndarray, int]]:
+        """The same of many texts, whose new words are scored together."""
         if self.codes.full():
-            self._reset()
-        words = data.split()
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+            self._shrink()
+        codes, out = [], []
+        for data in texts:
+            words = data.split()
+            codes.append(np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words)))
         if self.codes.new:
             self._learn()
-        return self.cost[codes].sum(axis=0, dtype=np.float64), int(self.size[codes].sum())
+        for own in codes:
+            self.texts[own] += 1
+            out.append((self.cost[own].sum(axis=0, dtype=np.float64), int(self.size[own].sum())))
+        return out
 
 
 class Identifier:
@@ -263,9 +288,11 @@ def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id",
     sent, tag = send(docs.sparkSession, model), uuid.uuid4().hex  # of fixed size: grams of a bounded sample
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, scorer = kept(("language", tag), lambda: (lambda m: (m, Scorer(m.model) if m else None))(received(sent)))
+        found, scorer = kept(("language", tag), lambda: (lambda m: (m, Scorer(m.model, 400_000) if m else None))(received(sent)))
         for b in batches:
-            out = [found.decide(*scorer.score(x)) if found else ("und", 0.0, float("nan"), True) for lo in range(0, b.num_rows, 500) for x in b.column(1).slice(lo, 500).to_pylist()]
+            out = [("und", 0.0, float("nan"), True)] * b.num_rows
+            if found:
+                out = [found.decide(*x) for lo, n in slices(b.column(1)) for x in scorer.score_all(b.column(1).slice(lo, n).to_pylist())]
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], names=["id", "lang_pred", "score", "cross_entropy", "rejected"])
 

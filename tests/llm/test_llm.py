@@ -635,6 +635,22 @@ def test_texts_share_chunks_and_prefixes_see_only_tokens_that_end_there():
         assert bpe.prefix(word) == bpe.extend(word, [])[-1]
 
 
+def test_language_costs_do_not_depend_on_memory_and_frequent_words_stay():
+    r, scored = random.Random(5), collections.Counter()
+    counts = {lang: collections.Counter("".join(r.choices(letters, k=5)) for _ in range(500)) for lang, letters in (("de", "uüklmzß"), ("en", "aeionrst"))}
+    model = op2.Model({k: dict(v) for k, v in counts.items()})
+    plain = model.costs
+    model.costs = lambda words: scored.update(words) or plain(words)
+    make = lambda: "".join(r.choices("aeioüßz", k=r.randint(3, 9)))
+    texts = [" ".join(["the", "nation", *(make() for _ in range(20))]).encode() for _ in range(60)]
+    small = op2.Scorer(model, most=50)
+    got = [x for lo in range(0, 60, 3) for x in small.score_all(texts[lo : lo + 3])]
+    assert scored["nation"] == 1  # met in every text
+    for data, (cost, n) in zip(texts, got, strict=True):
+        words = data.decode().split()
+        assert n == sum(len(w) + 1 for w in words) and np.allclose(cost, sum(plain([w])[0] for w in words), rtol=1e-5)
+
+
 def test_latin_words_skip_only_rules_that_change_nothing():
     import public_tokenizers
 
