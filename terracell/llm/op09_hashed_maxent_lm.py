@@ -18,7 +18,7 @@ table of words outside the classes, shards and buckets.
 Words are keyed by 64-bit hashes.  Null texts count as empty and are one end token.  Rows of null id are held out of nothing: they are
 training rows.  Repeated rows count and are returned each (rows that repeat id and text share a shard, streamed through it); ties of frequency go
 to the least hash; other columns are ignored; an empty table gives an empty result; without training rows scores rest on the smoothing alone.
-Texts are read whole; memory is one arrow batch, word memories bounded in words and bytes, and tables of the sizes above.
+Texts are read whole; memory is one arrow batch, the words of 8 MB of it (or of one text), and tables of the sizes above.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import WordCodes, WordHashes, ascii_words, id_crc, kept, mix64, received, send, utf8, written
+from terracell.llm.common import id_crc, kept, mix64, received, send, slices, utf8, written
 
 #: Words in the classes, classes (the last is all other words), words whose weights are broadcast, anchors that tell classes apart.
 HEAD, CLASSES, FREQUENT, ANCHORS = 16384, 25, 1 << 17, 64
@@ -47,6 +48,8 @@ END_HASH, START_HASH = np.uint64(0x1D5B3C2F9A7E4416), np.uint64(3)
 BATCH = 4096
 #: Bytes of text in a shard, rounds of averaging, steps of the word model outside the classes, its tokens in a bucket.
 SHARD, ROUNDS, STEPS, BUCKET = 16 << 20, 4, 3, 200_000
+#: So many lines of a batch are added to a row of weights one by one; what a row has beyond them is summed at once.
+SINGLY = 8
 #: So many contexts with the class's own shares are added to each word's: words that are met seldom keep near to their class.
 PRIOR = 5.0
 LOG10 = np.log(10)
@@ -59,21 +62,39 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), utf8(text_col).alias("data"))
 
 
+def distinct_words(data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of texts (bytes), for each word its place among them, and words of each text.
+
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; Arrow splits and tells them apart, so only distinct ones are hashed."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(data.view(pa.string())))
+    words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+    real = pc.not_equal(pc.binary_length(words), 0)  # white space at a text's ends leaves empty ones
+    n = np.diff(np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64))[np.append(0, ends)])
+    kinds = words.filter(real).dictionary_encode()
+    names = kinds.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)), kinds.indices.to_numpy(), n
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """hash, n of all words of the training rows (ends not included)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, waiting, held = WordHashes(300_000), [], 0
+        waiting, held = [], 0
 
         def summed() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+            h, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            n = np.add.reduceat(n, first) if len(h) else n  # texts without words
+            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n)], names=["hash", "n"])
 
         for b in batches:
-            for data in b.column(0).to_pylist():
-                waiting.append(hashes.of(ascii_words(data)))
-                held += len(waiting[-1])
-                if held > 4_000_000:
+            for lo, size in slices(b.column(0)):
+                h, place, _ = distinct_words(b.column(0).slice(lo, size))
+                waiting.append((h, np.bincount(place, minlength=len(h))))
+                held += len(h)
+                if held > 1_500_000:
                     yield summed()
                     waiting, held = [], 0
         if waiting:
@@ -83,33 +104,15 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 class Numbers:
-    """Numbers of words: their place in the list of frequent ones, or `len(list)` for all others; words met before are not looked up again."""
+    """Numbers of words: their place in the list of frequent ones, or `len(list)` for all others."""
 
-    def __init__(self, frequent: np.ndarray, most: int = 400_000):
+    def __init__(self, frequent: np.ndarray):
         order = np.argsort(frequent)
-        self.sorted, self.place, self.codes = frequent[order], order, WordCodes(most)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.codes.clear()
-        self.codes.new = []
-        self.hash, self.number, self.known = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words, and the hashes of those that are not frequent."""
-        if self.codes.full():
-            self._reset()
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        if self.codes.new:
-            new, self.codes.new = self.codes.new, []
-            while self.known + len(new) > len(self.hash):
-                self.hash, self.number = np.concatenate([self.hash, np.zeros_like(self.hash)]), np.concatenate([self.number, np.zeros_like(self.number)])
-            hashes, s = WordHashes().of(new), slice(self.known, self.known + len(new))
-            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-            self.hash[s], self.number[s] = hashes, np.where(self.sorted[at] == hashes, self.place[at], len(self.sorted))
-            self.known += len(new)
-        number = self.number[codes]
-        return number, self.hash[codes[number == len(self.sorted)]]
+        self.sorted, self.place = frequent[order], order
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.place[at], len(self.sorted))
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -128,14 +131,17 @@ def encoded(rows: DataFrame, numbers, tag: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = kept(("numbers", tag), lambda: Numbers(received(numbers))), TaskContext.get().partitionId() << 36
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part, codes, rare, n = b.slice(lo, 500), [], [], []
-                for data in part.column(2).to_pylist():
-                    number, others = known.of(ascii_words(data))
-                    codes.append(packed(np.append(number, 0)))
-                    rare.append(others.tobytes())
-                    n.append(len(number) + 1)
-                out = [pa.array(np.arange(row, row + len(n))), part.column(0), part.column(1), part.column(3), pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.binary())]
+            for lo, size in slices(b.column(2)):
+                part = b.slice(lo, size)
+                hashes, place, n = distinct_words(part.column(2))
+                number = known.of(hashes)
+                ends, codes, rare = np.cumsum(n).tolist(), [], []
+                for i, j in zip([0, *ends[:-1]], ends, strict=True):
+                    at = place[i:j]
+                    own = number[at]
+                    codes.append(packed(np.append(own, 0)))
+                    rare.append(hashes[at[own == len(known.sorted)]].tobytes())
+                out = [pa.array(np.arange(row, row + len(n))), part.column(0), part.column(1), part.column(3), pa.array(n + 1), pa.array(codes, pa.binary()), pa.array(rare, pa.binary())]
                 row += len(n)
                 yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in ENCODED.split(", ")])
 
@@ -167,7 +173,7 @@ class Space:
     def features(x: dict[str, np.ndarray]) -> np.ndarray:
         a, b = x["hashes"][x["at"] - 1], x["hashes"][x["at"] - 2]
         found = [mix64(a) >> np.uint64(64 - BITS[0]), mix64(b + np.uint64(1)) >> np.uint64(64 - BITS[1]), mix64(a * np.uint64(3) + b) >> np.uint64(64 - BITS[2])]
-        return np.stack(found, 1).astype(np.int64) + FIRST[:3]
+        return (np.stack(found).astype(np.int64) + FIRST[:3, None]).T
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], codes: int, most: int = 250_000) -> Iterator[pa.RecordBatch]:
@@ -184,31 +190,65 @@ def groups_of(batches: Iterator[pa.RecordBatch], codes: int, most: int = 250_000
             yield b.slice(lo)
 
 
-def probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    x = weights[features[:, 0]]
-    x += weights[features[:, 1]]
-    x += weights[features[:, 2]]
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+def powers(weights: np.ndarray, features: np.ndarray, room: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """exp of the sums of the features' weights, each row up to a factor of its own; `room`: two arrays to work in, the first one is returned."""
+    x, more = (a[: len(features)] for a in room or (np.empty((len(features), weights.shape[1]), weights.dtype) for _ in range(2)))
+    weights.take(features[:, 0], 0, out=x, mode="clip")
+    for k in (1, 2):
+        weights.take(features[:, k], 0, out=more, mode="clip")
+        x += more
+    if len(x) and not -60 < x.min() <= x.max() < 60:  # else nothing overflows, and no row's sum gets 0
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+def probabilities(weights: np.ndarray, features: np.ndarray, room: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    x = powers(weights, features, room)
+    x /= np.einsum("ij->i", x)[:, None]
     return x
 
 
+def room_for(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.empty((BATCH, weights.shape[1]), weights.dtype), np.empty((BATCH, weights.shape[1]), weights.dtype)
+
+
+def sums_by_row(rows: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows (16 bits), the sum of each one's lines of p, and how many; rows[i] belongs to line i % len(p).
+
+    The k-th lines of all rows are added together, as adding up a row at a time costs more than the sums themselves."""
+    order = np.argsort(rows, kind="stable")  # of 16 bits: sorted by radix
+    rows, line = rows[order], order % len(p)
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    n = np.diff(first, append=len(rows))
+    by = np.argsort(-n, kind="stable")
+    first, n = first[by], n[by]
+    g, longer = p.take(line[first], 0), np.searchsorted(-n, -np.arange(1, SINGLY + 1))
+    for k, m in enumerate(longer[:-1], 1):
+        g[:m] += p.take(line[first[:m] + k], 0)
+    if m := longer[-1]:
+        left = n[:m] - SINGLY
+        at = np.cumsum(left) - left
+        rest = np.repeat(first[:m] + SINGLY - at, left) + np.arange(left.sum())
+        g[:m] += np.add.reduceat(p.take(line[rest], 0), at, axis=0)
+    return rows[first], g, n
+
+
 def steps(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, features: np.ndarray, target: np.ndarray, rate: float) -> None:
     """Gradient steps over small batches, each weight at its own pace; `used` counts how often each row took part."""
+    room = room_for(weights)
     for lo in range(0, len(target), BATCH):
         f, y = features[lo : lo + BATCH], target[lo : lo + BATCH]
-        p = probabilities(weights, f)
+        p = probabilities(weights, f, room)
         p[np.arange(len(y)), y] -= 1
-        for k in range(3):
-            order = np.argsort(f[:, k].astype(np.uint16), kind="stable")  # of 16 bits: sorted by radix
-            rows = f[order, k]
-            cut = np.flatnonzero(np.diff(rows, prepend=-1))
-            g = np.add.reduceat(p[order], cut, axis=0)
-            rows = rows[cut]
-            used[rows] += np.diff(cut, append=len(y))
-            squares[rows] += g * g
-            weights[rows] -= rate * g / np.sqrt(squares[rows] + 1e-3)
+        rows, g, n = sums_by_row(f.T.astype(np.uint16).ravel(), p)
+        used[rows] += n
+        x = squares.take(rows, 0)
+        x += g * g
+        squares[rows] = x
+        x += np.float32(1e-3)
+        g *= np.float32(rate)
+        g /= np.sqrt(x, out=x)
+        weights[rows] -= g
 
 
 def summed(rows: DataFrame, many: bool) -> dict[int, np.ndarray]:
@@ -387,15 +427,17 @@ class Model:
 
     def log10(self, x: dict[str, np.ndarray]) -> np.ndarray:
         """Of each token of a sequence; words that are not frequent lack their own bias and weights."""
-        features, p = self.space.features(x), np.empty(len(x["at"]))
+        features, p, room = self.space.features(x), np.empty(len(x["at"])), room_for(self.weights)
         for lo in range(0, len(p), BATCH):
             s = slice(lo, lo + BATCH)
-            p[s] = probabilities(self.weights, features[s])[np.arange(len(p[s])), x["class"][s]]
+            e = powers(self.weights, features[s], room)
+            p[s] = e[np.arange(len(e)), x["class"][s]] / np.einsum("ij->i", e)
         p = np.log(np.maximum(p, 1e-30))
+        pair = x["one"] * PAST + x["two"]
         k = x["number"] < self.space.size
         w = x["number"][k]
-        p[k] += self.bias[w] + self.u[w, x["one"][k]] + self.v[w, x["two"][k]]
-        return (p - self.norm[x["one"], x["two"], x["class"]]) / LOG10
+        p[k] += self.bias[w] + self.u.ravel()[w * PAST + x["one"][k]] + self.v.ravel()[w * PAST + x["two"][k]]
+        return (p - self.norm.ravel()[pair * CLASSES + x["class"]]) / LOG10
 
 
 def classes_for(tokens: int) -> int:

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -493,6 +494,74 @@ def test_language_model_sums_to_one(spark, monkeypatch):
     assert np.allclose(op9.probabilities(w, np.array([[1, 5000, 9000]] * 3)).sum(axis=1), 1)
 
 
+def test_language_model_hashes_each_distinct_word_once(monkeypatch):
+    """Words and their order as of a plain split, however they are spread over texts; bytes that are not UTF-8 and other white space stay in words."""
+    r, asked, plain = random.Random(17), [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: asked.append(w) or plain(w))
+    texts = [b"", b" \t ", b"\xc3\x84\xff\xfe A\x85b\x1c \x00"] + [bytes(r.choice(b" \t\n\x0b\x0c\rAbZ\x1c\xc3\xa4\xe3\x80\x80\x85") for _ in range(r.randint(0, 60))) for _ in range(500)]
+    for column in (pa.array(texts, pa.binary()), pa.array(texts, pa.binary()).slice(2, 9), pa.array([], pa.binary())):
+        asked.clear()
+        hashes, place, n = op9.distinct_words(column)
+        words = [re.findall(rb"[^\x20\x09-\x0D]+", t.lower()) for t in column.to_pylist()]
+        assert n.tolist() == [len(x) for x in words] and hashes[place].tolist() == [plain(w) for x in words for w in x]
+        assert len(asked) == len(set(asked)) == len({w for x in words for w in x})
+
+
+def test_language_model_counts_hash_each_distinct_word_once(spark, monkeypatch):
+    """More words than a memory held, met twice: each is hashed once for the counts of its slice."""
+    asked, plain = collections.Counter(), xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: asked.update([w]) or plain(w))
+
+    class Rows:
+        """Keeps the function that Spark would run."""
+
+        select = groupBy = agg = lambda self, *_: self
+
+        def mapInArrow(self, fn, schema):  # noqa: N802
+            self.fn = fn
+            return self
+
+    text = b" ".join([b"w%d" % k for k in range(310_000)] * 2)
+    out = list(op9.count_words(Rows()).fn(iter([pa.RecordBatch.from_arrays([pa.array([text, b""])], names=["data"])])))
+    assert sum(b.num_rows for b in out) == 310_000 and {n for b in out for n in b.column(1).to_pylist()} == {2}
+    assert len(asked) == 310_000 and set(asked.values()) == {1}
+
+
+def test_language_model_steps_and_score_match_a_plain_model():
+    """Batches against one token at a time: rows met once, several and many times, sums far beyond what exp can hold, and a last batch of few tokens."""
+    r = np.random.default_rng(19)
+    n = op9.BATCH + 37
+    f = np.stack([np.minimum(r.zipf(a, n), 4000) + at for a, at in zip((1.3, 1.5, 1.2), op9.FIRST[:3], strict=True)]).T
+    y, first = r.integers(0, 5, n), r.normal(size=(op9.FIRST[3], 5)).astype(np.float32)
+    for scale in (1, 100):
+        w, squares, used = first.astype(np.float64) * scale, np.zeros(first.shape), np.zeros(len(first))
+        for lo in range(0, n, op9.BATCH):
+            g = np.zeros(first.shape)
+            logits = w[f[lo : lo + op9.BATCH]].sum(axis=1)
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            for x, k, row in zip(p, y[lo:], f[lo:], strict=False):
+                for i in row:
+                    g[i] += x - np.eye(5)[k]
+                    used[i] += 1
+            squares += g * g
+            w -= 0.1 * g / np.sqrt(squares + 1e-3)
+        got = [first * np.float32(scale), np.zeros_like(first), np.zeros(len(first), np.float32)]
+        op9.steps(*got, f, y, 0.1)
+        assert (got[2] == used).all() and used.max() > 100 and np.allclose(got[1], squares, rtol=1e-3, atol=1e-3) and np.allclose(got[0], w, rtol=1e-4, atol=2e-4)
+    words, classes = np.array([op9.END_HASH, 5, 6, 7, 8], np.uint64), np.array([0, 1, 1])
+    space, wide = op9.Space(words, classes), r.normal(size=(op9.FIRST[3], op9.CLASSES))
+    bias, u, v, norm = r.normal(size=5), r.normal(size=(5, op9.PAST)), r.normal(size=(5, op9.PAST)), r.normal(size=(op9.PAST, op9.PAST, op9.CLASSES))
+    x = space.sequence([op9.packed(np.array([1, 3, 5, 2, 4, 0])), op9.packed(np.array([0]))], [np.array([99], np.uint64).tobytes(), b""])
+    want = []
+    for i, row in enumerate(space.features(x)):
+        number, one, two, kind = (x[k][i] for k in ("number", "one", "two", "class"))
+        p = np.exp(wide[row].sum(axis=0))
+        own = bias[number] + u[number, one] + v[number, two] if number < 5 else 0
+        want.append((np.log(p[kind] / p.sum()) + own - norm[one, two, kind]) / np.log(10))
+    assert np.allclose(op9.Model(space, wide, bias, u, v, norm).log10(x), want, atol=1e-5)
+
+
 def test_near_duplicates(spark, docs, empty, texts):
     def shingles(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
