@@ -12,6 +12,7 @@ from terracell.functions import quad
 from terracell.functions.text import clean, number
 from terracell.operators import layers, roads
 from terracell.operators.components import components
+from terracell.session import cut
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -99,3 +100,11 @@ def test_smooth_is_smooth_and_covers(spark):
                 if 0 <= b < 1 << r:
                     covering = [q for q in range(r + 1) if (q, a >> (r - q), b >> (r - q)) in known]
                     assert all(r - q <= 1 for q in covering)
+
+
+def test_cut_keeps_no_guess_of_its_size(spark):
+    rows = spark.range(4).toDF("k")
+    for _ in range(6):  # a join's guess is the product of its sides; kept over rounds, its digits double each time
+        rows = cut(rows.join(rows.toDF("k"), "k"))
+    assert sorted(r.k for r in rows.collect()) == [0, 1, 2, 3] and rows.schema == spark.range(1).toDF("k").schema
+    assert int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 64
