@@ -108,3 +108,18 @@ def test_cut_keeps_no_guess_of_its_size(spark):
         rows = cut(rows.join(rows.toDF("k"), "k"))
     assert sorted(r.k for r in rows.collect()) == [0, 1, 2, 3] and rows.schema == spark.range(1).toDF("k").schema
     assert int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 64
+
+
+def test_components_end_in_few_rounds(spark, monkeypatch):
+    ids, rounds = list(range(400)), []
+    random.Random(3).shuffle(ids)
+
+    def counted(df):
+        rounds.append(1)
+        assert len(rounds) <= 12
+        return cut(df)
+
+    monkeypatch.setattr("terracell.operators.components.cut", counted)
+    paths = [(ids[k], ids[k + 1]) for k in range(399) if k % 50 < 49]
+    got = {r.node: r.component for r in components(spark.createDataFrame(paths, "u long, v long")).collect()}
+    assert got == {ids[k]: min(ids[k // 50 * 50 : k // 50 * 50 + 50]) for k in range(400)}
